@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash
+from . import bpe, langid, line_dedup, packing, quality, secret_scan, sharding, simhash
+from .scratch import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.group(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,6 +44,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.keyed(_table(spark, sf_dir, "documents")).select("doc_id", "sort_hash", "size", "text_crc32")
+    docs = written(docs, "shard-keys")
+    rows = sharding.assign(docs, keys=docs)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), ["doc_id"], with_ids=False)
 
@@ -43,5 +59,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_quality, op6_language, op8_bpe, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op10_packing)}
+#: The line operator alone can be said in SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op1_lines": """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), g AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT k.doc_id, k.line, k.pos, g.key IS NOT NULL AND k.doc_id <> g.keeper AS gone FROM k LEFT JOIN g ON k.key = g.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+}

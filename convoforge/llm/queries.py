@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, packing, quality, secret_scan, sharding, simhash
+from . import bpe, langid, line_dedup, packing, pii, quality, secret_scan, sharding, simhash
 from .scratch import written
 
 
@@ -55,11 +55,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), ["doc_id"], with_ids=False)
 
 
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op9_personal, op10_packing)}
 #: The line operator alone can be said in SQL.
 ORACLE_SQL: dict[str, str] = {
     "op1_lines": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, packing, pii, quality, secret_scan, sharding, simhash
+from . import ann, bpe, langid, line_dedup, packing, pii, quality, secret_scan, sharding, simhash
 from .scratch import written
 
 
@@ -27,6 +27,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.group(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op9_personal, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op3_neighbours, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op9_personal, op10_packing)}
 #: The line operator alone can be said in SQL.
 ORACLE_SQL: dict[str, str] = {
     "op1_lines": """

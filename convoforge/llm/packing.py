@@ -27,6 +27,8 @@ from .scratch import written
 from .textbytes import Docs, chunks
 
 WINDOW = 1024
+#: So many (task, length) counts are broadcast at most, 16 bytes each; more are joined.
+MOST_COUNTS = 1_000_000
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, close: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -130,21 +132,36 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, close: int = 0, with_
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, nth long, task int" + ", ids array<int>" * with_ids
     cut = written(docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, path, window, close, with_ids), schema), "pieces")
-    counts = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("task", "length", F.coalesce(before, F.lit(0)).alias("before"))
+    counts = written(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(window + 1, np.int64)
-    for row in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most as many rows as the window is long
+    for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most as many rows as the window is long
         histogram[row["length"]] = row["n"]
-    held = docs.sparkSession.sparkContext.broadcast(_places(plan(histogram, window), window))
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(_places(plan(histogram, window), window))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("task", "length", before.alias("before"))
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, shift, offset = held.value
         for b in batches:
-            rank = b["nth"].to_numpy() + b["before"].to_numpy()
-            at = np.searchsorted(keys, (b["length"].to_numpy() << 48) + rank, "right") - 1
+            length = b["length"].to_numpy()
+            if small is not None:
+                slots, first = small.value
+                earlier = first[np.searchsorted(slots, (b["task"].to_numpy().astype(np.int64) << 20) + length)]
+            else:
+                earlier = b["before"].to_numpy()
+            rank = b["nth"].to_numpy() + earlier
+            at = np.searchsorted(keys, (length << 48) + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(b[c] for c in fields), pa.array(shift[at] + rank), pa.array(offset[at])], [*fields, "sequence_id", "offset"])
 
+    small = None
+    if counts.count() <= MOST_COUNTS:
+        table = offsets.toArrow()
+        slots = (table["task"].to_numpy().astype(np.int64) << 20) + table["length"].to_numpy()
+        order = np.argsort(slots)
+        small = spark.sparkContext.broadcast((slots[order], table["before"].to_numpy()[order]))
+    else:
+        cut = cut.join(offsets, ["task", "length"])
     out = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"
-    return cut.join(offsets, ["task", "length"]).mapInArrow(place, out)
+    return cut.mapInArrow(place, out)

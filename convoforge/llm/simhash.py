@@ -173,7 +173,8 @@ def _forest(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
 
 def links(prints: DataFrame, p: Params = Params()) -> DataFrame:
     """Linked pairs (a, b) of the distinct fingerprints in column ``print``: enough of them to connect all that are linked."""
-    variants = prints.select("print").mapInArrow(lambda it: _variants(it, p), "view byte, variant long, print long")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes come in, two hundred times as many go out
+    variants = prints.select("print").repartition(tasks, "print").mapInArrow(lambda it: _variants(it, p), "view byte, variant long, print long")
     buckets = variants.groupBy("view", "variant").agg(F.collect_list("print").alias("prints")).where(F.size("prints") > 1)
     return buckets.mapInArrow(lambda it: _forest(it, p), "a long, b long").distinct()
 

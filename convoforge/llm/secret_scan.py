@@ -81,7 +81,8 @@ def p_values(tokens: DataFrame, p: Params = Params()) -> DataFrame:
     )
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumn("chi", F.col("k") * squares / F.col("n") - F.col("n"))
-    rows = rows.withColumn("runs", F.size(F.regexp_extract_all("bare", F.lit("[0-9]+|[a-z]+|[A-Z]+|[^0-9A-Za-z]+"), F.lit(0))).cast("double"))
+    rows = rows.withColumn("joined", F.regexp_replace("bare", "[^0-9A-Za-z]", ""))  # signs between words are no change of class
+    rows = rows.withColumn("runs", F.size(F.regexp_extract_all(F.col("joined"), F.lit("[0-9]+|[a-z]+|[A-Z]+"), F.lit(0))).cast("double"))
     rows = rows.withColumn("mean", add("codes") / F.col("n"))
     rows = rows.withColumn("dev", F.transform("codes", lambda x: x - F.col("mean")))
     spread = add(F.transform("dev", lambda d: d * d))
@@ -89,7 +90,7 @@ def p_values(tokens: DataFrame, p: Params = Params()) -> DataFrame:
     rows = rows.withColumn("serial", F.when(spread > 0, add(pairs) / spread).otherwise(1.0))
     shift = F.col("n") * F.greatest(F.lit(p.uneven), p.letter_coincidence * F.col("k") - 1)
     chi = _phi((F.col("chi") - (F.col("k") - 1) - shift) / F.sqrt(2 * (F.col("k") - 1) + 4 * shift))
-    steps = F.col("n") - 1
+    steps = F.greatest(F.length("joined") - 1, F.lit(1)).cast("double")
     runs = _phi((steps * p.change - (F.col("runs") - 1)) / F.sqrt(steps * p.change * (1 - p.change)))
     serial = _phi((F.abs("serial") - p.correlation) * F.sqrt("n"))
     tested = F.when(F.col("k") == 10, F.greatest(chi, serial)).otherwise(F.greatest(chi, runs, serial))  # digits have one class only

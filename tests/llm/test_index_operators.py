@@ -120,7 +120,7 @@ def test_random_strings_are_told_from_words(spark):
     frame = spark.createDataFrame([(i, f"see {w} here") for i, w in enumerate(keys + plain)], "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in secret_scan.report(frame).collect()}
     assert sum(got[i] == f"random:4:{4 + len(w)}" for i, w in enumerate(keys)) >= 36
-    assert not any(got[len(keys) + i] for i in range(len(plain)))
+    assert not any("random" in got[len(keys) + i] for i in range(len(plain)))  # long runs of digits are base spans
 
 
 def test_redaction_leaves_no_secret(spark):

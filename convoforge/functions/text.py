@@ -5,6 +5,8 @@ Lengths are code points where the name says chars and bytes where it says bytes;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once per row however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+\z", "")
 
@@ -70,11 +77,18 @@ def extract_timestamp(c: Column | str) -> Column:
     return F.nullif(trim(F.regexp_extract(_col(c), r"(?s)<timestamp>(.*?)</timestamp>", 1)), F.lit(""))
 
 
-def starts_with_any(c: Column | str, prefixes: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | F.startswith(_col(c), F.lit(p))
-    return out
+def starts_with_any(c: Column | str, phrases: tuple[str, ...]) -> Column:
+    """``phrases`` hold letters, apostrophes, commas and spaces alone, so they stand in a pattern as they are."""
+    return _col(c).rlike(r"\A(?:" + "|".join(phrases) + ")")
+
+
+def contains_any(c: Column | str, phrases: tuple[str, ...]) -> Column:
+    return _col(c).rlike("|".join(phrases))
+
+
+def count_phrases(c: Column | str, phrases: tuple[str, ...]) -> Column:
+    """How many of the phrases occur; they may overlap."""
+    return F.size(F.filter(F.split(F.lit("|".join(phrases)), r"\|"), lambda phrase: F.contains(c, phrase)))
 
 
 def is_injected(query: Column | str) -> Column:
@@ -93,71 +107,71 @@ def has_structure(c: Column | str) -> Column:
     return F.contains(c, F.lit("```")) | c.rlike(r"(?m)^[^\S\n]*(- |\* |\| |#|[0-9]\. )")
 
 
+def _plans(plain: Column) -> Column:
+    first = plain.rlike(r"\AI[ ']")
+    about = F.startswith(plain, F.lit("The user")) & contains_any(plain, L.PLANNING)
+    return first | about | (count_phrases(plain, L.MARKERS) >= 2)
+
+
 def is_deliberation(c: Column | str) -> Column:
     """Planning prose: two markers of it, or a first-person start, or plans about what the user wants."""
-    t = trim(c)
-    plain = plain_apostrophes(t)
-    marks = sum((F.contains(plain, F.lit(m)).cast("int") for m in L.MARKERS), F.lit(0))
-    plans = F.lit(False)
-    for phrase in L.PLANNING:
-        plans = plans | F.contains(plain, F.lit(phrase))
-    first = F.startswith(plain, F.lit("I ")) | F.startswith(plain, F.lit("I'"))
-    about = F.startswith(plain, F.lit("The user")) & plans
-    return (F.octet_length(t) >= 40) & ~has_structure(t) & ((marks >= 2) | first | about)
+    return let(trim(c), lambda t: (F.octet_length(t) >= 40) & ~has_structure(t) & let(plain_apostrophes(t), _plans))
 
 
 def is_headerless_deliberation(c: Column | str) -> Column:
-    t = trim(c)
-    plain, size = plain_apostrophes(t), F.octet_length(t)
-    strong, weak = starts_with_any(plain, L.STRONG_OPENERS), starts_with_any(plain, L.WEAK_OPENERS)
-    short = (size >= 60) | (~F.contains(t, F.lit("\n")) & (size >= 10))
-    kept = has_structure(t) | F.startswith(plain, F.lit("Let me know"))
-    return ~kept & F.when(strong, short).when(size < 60, False).otherwise(weak & is_deliberation(t))
+    def verdict(t: Column, plain: Column) -> Column:
+        size = F.octet_length(t)
+        strong, weak = starts_with_any(plain, L.STRONG_OPENERS), starts_with_any(plain, L.WEAK_OPENERS)
+        short = (size >= 60) | (~F.contains(t, F.lit("\n")) & (size >= 10))
+        kept = has_structure(t) | F.startswith(plain, F.lit("Let me know"))
+        return ~kept & F.when(strong, short).when(size < 60, False).otherwise(weak & is_deliberation(t))
+
+    return let(trim(c), lambda t: let(plain_apostrophes(t), lambda plain: verdict(t, plain)))
 
 
 HEADER = r"^\*\*[A-Z][^*\n]{2,70}\*\*$"
 
 
-def _paragraphs(c: Column) -> Column:
-    """Paragraphs between blank lines, after bold header lines have been set apart from the line before them."""
-    lines = F.split(c, "\n")
-    head = lambda x: trim(x).rlike(HEADER)
-    apart = F.transform(
-        lines,
-        lambda x, i: F.when(head(x) & (i > 0) & ~is_blank(F.try_element_at(lines, i)), F.concat(F.lit("\n"), x)).otherwise(x),
-    )
-    return F.split(F.array_join(apart, "\n"), "\n\n")
+def normalize_header_breaks(c: Column | str) -> Column:
+    """A blank line before each bold header line that follows a line of text."""
+
+    def apart(lines: Column) -> Column:
+        glued = lambda x, i: trim(x).rlike(HEADER) & (i > 0) & ~is_blank(F.try_element_at(lines, i))
+        return F.transform(lines, lambda x, i: F.when(glued(x, i), F.concat(F.lit("\n"), x)).otherwise(x))
+
+    return F.array_join(let(F.split(_col(c), "\n"), apart), "\n")
+
+
+def _look(text: Column) -> Column:
+    """What a paragraph is by itself: bare header, narration of its own, or plans that a bare header before it makes narration."""
+
+    def of(lines: Column) -> Column:
+        body = F.array_join(F.slice(lines, 2, F.size(lines)), " ")
+        return F.struct(text.alias("text"), trim(F.element_at(lines, 1)).rlike(HEADER).alias("head"), body.alias("body"))
+
+    def judged(p: Column) -> Column:
+        bare = p["head"] & is_blank(p["body"])
+        own = F.when(p["head"], ~bare & is_deliberation(p["body"])).otherwise(is_headerless_deliberation(p["text"]))
+        return F.struct(p["text"].alias("text"), bare.alias("bare"), own.alias("own"), (~p["head"] & is_deliberation(p["text"])).alias("plan"))
+
+    return let(let(F.split(text, "\n"), of), judged)
 
 
 def split_thinking(c: Column | str) -> Column:
     """struct(thinking, answer): paragraphs of planning narration, and the rest. Headers of narration go with it."""
-    parts = F.transform(_paragraphs(_col(c)), lambda p: F.struct(p.alias("text"), trim(F.element_at(F.split(p, "\n"), 1)).rlike(HEADER).alias("head")))
-    body = lambda p: F.array_join(F.slice(F.split(p["text"], "\n"), 2, F.size(F.split(p["text"], "\n"))), " ")
-    told = F.transform(
-        parts,
-        lambda p: F.struct(
-            p["text"].alias("text"),
-            p["head"].alias("head"),
-            (p["head"] & is_blank(body(p))).alias("bare"),
-            F.when(p["head"], ~is_blank(body(p)) & is_deliberation(body(p))).otherwise(is_headerless_deliberation(p["text"])).alias("own"),
-            (~p["head"] & is_deliberation(p["text"])).alias("plan"),
-        ),
-    )
-    ahead = lambda i: F.try_element_at(told, i + 2)
-    flagged = F.transform(
-        told,
-        lambda p, i: F.struct(
-            p["text"].alias("text"),
-            (
-                p["own"]
-                | (p["bare"] & F.coalesce(ahead(i)["plan"], F.lit(False)))
-                | (p["plan"] & F.when(i > 0, F.coalesce(F.try_element_at(told, F.greatest(i, F.lit(1)))["bare"], F.lit(False))).otherwise(False))
-            ).alias("think"),
-        ),
-    )
-    thinking = F.filter(F.transform(F.filter(flagged, lambda p: p["think"]), lambda p: trim(p["text"])), lambda x: x != "")
-    answer = F.transform(F.filter(flagged, lambda p: ~p["think"]), lambda p: p["text"])
-    return F.struct(trim(F.array_join(thinking, "\n\n")).alias("thinking"), trim(F.array_join(answer, "\n\n")).alias("answer"))
+
+    def flagged(told: Column) -> Column:
+        at = lambda i, field: F.coalesce(F.when(i >= 0, F.try_element_at(told, F.greatest(i, F.lit(0)) + 1)[field]), F.lit(False))
+        think = lambda p, i: p["own"] | (p["bare"] & at(i + 1, "plan")) | (p["plan"] & at(i - 1, "bare"))
+        return F.transform(told, lambda p, i: F.struct(p["text"].alias("text"), think(p, i).alias("think")))
+
+    def parted(parts: Column) -> Column:
+        thinking = F.filter(F.transform(F.filter(parts, lambda p: p["think"]), lambda p: trim(p["text"])), lambda x: x != "")
+        answer = F.transform(F.filter(parts, lambda p: ~p["think"]), lambda p: p["text"])
+        return F.struct(trim(F.array_join(thinking, "\n\n")).alias("thinking"), trim(F.array_join(answer, "\n\n")).alias("answer"))
+
+    told = F.transform(F.split(normalize_header_breaks(c), "\n\n"), _look)
+    return let(let(told, flagged), parted)
 
 
 def strip_chat_links(c: Column | str) -> Column:
@@ -170,19 +184,21 @@ def clean_answer(c: Column | str) -> Column:
     return split_thinking(strip_chat_links(c))["answer"]
 
 
+def _cut_intent(right: Column) -> Column:
+    def cut_off(last: Column) -> Column:
+        said = contains_any(plain_apostrophes(last), L.INTENTS)
+        drop = (F.octet_length(last) < 300) & ~F.contains(last, F.lit("\n")) & last.rlike(r"[.!…]\z") & said & ~F.endswith(right, F.lit("`"))
+        return F.when(drop, F.substring(right, F.lit(1), F.length(right) - F.length(last))).otherwise(right)
+
+    return let(F.regexp_extract(right, r"(?s)(?:.*\n\n)?(?:.*[.!?][ \t\n\r\f])?(.*)\z", 1), cut_off)
+
+
 def strip_trailing_intent(c: Column | str, rounds: int = 4) -> Column:
     """Cut up to four last sentences that only announce what comes next."""
     text = _col(c)
     for _ in range(rounds):
-        right = F.regexp_replace(text, r"(?U)\s+\z", "")
-        last = F.regexp_extract(right, r"(?s)(?:.*\n\n)?(?:.*[.!?][ \t\n\r\f])?(.*)\z", 1)
-        plain = plain_apostrophes(last)
-        said = F.lit(False)
-        for phrase in L.INTENTS:
-            said = said | F.contains(plain, F.lit(phrase))
-        drop = (F.octet_length(last) < 300) & ~F.contains(last, F.lit("\n")) & said & last.rlike(r"[.!…]\z") & ~right.rlike(r"`\z") & (right != "")
-        text = F.when(drop, F.regexp_replace(F.substring(right, F.lit(1), F.length(right) - F.length(last)), r"(?U)\s+\z", "")).otherwise(right)
-    return text
+        text = let(F.regexp_replace(text, r"(?U)\s+\z", ""), _cut_intent)
+    return F.regexp_replace(text, r"(?U)\s+\z", "")
 
 
 def neutralize_think_tags(c: Column | str) -> Column:
@@ -207,17 +223,16 @@ def extension(path: Column | str) -> Column:
 
 
 def media_kind(path: Column | str) -> Column:
-    ext, out = extension(path), F.lit("other")
-    for kind, names in reversed(L.EXTENSIONS.items()):
-        out = F.when(ext.isin(names.split()), kind).otherwise(out)
-    return out
+    named = [(ext, kind) for kind, names in L.EXTENSIONS.items() for ext in names.split()]
+    return F.coalesce(F.try_element_at(_map(named), extension(path)), F.lit("other"))
 
 
 def mime_type(path: Column | str) -> Column:
-    ext, out = extension(path), F.lit("application/octet-stream")
-    for name, mime in L.MIME_TYPES.items():
-        out = F.when(ext == name, mime).otherwise(out)
-    return out
+    return F.coalesce(F.try_element_at(_map(L.MIME_TYPES.items()), extension(path)), F.lit("application/octet-stream"))
+
+
+def _map(pairs) -> Column:
+    return F.str_to_map(F.lit(",".join(f"{k}={v}" for k, v in pairs)), F.lit(","), F.lit("="))
 
 
 def attachment_name(path: Column | str) -> Column:
@@ -233,13 +248,29 @@ def index_snippet(c: Column | str) -> Column:
     return F.substring(collapse(c), 1, L.SNIPPET_CHARS)
 
 
+def _bytes_before(text: Column, least: int) -> Column:
+    """The shortest tail of ``text`` that has at least so many bytes, in whole characters."""
+    grow = lambda acc, ch: F.when(F.octet_length(acc) >= least, acc).otherwise(F.concat(ch, acc))
+    return F.aggregate(F.reverse(F.split(F.substring(text, -least, least), "")), F.lit(""), grow)
+
+
+def _bytes_after(text: Column, least: int) -> Column:
+    grow = lambda acc, ch: F.when(F.octet_length(acc) >= least, acc).otherwise(F.concat(acc, ch))
+    return F.aggregate(F.split(F.substring(text, 1, least), ""), F.lit(""), grow)
+
+
 def match_snippet(line: Column | str, needle: str) -> Column:
-    """The text around the first match, with marks on both sides; escapes of JSON lines are undone."""
-    line = _col(line)
-    at = F.instr(ascii_lower(line), needle.translate(str.maketrans(UPPER, LOWER)))
-    around = F.substring(line, F.greatest(at - L.CONTEXT_BYTES, F.lit(1)), F.lit(2 * L.CONTEXT_BYTES + len(needle)))
-    plain = F.replace(F.replace(F.replace(around, F.lit("\\n"), F.lit(" ")), F.lit("\\t"), F.lit(" ")), F.lit('\\"'), F.lit('"'))
-    return F.when(at > 0, F.concat(F.lit("…"), trim(plain), F.lit("…")))
+    """The text around the first match, with marks on both sides; escapes of JSON lines are undone. Null without a match."""
+    line, size = _col(line), len(needle)
+
+    def around(at: Column) -> Column:
+        before = _bytes_before(F.substring(line, F.lit(1), at - 1), L.CONTEXT_BYTES)
+        after = _bytes_after(F.substring(line, at + size, F.lit(L.CONTEXT_BYTES)), L.CONTEXT_BYTES)
+        text = F.concat(before, F.substring(line, at, F.lit(size)), after)
+        plain = F.replace(F.replace(F.replace(text, F.lit("\\n"), F.lit(" ")), F.lit("\\t"), F.lit(" ")), F.lit('\\"'), F.lit('"'))
+        return F.when(at > 0, F.concat(F.lit("…"), trim(plain), F.lit("…")))
+
+    return let(F.instr(ascii_lower(line), needle.translate(str.maketrans(UPPER, LOWER))), around)
 
 
 def scan_secrets(c: Column | str) -> Column:

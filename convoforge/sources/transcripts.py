@@ -1,7 +1,8 @@
 """Transcript files below a root folder, as tables of files, sessions and projects.
 
 Three layouts hold sessions: <slug>/agent-transcripts/<id>/<id>.jsonl, the flat <slug>/agent-transcripts/<id>.jsonl, and
-child sessions <slug>/agent-transcripts/<id>/subagents/<sub>.jsonl. Everything else is ignored.
+child sessions <slug>/agent-transcripts/<id>/subagents/<sub>.jsonl. Everything else is ignored, and so are files of no
+bytes, which Spark's readers pass over.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ import base64
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from .textbytes import Docs, chunks, gather, segment_hashes
 
 CHUNK = 2 << 20
 #: Distinct pieces that a worker remembers; twice as many at most.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -203,16 +204,17 @@ class Codec:
     def __init__(self, path: str, encode_piece: Callable[[bytes], list[int]] | None = None):
         self.vocabulary = Vocabulary(load_ranks(path))
         self._ids_of = encode_piece or (lambda piece: PrefixTable(self.vocabulary, piece).ids())
-        self._young: dict[bytes, np.ndarray] = {}
-        self._old: dict[bytes, np.ndarray] = {}
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
-    def _encode_piece(self, piece: bytes) -> np.ndarray:
+    def _encode_piece(self, piece: bytes) -> bytes:
+        """Ids of a piece as native 32-bit integers."""
         got = self._young.get(piece)
         if got is None:
             got = self._old.get(piece)
             if got is None:
                 whole = self.vocabulary.ranks.get(piece)
-                got = np.array([whole] if whole is not None else self._ids_of(piece), np.uint32)
+                got = array("I", [whole] if whole is not None else self._ids_of(piece)).tobytes()
             if len(piece) <= 256:
                 if len(self._young) >= REMEMBERED:
                     self._old, self._young = self._young, {}
@@ -226,8 +228,8 @@ class Codec:
         _, first, back = np.unique(keys, return_index=True, return_inverse=True)
         raw = docs.data.tobytes()
         found = [self._encode_piece(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        flat = np.frombuffer(b"".join(found), np.uint32)
         at = np.cumsum(sizes) - sizes
         ids = gather(flat, at[back], sizes[back])
         total = np.concatenate([[0], np.cumsum(sizes[back])])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .textbytes import U64, mix
+from .textbytes import U64, chunks, mix
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -130,7 +130,7 @@ def _key(line: bytes, least: int) -> bytes | None:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chunks(batches, "text", 4 << 20):
         for at in range(0, len(batch), 500):
             part = batch.slice(at, 500)
             keys, ids, counts = [], [], []
@@ -269,7 +269,7 @@ def _probe(index: LineIndex, refs: DataFrame) -> DataFrame:
 
 
 def _strip(batches: Iterator[pa.RecordBatch], p: Params, carry: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chunks(batches, "text", 4 << 20):
         for at in range(0, len(batch), 500):
             part = batch.slice(at, 500)
             n_lines, n_dropped, digests, kept = [], [], [], []

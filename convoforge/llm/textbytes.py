@@ -6,6 +6,7 @@ and find words, lines and segment hashes with array operations instead of a Pyth
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -103,16 +104,29 @@ class Docs:
         return Docs(data, place[self.offsets]), place[starts], place[ends]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker that is used again would otherwise keep the most it ever took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each piece stays near ``limit`` bytes."""
-    for batch in batches:
-        docs = Docs.of(batch[column])
-        at = 0
-        while at < len(batch):
-            to = int(np.searchsorted(docs.offsets, docs.offsets[at] + limit, "right")) - 1
-            to = min(max(to, at + 1), len(batch))
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            docs = Docs.of(batch[column])
+            at = 0
+            while at < len(batch):
+                to = int(np.searchsorted(docs.offsets, docs.offsets[at] + limit, "right")) - 1
+                to = min(max(to, at + 1), len(batch))
+                yield batch.slice(at, to - at)
+                at = to
+            give_back()
+    finally:
+        give_back()
 
 
 @lru_cache(maxsize=4)

@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import U64, Docs, chunks, mix, padded, segment_hashes, words_at
+from .textbytes import U64, Docs, chunks, give_back, mix, padded, segment_hashes, words_at
 
 WINDOW = 8
+#: Rows that the fit takes at a time; what it needs beside the features is for these alone.
+FIT_ROWS = 200
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -151,25 +153,43 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     weights, bias = np.zeros(size), 0.0
     if len(set(y[part > 0])) < 2:
         return Model(weights.astype(np.float32), 0.0, 0.0, 40.0)
-    ids, vals = (table[c].combine_chunks() for c in ("ids", "vals"))
-    edges = ids.offsets.to_numpy()
-    ids, vals = ids.values.to_numpy(), vals.values.to_numpy().astype(float)
-    row = np.repeat(np.arange(len(y)), np.diff(edges))
+    blocks = [b for batch in table.select(["ids", "vals"]).to_batches(max_chunksize=FIT_ROWS) for b in [_block(batch)]]
+    del table
     cost = np.where(part > 0, np.where(y > 0, 0.5 / (y[part > 0] > 0).sum(), 0.5 / (y[part > 0] == 0).sum()), 0)
     square, bias_square = np.full(size, 1e-8), 1e-8
+
+    def logits() -> np.ndarray:
+        return bias + np.concatenate([np.bincount(_rows(edges), weights[ids] * vals, len(edges) - 1) for ids, vals, edges in blocks])
+
     for _ in range(p.epochs):
-        z = bias + np.bincount(row, weights[ids] * vals, len(y))
-        wrong = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        step = np.bincount(ids, wrong[row] * vals, size) + p.l2 * weights
+        wrong = cost * (1 / (1 + np.exp(-np.clip(logits(), -30, 30))) - y)
+        step, at = p.l2 * weights, 0
+        for ids, vals, edges in blocks:
+            here = wrong[at : at + len(edges) - 1]
+            step += np.bincount(ids, here[_rows(edges)] * vals, size)
+            at += len(here)
         square += step * step
         weights -= p.rate * step / np.sqrt(square)
         bias_square += wrong.sum() ** 2
         bias -= 0.1 * wrong.sum() / np.sqrt(bias_square)
-    z = bias + np.bincount(row, weights[ids] * vals, len(y))
+    z = logits()
+    del blocks
+    give_back()
     slope, shift = _platt(z[part == 0], y[part == 0])
     return Model(weights.astype(np.float32), float(bias), slope, shift)
 
 
+def _block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, values and row edges of a few rows, as views of the batch."""
+    ids, vals = batch["ids"], batch["vals"]
+    edges = ids.offsets.to_numpy()
+    return ids.values.to_numpy()[edges[0] : edges[-1]], vals.values.to_numpy()[edges[0] : edges[-1]], edges - edges[0]
+
+
+def _rows(edges: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+
+
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve that fits held-back labels, with smoothed targets, by Newton's method."""
     good, bad = (y > 0).sum(), (y == 0).sum()

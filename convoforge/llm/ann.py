@@ -7,8 +7,8 @@ and a sample of the nodes that have it as theirs, new links first) to each other
 have met. Queries walk the graph greedily: the best unvisited nodes of a beam are expanded until nothing better turns up
 or ``rounds`` are over; the best of the beam are rescored in double precision on the original vectors.
 
-Lists and beams are bounded per node by the method; ranks that pick them are limited before the shuffle, so a node that
-very many others point to sends no more than its share. Vectors travel as float16 in the graph's work.
+Lists and beams are bounded per node by the method; list members are limited before the shuffle, and a task tells a node
+no more than its ``k`` nearest, so a node that very many others point to gets no more than that from each task. Vectors travel as float16 in the graph's work.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component take no part, nor do those whose
 length is not the commonest one; a null id takes no part; rows that share an id are one vector, the smallest; with fewer
@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 
 from .scratch import drop, written
 
+#: So many met pairs are held by a task, 20 bytes each, before they are cut to the nearest of each node.
+HELD = 1 << 20
+
 
 @dataclass(frozen=True)
 class Params:
@@ -109,16 +112,34 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, p: Params) -> Itera
 
 
 def _best(pairs: DataFrame, p: Params) -> DataFrame:
-    """The k nearest of each node: (node, near array of (s, b, fresh)). Limited before the shuffle; old links win over their repeats."""
-    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b", "fresh"))
-    few = pairs.withColumn("nth", nth).where(F.col("nth") <= 3 * p.k)
-    few = few.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    """The k nearest of each node: (node, near array of (s, b, fresh)). Old links win over their repeats.
+
+    Repeats of a pair become one before lists are cut to ``k``. Tasks send each pair once and at most ``k`` of a node.
+    """
+    each = pairs.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
+    few = each.withColumn("nth", nth).where(F.col("nth") <= p.k)
     near = F.sort_array(F.collect_list(F.struct("s", "b", "fresh")), asc=False)
-    return few.groupBy("a").agg(F.slice(near, 1, p.k).alias("near")).withColumnRenamed("a", "node")
+    return few.groupBy("a").agg(near.alias("near")).withColumnRenamed("a", "node")
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair (a, b) once, with its best score, and of each ``a`` the ``k`` best."""
+    order = np.lexsort((-s, b, a))
+    a, b, s = a[order], b[order], s[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, s = a[first], b[first], s[first]
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    few = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[few], b[few], s[few]
 
 
-def _introduced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _introduced(batches: Iterator[pa.RecordBatch], width: int, p: Params) -> Iterator[pa.RecordBatch]:
     """Members of each list compared with each other; a pair is told to the side it could improve."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = 0
     for batch in batches:
         for at in range(0, len(batch), 200):
             lists = batch["list"].slice(at, 200)
@@ -126,19 +147,21 @@ def _introduced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             flat = lists.values.slice(edges[0], edges[-1] - edges[0])
             ids, fresh, least = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("b", "fresh", "least"))
             x = _matrix(flat.field("v"), width)
-            found: list[np.ndarray] = []
             for i, j in zip(edges[:-1] - edges[0], edges[1:] - edges[0], strict=True):
                 s = x[i:j] @ x[i:j].T
                 own, new = ids[i:j], fresh[i:j]
                 good = (s > least[i:j, None]) & (new[:, None] | new) & (own[:, None] != own)
                 u, w = np.nonzero(good)
-                found.append(np.stack([own[u], own[w], s[u, w].astype(np.float32).view(np.int32)], 0))
-            a, b, s = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
-            order = np.lexsort((b, a))
-            a, b, s = a[order], b[order], s[order]
-            first = np.ones(len(a), bool)
-            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(s[first].astype(np.int32).view(np.float32))], ["a", "b", "s"])
+                held.append((own[u], own[w], s[u, w].astype(np.float32)))
+                n += len(u)
+            if n > HELD:
+                held = [_nearest(*map(np.concatenate, zip(*held, strict=True)), p.k)]
+                n = len(held[0][0])
+                if n > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["a", "b", "s"])
+                    held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _nearest(*map(np.concatenate, zip(*held, strict=True)), p.k)], ["a", "b", "s"])
 
 
 def graph(nodes: DataFrame, width: int, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +182,7 @@ def graph(nodes: DataFrame, width: int, p: Params = Params()) -> tuple[DataFrame
         least = links.select("node", F.when(F.size("near") >= p.k, F.element_at("near", -1)["s"]).otherwise(F.lit(-2.0).cast("float")).alias("least"))
         known = small.select("node", "v").join(least, "node", "left").fillna(-2.0, ["least"]).withColumnRenamed("node", "b")
         lists = lists.join(known, "b").groupBy("a").agg(F.collect_list(F.struct("b", "fresh", "least", "v")).alias("list"))
-        met = lists.select("list").mapInArrow(lambda it: _introduced(it, width), "a long, b long, s float").withColumn("fresh", F.lit(True))
+        met = lists.select("list").mapInArrow(lambda it: _introduced(it, width, p), "a long, b long, s float").withColumn("fresh", F.lit(True))
         old = links.select(F.col("node").alias("a"), F.explode("near").alias("n")).select("a", "n.b", "n.s", F.lit(False).alias("fresh"))
         then = written(_best(old.union(met), p), "ann-graph")
         drop(links)

@@ -162,6 +162,36 @@ def test_neighbours_reach_the_true_ones(spark):
     assert hits >= 0.9 * 5 * len(queries_)
 
 
+def test_neighbour_lists_keep_distinct_nodes(spark):
+    p = ann.Params()
+    told = [(1, 2 + i, 1.0 - i / 1000, True) for i in range(6) for _ in range(40)]
+    held = [(1, 100 + i, 0.5 - i / 1000, False) for i in range(40)] + [(1, 2, 1.0, False)]
+    (got,) = ann._best(spark.createDataFrame(told + held, "a long, b long, s float, fresh boolean"), p).collect()
+    assert [(n["b"], n["fresh"]) for n in got["near"]] == [(2, False)] + [(3 + i, True) for i in range(5)] + [(100 + i, False) for i in range(p.k - 6)]
+    rng = np.random.default_rng(3)
+    a, b, s = rng.integers(0, 5, 3000), rng.integers(0, 60, 3000), rng.random(3000).astype(np.float32)
+    x, y, z = ann._nearest(a, b, s, 10)
+    for node in range(5):
+        best = {}
+        for k, v in zip(b[a == node].tolist(), s[a == node].tolist(), strict=True):
+            best[k] = max(v, best.get(k, -1))
+        assert list(zip(z[x == node].tolist(), y[x == node].tolist(), strict=True)) == sorted(((v, k) for k, v in best.items()), reverse=True)[:10]
+
+
+def test_neighbour_graph_of_the_default_parameters(spark):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(60, 32))[rng.integers(0, 60, 4000)] + 0.6 * rng.normal(size=(4000, 32))).astype(np.float64)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vec array<double>")
+    links, _ = ann.graph(nodes, 32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    true = np.argpartition(-s, 32, 1)[:, :32]
+    got = {r["node"]: [n["b"] for n in r["near"]] for r in links.collect()}
+    assert all(len(set(v)) == 32 for v in got.values()) and len(got) == 4000
+    assert np.mean([len(set(true[i].tolist()) & set(v)) / 32 for i, v in got.items()]) >= 0.95
+
+
 def test_neighbours_of_copies_and_odd_vectors(spark):
     data = [(i, [1.0, 2.0, float(i % 3)]) for i in range(60)] + [(100, None), (150, [0.0, 0.0, 0.0]), (200, [1.0, None, 2.0]), (250, [1.0, float("nan"), 0.0]), (300, [1.0]), (350, [2.0, 4.0, 0.0])]
     frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")

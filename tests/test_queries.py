@@ -34,3 +34,15 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["path", "chunk", "chunks", "record"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_hits_in_long_conversations_equal_sql(spark, tmp_path):
+    talk = [(c, t, ("user", "assistant")[t % 2], f"{'then' if t % 3 else 'now'} comes step {t}") for c in (0, 8, 24, 25) for t in range(150)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.read.parquet(f"{SF}/documents.parquet").limit(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["q_q2_hits"](spark, str(tmp_path)).select("path", "line_index").collect())
+    want = con.sql(f"SELECT path, line_index FROM ({ORACLE_SQL['q_q2_hits']})").fetchall()
+    assert got == sorted(want) and len(got) >= 400

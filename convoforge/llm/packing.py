@@ -7,14 +7,18 @@ taken as far as remainders reach; what is left is packed greedily, longest first
 as many bins as the window is long, so this part of the work is the same at any input size; every piece then finds
 its place from its rank among the pieces of its length.
 
-Defined results: null and empty texts consist of the closing id; text that looks like a special token is ordinary
-text; a null doc_id is packed like any other; repeated rows are packed each; an empty table gives an empty result.
+Defined results: null and empty texts consist of the closing id; with ``added_tokens`` the added tokens of the
+vocabulary file become their ids wherever a text holds them, as the tokenizers library does by itself, and without they
+are ordinary text; a null doc_id is packed like any other; repeated rows are packed each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, codec
+from .bpe import CHUNK, Codec, codec
 from .scratch import written
 from .textbytes import Docs, chunks
 
@@ -31,14 +35,50 @@ WINDOW = 1024
 MOST_COUNTS = 1_000_000
 
 
-def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, close: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=2)
+def added(path: str) -> dict[bytes, int]:
+    """Bytes and ids of the ``added_tokens`` of a tokenizer's JSON file, longest first."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"added token {t['content']!r} asks for its neighbours, which is not supported")
+    return {t["content"].encode(): t["id"] for t in sorted(tokens, key=lambda t: -len(t["content"].encode())) if t["content"]}
+
+
+def _encoded(own: Codec, docs: Docs, tokens: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``own.encode``, but the leftmost added tokens of each text become their ids, and what lies between is encoded apart."""
+    raw = docs.data.tobytes()
+    if not any(t in raw for t in tokens):
+        return own.encode(docs)
+    pattern, found, at = re.compile(b"|".join(map(re.escape, tokens))), [], 0
+    while m := pattern.search(raw, at):
+        inside = np.searchsorted(docs.offsets, m.start(), "right") == np.searchsorted(docs.offsets, m.end() - 1, "right")
+        if inside:
+            found.append((m.start(), m.end(), tokens[m[0]]))
+        at = m.end() if inside else m.start() + 1
+    starts, ends, named = np.array(found, np.int64).reshape(-1, 3).T
+    keep = np.ones(len(raw), bool)
+    for a, b in zip(starts, ends, strict=True):
+        keep[a:b] = False
+    place = np.concatenate([[0], np.cumsum(keep)])
+    every = np.concatenate([docs.offsets, starts])
+    order = np.argsort(every, kind="stable")  # an edge of documents comes before a token that begins there
+    ids, edges = own.encode(Docs(docs.data[keep], place[every[order]]))
+    token = order >= len(docs.offsets)
+    ids = np.insert(ids.astype(np.int64), edges[token], named[order[token] - len(docs.offsets)])
+    return ids, (edges + np.cumsum(token))[~token]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, close: int, with_ids: bool, added_tokens: bool) -> Iterator[pa.RecordBatch]:
     """Pieces of each document, with their rank among this task's pieces of the same length."""
     own = codec(path, library=True)
+    tokens = added(path) if added_tokens else {}
     task = TaskContext.get().partitionId()
     seen = np.zeros(window + 1, np.int64)
     for batch in chunks(batches, "text", CHUNK):
         docs = Docs.of(batch["text"])
-        ids, edges = own.encode(docs)
+        ids, edges = _encoded(own, docs, tokens)
         rows: list[tuple[int, int, int, int, int, int]] = []
         lists: list[np.ndarray] = []
         for i in range(len(docs)):
@@ -127,11 +167,11 @@ def _places(layout: list[tuple[tuple[int, ...], int]], window: int) -> tuple[np.
     return tuple(np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ([], [], [])))
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, close: int = 0, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, close: int = 0, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """One row per piece with its sequence and offset; with ``with_ids`` also the token ids, ready to be laid into sequences."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, nth long, task int" + ", ids array<int>" * with_ids
-    cut = written(docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, path, window, close, with_ids), schema), "pieces")
+    cut = written(docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, path, window, close, with_ids, added_tokens), schema), "pieces")
     counts = written(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(window + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most as many rows as the window is long

@@ -64,7 +64,7 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), with_ids=False, added_tokens=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op3_neighbours, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op9_personal, op10_packing)}

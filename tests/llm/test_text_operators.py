@@ -203,3 +203,19 @@ def test_packing_holds_every_id_once(docs):
         total = sum(r["length"] for r in rows)
         if len(rows) > 100:
             assert total / (1024 * len(sequences)) > 0.98
+
+
+def test_packing_takes_added_tokens_as_the_library_does(spark, docs):
+    from tokenizers import Tokenizer
+
+    own, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = ["abc <|endoftext|> def", e, e + e + " x", f"x  {e}\n\n{e}", "<|endof", "text|> the two before make none", "", f"é{e}漢字{e[:-1]}{e}", None, "plain text", f"{e[:5]}{e}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["ids"] for r in packing.pack(frame, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [[*own.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_packing_query_takes_added_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "abc <|endoftext|> def")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = queries.op10_packing(spark, str(tmp_path)).collect()
+    assert (row["doc_tokens"], row["ids_crc32"]) == (5, zlib.crc32(struct.pack("<5I", 39305, 220, 50256, 825, 0)))

@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import drop, written
@@ -59,7 +59,7 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], p: Params, carry: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         docs, starts, ends = Docs.of(batch["text"]).folded().joined_words()
         words = np.searchsorted(starts, docs.offsets)
@@ -69,13 +69,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.R
         begin = np.repeat(words[:-1] - first[:-1], shingles) + np.arange(first[-1])
         last = np.minimum(begin + p.shingle, np.repeat(words[1:], shingles)) - 1
         prints = majority(xxh64_segments(docs.data, starts[begin], ends[last], p.seed), first)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints.view(np.int64)), *(batch[c] for c in carry)], ["doc_id", "print", *carry])
 
 
-def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id and the 64-bit ``print`` of every row."""
+def fingerprints(docs: DataFrame, p: Params = Params(), carry: list[str] = []) -> DataFrame:
+    """doc_id and the 64-bit ``print`` of every row, and the columns of ``carry``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _fingerprints(it, p), f"doc_id {kind}, print long")
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *carry).mapInArrow(lambda it: _fingerprints(it, p, carry), f"doc_id {kind}, print long{more}")
 
 
 def _balls(bits: list[int], reach: int) -> np.ndarray:
@@ -214,6 +215,18 @@ def group(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def representatives(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row of each component: that of its smallest doc_id (rows that repeat it stay as they are)."""
-    kept = group(docs, p).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each component: that of the smallest doc_id (null comes last), then of the smallest text hash.
+
+    Chosen by row: rows that repeat a doc_id count apart, and a component whose ids are all null keeps a row too. Of rows
+    equal in doc_id and text one stays, that of the smallest hash over all columns.
+    """
+    row = [F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash")]
+    keyed = docs.select(*docs.columns, *row)
+    prints = written(fingerprints(keyed, p, ["id_hash", "text_hash"]), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "id_hash")
+    nodes = written(prints.groupBy("print").agg(F.min(first).alias("first")), "nodes")
+    roots = components(links(nodes, p)).withColumnRenamed("node", "print")
+    named = nodes.join(roots, "print", "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("first").alias("first"))
+    kept = keyed.join(named.select("first.id_hash", "first.text_hash"), ["id_hash", "text_hash"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("id_hash", "text_hash").orderBy(F.xxhash64(*docs.columns)))
+    return kept.withColumn("nth", nth).where(F.col("nth") == 1).select(*docs.columns)

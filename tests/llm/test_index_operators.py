@@ -279,3 +279,13 @@ def test_pipeline_stages(spark):
     assert before.count() == after.count() and not any(brute_spans(r["text"], SECRETS) for r in after.collect())
     before, after = seen["packing"]
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
+
+
+def test_representatives_are_rows(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine", "red green blue black white brown grey pink")
+    data = [(None, a, "x"), (None, a, "x"), (7, b, "x"), (7, b, "x"), (7, b, "y"), (3, b, "z"), (7, c, "x"), (None, c, "x"), (None, "", "x"), (None, None, "y")]
+    got = sorted(rows(simhash.representatives(spark.createDataFrame(data, "doc_id long, text string, source string"))), key=str)
+    assert len(got) == 4 and [r for r in got if r[0] is not None] == [(3, b, "z"), (7, c, "x")]
+    assert (None, a, "x") in got and sum(not r[1] for r in got) == 1
+    same = [(5, b, "x"), (5, b, "x"), (5, b, "y")]
+    assert simhash.representatives(spark.createDataFrame(same, "doc_id long, text string, source string")).count() == 1

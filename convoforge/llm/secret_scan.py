@@ -1,14 +1,15 @@
 """Secret scan in DataFrame operations alone: known formats, then a battery of randomness tests.
 
 Known formats give the base spans. Beyond them, every long run of encoding characters is a candidate. Its encoding is
-inferred (decimal, hexadecimal, base32, base36, base62 or base64), and each distinct candidate is tested once against
-three pictures of ordinary text, all of which it must refute:
+inferred (decimal, hexadecimal, letters of one case, base32, base36, base62 or base64), and each distinct candidate is
+tested once against three pictures of ordinary text, all of which it must refute:
 
 * characters: ordinary text uses an alphabet unevenly, so chi-squared grows with the length; a small value refutes it;
 * runs: ordinary text seldom changes between digits, small and capital letters; many runs refute it;
-* serial correlation: counters and alphabets step evenly; a correlation of neighbours near zero refutes it.
+* serial correlation: counters and alphabets step evenly; a correlation of neighbours well above zero is a veto.
 
-The largest of the three p-values counts. Long candidates get more weight (their tests have more power; the mean weight
+Where both of the first two speak for chance, their p-values are combined by Fisher's method, else the larger counts;
+runs say nothing about an alphabet of one class. The result is never below Fisher's, so it stays a p-value. Long candidates get more weight (their tests have more power; the mean weight
 is one), and a Benjamini-Hochberg step on the weighted p-values of all distinct candidates holds the share of false
 discoveries at ``false_rate``. It reads the p-values from a histogram of fixed size. Spans of accepted candidates that
 touch no base span are added as kind ``random``.
@@ -38,13 +39,16 @@ ORDER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_="
 
 @dataclass(frozen=True)
 class Params:
-    """``uneven``: how far ordinary text departs from a uniform alphabet; ``change``: how often neighbours in it change class."""
+    """``uneven``: how far ordinary text departs from a uniform alphabet; ``change``: how often neighbours in it change class;
+    ``agree``: p-values up to which both tests are combined."""
 
     false_rate: float = 0.05
     uneven: float = 1.0
     letter_coincidence: float = 0.065
     change: float = 0.12
     correlation: float = 0.5
+    agree: float = 0.2
+    correlation_deviations: float = 3.0
     weight_length: int = 64
     bin_width: float = 0.05
     bins: int = 400
@@ -70,7 +74,7 @@ def p_values(tokens: DataFrame, p: Params = Params()) -> DataFrame:
     """Adds ``p`` to distinct ``token`` rows: the chance at most that ordinary text looks as random as this."""
     bare = F.regexp_replace("token", "=+$", "")
     size = (
-        F.when(F.col("bare").rlike("^[0-9]+$"), 10).when(F.col("bare").rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(F.col("bare").rlike("^[A-Z2-7]+$"), 32)
+        F.when(F.col("bare").rlike("^[0-9]+$"), 10).when(F.col("bare").rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(F.col("bare").rlike("^([a-z]+|[A-Z]+)$"), 26).when(F.col("bare").rlike("^[A-Z2-7]+$"), 32)
         .when(F.col("bare").rlike("^([0-9a-z]+|[0-9A-Z]+)$"), 36).when(F.col("bare").rlike("^[0-9A-Za-z]+$"), 62).otherwise(64)
     )
     rows = tokens.withColumn("bare", bare).withColumn("k", size.cast("double")).withColumn("chars", F.split("bare", ""))
@@ -81,8 +85,8 @@ def p_values(tokens: DataFrame, p: Params = Params()) -> DataFrame:
     )
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumn("chi", F.col("k") * squares / F.col("n") - F.col("n"))
-    rows = rows.withColumn("joined", F.regexp_replace("bare", "[^0-9A-Za-z]", ""))  # signs between words are no change of class
-    rows = rows.withColumn("runs", F.size(F.regexp_extract_all(F.col("joined"), F.lit("[0-9]+|[a-z]+|[A-Z]+"), F.lit(0))).cast("double"))
+    rows = rows.withColumn("joined", F.regexp_replace("bare", "[^0-9A-Za-z]", ""))  # signs between words are no change of class, nor is the small letter after a capital
+    rows = rows.withColumn("runs", F.size(F.regexp_extract_all(F.col("joined"), F.lit("[0-9]+|[A-Z]?[a-z]+|[A-Z]+"), F.lit(0))).cast("double"))
     rows = rows.withColumn("mean", add("codes") / F.col("n"))
     rows = rows.withColumn("dev", F.transform("codes", lambda x: x - F.col("mean")))
     spread = add(F.transform("dev", lambda d: d * d))
@@ -92,8 +96,11 @@ def p_values(tokens: DataFrame, p: Params = Params()) -> DataFrame:
     chi = _phi((F.col("chi") - (F.col("k") - 1) - shift) / F.sqrt(2 * (F.col("k") - 1) + 4 * shift))
     steps = F.greatest(F.length("joined") - 1, F.lit(1)).cast("double")
     runs = _phi((steps * p.change - (F.col("runs") - 1)) / F.sqrt(steps * p.change * (1 - p.change)))
-    serial = _phi((F.abs("serial") - p.correlation) * F.sqrt("n"))
-    tested = F.when(F.col("k") == 10, F.greatest(chi, serial)).otherwise(F.greatest(chi, runs, serial))  # digits have one class only
+    rows = rows.select("token", "n", "k", "serial", chi.alias("chi"), runs.alias("runs"))
+    larger, product = F.greatest("chi", "runs"), F.greatest(F.col("chi") * F.col("runs"), F.lit(1e-300))
+    both = F.when(larger <= p.agree, product * (1 - F.log(product))).otherwise(larger)
+    even = F.abs("serial") >= F.greatest(F.lit(p.correlation), p.correlation_deviations / F.sqrt("n"))
+    tested = F.when(even, F.lit(1.0)).when(F.col("k").isin(10, 26), F.col("chi")).otherwise(both)
     return rows.select("token", F.col("n").cast("int").alias("n"), tested.alias("p"))
 
 

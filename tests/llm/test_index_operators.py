@@ -123,6 +123,25 @@ def test_random_strings_are_told_from_words(spark):
     assert not any("random" in got[len(keys) + i] for i in range(len(plain)))  # long runs of digits are base spans
 
 
+def test_short_keys_are_found_among_many_ordinary_candidates(spark):
+    random.seed(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = {n: ["".join(random.choice(alphabet) for _ in range(n)) for _ in range(40)] for n in (20, 24, 32, 40)}
+    vocabulary = sorted({w.lower() for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for w in re.findall("[A-Za-z]{3,12}", r["text"] or "")})
+    words_ = "customer account settings controller service request handler message factory manager internal payload header response network address element document context".split()
+    plain = set()
+    while len(plain) < 12_000:
+        w = [random.choice(random.choice((vocabulary, words_))) for _ in range(random.randint(3, 7))]
+        made = random.choice((lambda w: "".join(x.title() for x in w), "_".join, "-".join, "/".join, "".join, lambda w: "_".join(w).upper(), lambda w: "-".join(w) + f"-{random.randint(1, 2030)}"))(w)
+        if len(made) >= 20:
+            plain.add(made)
+    tokens = [(t,) for ts in keys.values() for t in ts] + [(t,) for t in plain]
+    found = {r["token"] for r in secret_scan.discoveries(secret_scan.p_values(spark.createDataFrame(tokens, "token string"))).collect()}
+    for n, ts in keys.items():
+        assert len(found & set(ts)) >= 36, n
+    assert len(found & plain) <= 0.1 * len(found)
+
+
 def test_redaction_leaves_no_secret(spark):
     data = odd_texts()
     frame = spark.createDataFrame(data, "doc_id long, text string")

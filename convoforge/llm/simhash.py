@@ -1,22 +1,32 @@
-"""SimHash near-duplicates: fingerprints, ball hashing, connected components.
+"""SimHash near-duplicates: fingerprints, ball hashing, connected components, and verified near-duplicate groups.
 
-A fingerprint bit is the majority bit of the XXH64 values of a text's word shingles. Two fingerprints are linked at
-``radius`` or fewer differing bits. Distinct fingerprints meet in the middle: of an odd radius, one differing bit is
-hidden by erasing one of ``blocks`` blocks of bits (some block holds it), and of what remains each side covers half
-the distance by emitting every variant of itself within ``radius // 2`` bits. Variants are shuffled; fingerprints that
-share one form a bucket. A bucket holds fingerprints that agree outside the erased block up to ``radius // 2`` bits, so
-its size is bounded by the block, never by the number of documents, and links inside it are verified exactly: small
-buckets by comparing all, large ones by looking up variants. Each bucket hands on a spanning forest of its links,
-which loses no connection. Components come from repeated minimum labels with checkpoints in the shared folder.
+A fingerprint bit is the majority bit of the XXH64 values of a text's word shingles. Fingerprints meet in the middle:
+the bits are cut into ``blocks`` blocks, of which one holds at most ``radius // blocks`` of up to ``radius`` differing
+bits, so for each block (a view) both sides cover half that distance by emitting every variant of the block within
+it. Variants are shuffled as plain rows and sorted; those that share one form a run, and the runs are compared as they
+stream by. A pair is told in one run of a view only, which both sides know.
+
+``group`` links fingerprints at ``radius`` or fewer differing bits. Runs of up to ``small`` rows are compared in full;
+a longer run hands on a spanning forest of its links, which loses no connection, found in memory of its own length.
+
+``representatives`` keeps one row of each group of texts whose sets of five-word shingles have a similarity of 0.8 or
+more. Single edits move five shingles but one word, so a print of the distinct words finds candidates, a second print
+of the distinct shingles sifts them, and the sets of whole texts decide. All pairs of short runs are verified; in a
+longer run every row is verified with the ``partners`` nearest by the second print (a third of all texts may
+resemble each other, and only so does the work stay in proportion to them). Such a group still comes together over its
+other links; measured recall is in the README.
+
+Components come from repeated minimum labels with tables in the shared folder.
 
 Defined results: copies share a fingerprint and are joined at no cost; a null or empty text has fingerprint zero and
-links like any other; texts with fewer words than a shingle use the whole sequence; a null doc_id gets a component as
-its fingerprint has but is never its smallest id; an empty table gives an empty result.
+links like any other (two texts without words are similar); texts with fewer words than a shingle use the whole
+sequence; a null doc_id gets a component as its fingerprint has but is never its smallest id; an empty table gives an
+empty result; other columns, whatever their names, are carried by ``representatives`` and ignored by ``group``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -26,15 +36,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import drop, written
-from .textbytes import U64, Docs, chunks, xxh64_segments
+from .textbytes import U64, Docs, chunks, mix, xxh64_segments
 
 
 @dataclass(frozen=True)
 class Params:
+
     shingle: int = 3
     radius: int = 3
-    blocks: int = 4
+    blocks: int = 2
     seed: int = 42
+    small: int = 16
+    dense: int = 20_000
+
+
+@dataclass(frozen=True)
+class Near:
+    """Near-duplicate groups: ``similarity`` of sets of ``shingle`` words. ``ball``: how prints of distinct words meet; up
+    to ``limit`` differing bits of them and ``sift`` of the second print count as candidates."""
+
+    shingle: int = 5
+    similarity: float = 0.8
+    ball: Params = Params(shingle=1, radius=8, blocks=3)
+    limit: int = 12
+    sift: int = 22
+    partners: int = 8
+    salt_rows: int = 64
 
 
 _SPREAD = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).view("<u8").ravel()
@@ -59,125 +86,169 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], p: Params, carry: list[str]) -> Iterator[pa.RecordBatch]:
+def _shingles(joined: tuple[Docs, np.ndarray, np.ndarray], words: int, seed: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of folded, joined documents; document i has ``hashes[first[i]:first[i + 1]]``."""
+    docs, starts, ends = joined
+    at = np.searchsorted(starts, docs.offsets)
+    count = np.diff(at)
+    shingles = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    first = np.concatenate([[0], np.cumsum(shingles)])
+    begin = np.repeat(at[:-1] - first[:-1], shingles) + np.arange(first[-1])
+    last = np.minimum(begin + words, np.repeat(at[1:], shingles)) - 1
+    hashes = xxh64_segments(docs.data, starts[begin], ends[last], seed)
+    if not distinct:
+        return hashes, first
+    doc = np.repeat(np.arange(len(shingles), dtype=U64), shingles)
+    keep = np.sort(np.unique(hashes ^ mix(doc), return_index=True)[1])
+    return hashes[keep], np.searchsorted(doc[keep], np.arange(len(shingles) + 1))
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], kinds: list[tuple[int, bool]], seed: int, carry: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
-        docs, starts, ends = Docs.of(batch["text"]).folded().joined_words()
-        words = np.searchsorted(starts, docs.offsets)
-        count = np.diff(words)
-        shingles = np.where(count > 0, np.maximum(count - p.shingle + 1, 1), 0)
-        first = np.concatenate([[0], np.cumsum(shingles)])
-        begin = np.repeat(words[:-1] - first[:-1], shingles) + np.arange(first[-1])
-        last = np.minimum(begin + p.shingle, np.repeat(words[1:], shingles)) - 1
-        prints = majority(xxh64_segments(docs.data, starts[begin], ends[last], p.seed), first)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints.view(np.int64)), *(batch[c] for c in carry)], ["doc_id", "print", *carry])
-
-
-def fingerprints(docs: DataFrame, p: Params = Params(), carry: list[str] = []) -> DataFrame:
-    """doc_id and the 64-bit ``print`` of every row, and the columns of ``carry``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select("doc_id", "text", *carry).mapInArrow(lambda it: _fingerprints(it, p, carry), f"doc_id {kind}, print long{more}")
-
-
-def _balls(bits: list[int], reach: int) -> np.ndarray:
-    """Every mask of up to ``reach`` of the given bits."""
-    return np.array([sum(1 << b for b in some) for n in range(reach + 1) for some in combinations(bits, n)], U64)
-
-
-def _views(p: Params) -> list[tuple[int, np.ndarray, list[int]]]:
-    """For each erased block: its mask, the variants outside it, its bits. An even radius needs no erased block."""
-    if p.radius % 2 == 0:
-        return [(0, _balls(list(range(64)), p.radius // 2), [])]
-    width = -(-64 // p.blocks)
+        docs = Docs.of(batch["text"]).folded().joined_words()
+        prints = [pa.array(majority(*_shingles(docs, n, seed, distinct)).view(np.int64)) for n, distinct in kinds]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in carry), *prints], [*carry, *(f"print{i or ''}" for i in range(len(kinds)))])
+
+
+def fingerprints(docs: DataFrame, kinds: list[tuple[int, bool]], seed: int, carry: list[str]) -> DataFrame:
+    """The columns of ``carry`` and a 64-bit print (``print``, ``print1``, ...) for each (words of a shingle, distinct ones alone)."""
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    names = [f"print{i or ''} long" for i in range(len(kinds))]
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(lambda it: _fingerprints(it, kinds, seed, carry), ", ".join([*kept, *names]))
+
+
+def _views(p: Params) -> list[tuple[int, int, np.ndarray]]:
+    """For each block: its lowest bit, its mask there, and every mask of up to half the differing bits it may hold."""
+    edges = [64 * i // p.blocks for i in range(p.blocks + 1)]
+    half = -(-(p.radius // p.blocks) // 2)
     out = []
-    for lo in range(0, 64, width):
-        block = list(range(lo, min(lo + width, 64)))
-        out.append((sum(1 << b for b in block), _balls([b for b in range(64) if b not in block], p.radius // 2), block))
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        ball = [sum(1 << b for b in some) for n in range(half + 1) for some in combinations(range(hi - lo), n)]
+        out.append((lo, (1 << (hi - lo)) - 1, np.array(ball, U64)))
     return out
 
 
-def _variants(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+def _variants(batches: Iterator[pa.RecordBatch], p: Params, carry: list[str]) -> Iterator[pa.RecordBatch]:
     views = _views(p)
     for batch in batches:
-        prints = batch["print"].to_numpy().view(U64)
-        for at in range(0, len(prints), 2000):
-            part = prints[at : at + 2000]
-            for k, (mask, ball, _) in enumerate(views):
-                keys = ((part & ~U64(mask))[:, None] ^ ball).ravel()
-                view = pa.array(np.full(len(keys), k, np.int8))
-                yield pa.RecordBatch.from_arrays([view, pa.array(keys.view(np.int64)), pa.array(np.repeat(part, len(ball)).view(np.int64))], ["view", "variant", "print"])
-
-
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y)
-
-
-def _linked(prints: np.ndarray, radius: int, block: list[int]) -> Iterator[tuple[int, int]]:
-    """Index pairs of linked fingerprints of one bucket: all of them if it is small, else through lookups of variants."""
-    n = len(prints)
-    if n <= 256:
-        for i in range(n - 1):
-            for j in np.flatnonzero(_distance(prints[i + 1 :], prints[i]) <= radius):
-                yield i, i + 1 + int(j)
-        return
-    erased = U64(sum(1 << b for b in block))
-    outside, inside = prints & ~erased, prints & erased
-    groups = {int(g): np.flatnonzero(outside == g) for g in np.unique(outside)}
-    names = list(groups)
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            rest = radius - (a ^ b).bit_count()
-            if rest < 0:
-                continue
-            left, right = groups[a], groups[b]
-            order = right[np.argsort(inside[right], kind="stable")]
-            known = inside[order]
-            for ball in _balls(block, rest):
-                at = np.searchsorted(known, inside[left] ^ ball)
-                hit = at < len(known)
-                hit[hit] = known[at[hit]] == (inside[left] ^ ball)[hit]
-                for x, y in zip(left[hit].tolist(), order[at[hit]].tolist(), strict=True):
-                    if x != y:
-                        yield x, y
-
-
-def _forest(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the buckets' verified links, as (larger, smaller) fingerprints."""
-    blocks = [block for _, _, block in _views(p)]
+        for at in range(0, len(batch), 2000):
+            part = batch.slice(at, 2000)
+            prints = part["print"].to_numpy().view(U64)
+            for k, (lo, mask, ball) in enumerate(views):
+                runs = ((((prints >> U64(lo)) & U64(mask))[:, None] ^ ball) * U64(p.blocks) + U64(k)).ravel()
+                again = np.repeat(np.arange(len(part)), len(ball))
+                rows = [part[c].take(pa.array(again)) for c in carry]
+                yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), *rows], ["run", *carry])
+
+
+def _meeting(rows: DataFrame, p: Params, carry: list[str], pairs: Callable, schema: str) -> DataFrame:
+    """Variants of all rows, brought together by run; ``pairs`` compares the runs as they stream by.
+
+    Few bytes come in and many go out, so rows are dealt anew (by a hash, which the grouping before has not dealt by).
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    dealt = rows.select(*carry).repartition(tasks, F.xxhash64("print", F.lit(1)))
+    variants = dealt.mapInArrow(lambda it: _variants(it, p, carry), f"run long, {kinds}")
+    return variants.repartition("run").sortWithinPartitions("run").mapInArrow(lambda it: pairs(_runs(it, carry)), schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], carry: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of sorted rows, cut between runs; a run that goes on over batches is held until it ends."""
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        lists, views = batch["prints"], batch["view"].to_numpy()
-        flat, at = lists.values.to_numpy().view(U64), lists.offsets.to_numpy()
-        found: list[tuple[int, int]] = []
-        pair = np.flatnonzero(np.diff(at) == 2)
-        x, y = flat[at[pair]], flat[at[pair] + 1]
-        near = _distance(x, y) <= p.radius
-        found_x, found_y = [x[near]], [y[near]]
-        for i in np.flatnonzero(np.diff(at) > 2):
-            prints = flat[at[i] : at[i + 1]]
-            top = list(range(len(prints)))
-
-            def root(k: int, top: list[int] = top) -> int:
-                while top[k] != k:
-                    top[k] = top[top[k]]
-                    k = top[k]
-                return k
-
-            for a, b in _linked(prints, p.radius, blocks[views[i]]):
-                a, b = root(a), root(b)
-                if a != b:
-                    top[max(a, b)] = min(a, b)
-                    found.append((int(prints[max(a, b)]), int(prints[min(a, b)])))
-        more = np.array(found, U64).reshape(-1, 2)
-        x, y = np.concatenate([*found_x, more[:, 0]]), np.concatenate([*found_y, more[:, 1]])
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+        if not len(batch):
+            continue
+        columns = tuple(batch[c].to_numpy() for c in ("run", *carry))
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if held and cut == 0 and held[-1][0][-1] == columns[0][-1]:
+            held.append(columns)
+            continue
+        yield tuple(np.concatenate(x) for x in zip(*held, tuple(c[:cut] for c in columns), strict=True))
+        held = [tuple(c[cut:] for c in columns)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _told(run: np.ndarray, x: np.ndarray, y: np.ndarray, p: Params) -> np.ndarray:
+    """Whether this run is the one of its view in which the pair of prints x, y is told."""
+    run = run.view(U64)
+    lows, masks = np.array([v[0] for v in _views(p)], U64), np.array([v[1] for v in _views(p)], U64)
+    view = (run % U64(p.blocks)).astype(np.int64)
+    x, y = (x >> lows[view]) & masks[view], (y >> lows[view]) & masks[view]
+    apart = x ^ y
+    lowest = apart & (~apart + U64(1))
+    bits = np.bitwise_count(apart)
+    if p.radius // p.blocks not in (1, 2):  # variants of one bit alone are told apart so
+        return np.ones(len(run), bool)
+    own = np.where(bits == 0, x ^ U64(1), np.where(bits == 1, np.minimum(x, y), np.minimum(x ^ lowest, y ^ lowest)))
+    return own == run // U64(p.blocks)
+
+
+def _close(run: np.ndarray, most: int, near: Callable) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Index pairs of all near rows in runs of up to ``most`` rows, and where the longer runs begin and end."""
+    begin = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(run)))
+    longer = [(int(b), int(b + n)) for b, n in zip(begin[size > most], size[size > most], strict=True)]
+    left = np.repeat(np.where(size > most, 0, begin + size), size)  # where the run of each row ends
+    i, step, some = np.arange(len(run)), 1, []
+    while len(i := i[i + step < left[i]]):
+        ok = i[near(i, i + step)]
+        some.append((ok, ok + step))
+        step += 1
+    return *_joined(some), longer
+
+
+def _parts(prints: np.ndarray, blocks: int) -> Iterator[np.ndarray]:
+    """Indices of the prints that share a block of bits, for each of ``blocks`` blocks."""
+    width = 64 // blocks
+    for lo in range(0, width * blocks, width):
+        block = (prints >> U64(lo)) & U64((1 << width) - 1)
+        order = np.argsort(block, kind="stable")
+        yield from (part for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(part) > 1)
+
+
+def _joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    first, second = zip((none, none), *pairs, strict=True)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _forest(prints: np.ndarray, radius: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect all prints linked at ``radius``. Very many are first parted by a block that links leave equal."""
+    if len(prints) > dense:
+        forests = ((part, _forest(prints[part], radius, len(part))) for part in _parts(prints, radius + 1))
+        return _joined([(part[a], part[b]) for part, (a, b) in forests])
+    left, a, b, reached = np.arange(len(prints)), [], [], []
+    while len(left):
+        at = reached.pop() if reached else left[0]
+        if left[0] == at:
+            left = left[1:]
+        near = np.bitwise_count(prints[left] ^ prints[at]) <= radius
+        found = left[near]
+        a += [at] * len(found)
+        b += found.tolist()
+        reached += found.tolist()
+        left = left[~near]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _links(runs: Iterator[tuple[np.ndarray, ...]], p: Params) -> Iterator[pa.RecordBatch]:
+    for run, prints in runs:
+        prints = prints.view(U64)
+        first, second, longer = _close(run, p.small, lambda i, j, x=prints: np.bitwise_count(x[i] ^ x[j]) <= p.radius)
+        told = _told(run[first], prints[first], prints[second], p)
+        pairs = [(first[told], second[told])]
+        for at, to in longer:
+            a, b = _forest(prints[at:to], p.radius, p.dense)
+            pairs.append((a + at, b + at))
+        x, y = (prints[i].view(np.int64) for i in _joined(pairs))
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
 
 def links(prints: DataFrame, p: Params = Params()) -> DataFrame:
     """Linked pairs (a, b) of the distinct fingerprints in column ``print``: enough of them to connect all that are linked."""
-    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes come in, two hundred times as many go out
-    variants = prints.select("print").repartition(tasks, "print").mapInArrow(lambda it: _variants(it, p), "view byte, variant long, print long")
-    buckets = variants.groupBy("view", "variant").agg(F.collect_list("print").alias("prints")).where(F.size("prints") > 1)
-    return buckets.mapInArrow(lambda it: _forest(it, p), "a long, b long").distinct()
+    return _meeting(prints, p, ["print"], lambda runs: _links(runs, p), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,28 +276,104 @@ def components(edges: DataFrame) -> DataFrame:
 
 def group(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, ``print`` and ``component_id`` (the smallest doc_id reachable over links) of every row."""
-    prints = written(fingerprints(docs, p), "prints")
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    prints = written(fingerprints(docs, [(p.shingle, False)], p.seed, ["doc_id"]), "prints")
+    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes, p)).withColumnRenamed("node", "print")
     nodes = nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    nodes = written(nodes, "nodes")
     named = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(nodes.join(named, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-def representatives(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (null comes last), then of the smallest text hash.
-
-    Chosen by row: rows that repeat a doc_id count apart, and a component whose ids are all null keeps a row too. Of rows
-    equal in doc_id and text one stays, that of the smallest hash over all columns.
+def _partners(fine: np.ndarray, words: np.ndarray, own: np.ndarray, near: Near, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a long run, each row in ``own`` with the rows nearest to it; very many rows are first parted by a block of four."""
+    if len(fine) > dense:
+        found = ((part, _partners(fine[part], words[part], np.flatnonzero(np.isin(part, own)), near, len(part))) for part in _parts(words, 4))
+        return _joined([(part[a], part[b]) for part, (a, b) in found])
+    a, b, few = [], [], min(near.partners + 1, len(fine))
+    for at in own.tolist():
+        apart = np.bitwise_count(fine ^ fine[at])
+        apart[np.bitwise_count(words ^ words[at]) > near.limit] = 255
+        for to in np.argpartition(apart, few - 1)[:few].tolist():
+            if to != at and apart[to] <= near.sift:
+                a.append(at)
+                b.append(to)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _candidates(runs: Iterator[tuple[np.ndarray, ...]], near: Near) -> Iterator[pa.RecordBatch]:
+    p = near.ball
+    lows, masks = np.array([v[0] for v in _views(p)], U64), np.array([v[1] for v in _views(p)], U64)
+    for run, words, fine, nodes in runs:
+        words, fine = words.view(U64), fine.view(U64)
+
+        def alike(i: np.ndarray, j: np.ndarray, x: np.ndarray = words, y: np.ndarray = fine) -> np.ndarray:
+            return (np.bitwise_count(x[i] ^ x[j]) <= near.limit) & (np.bitwise_count(y[i] ^ y[j]) <= near.sift)
+
+        first, second, longer = _close(run, p.small, alike)
+        told = _told(run[first], words[first], words[second], p)
+        pairs = [(first[told], second[told])]
+        for at, to in longer:
+            value, view = int(run[at]) // p.blocks, int(run[at]) % p.blocks
+            own = np.flatnonzero(((words[at:to] >> lows[view]) & masks[view]) == U64(value))
+            a, b = _partners(fine[at:to], words[at:to], own, near, p.dense)
+            pairs.append((a + at, b + at))
+        x, y = (nodes[i] for i in _joined(pairs))
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
+    """Pairs whose texts have sets of shingles that are similar enough."""
+    for batch in chunks(chunks(batches, "text_a"), "text_b"):
+        keys, pair, sizes = [], [], []
+        for side in ("text_a", "text_b"):
+            hashes, first = _shingles(Docs.of(batch[side]).folded().joined_words(), near.shingle, near.ball.seed, True)
+            sizes.append(np.diff(first))
+            pair.append(np.repeat(np.arange(len(batch)), sizes[-1]))
+            keys.append(hashes ^ mix(pair[-1].astype(U64)))
+        keys, pair = np.concatenate(keys), np.concatenate(pair)
+        order = np.argsort(keys, kind="stable")
+        shared = np.bincount(pair[order[1:]][keys[order[1:]] == keys[order[:-1]]], minlength=len(batch))
+        either = sizes[0] + sizes[1] - shared
+        yield batch.select(["a", "b"]).filter(pa.array(shared >= near.similarity * either - 1e-9))
+
+
+def _told_texts(pairs: DataFrame, side: str, other: str, texts: DataFrame, near: Near) -> DataFrame:
+    """Adds the text of one side. Texts with many pairs are copied, one for each ``salt_rows`` pairs, so no task gets them all."""
+    salts = pairs.groupBy(side).agg(F.ceil(F.count("*") / near.salt_rows).cast("int").alias("salts"))
+    copies = texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")).join(salts, side)
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    salted = pairs.join(salts, side).withColumn("salt", F.pmod(F.xxhash64(other), "salts").cast("int")).drop("salts")
+    return salted.join(copies, [side, "salt"]).drop("salt")
+
+
+def representatives(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """One row of each group of similar texts: that of the smallest doc_id (null comes last), then of the smallest text hash.
+
+    Chosen by row: rows that repeat a doc_id count apart, and a group whose ids are all null keeps a row too. Of rows
+    equal in doc_id and text one stays, that of the smallest hash over all columns. Rows are named by 64-bit hashes of
+    both columns together.
     """
-    row = [F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash")]
-    keyed = docs.select(*docs.columns, *row)
-    prints = written(fingerprints(keyed, p, ["id_hash", "text_hash"]), "prints")
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # other columns may have any name
+    plain = docs.toDF(*columns)
+    doc_id, text = (F.col(columns[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    keyed = plain.withColumns({"doc_id": doc_id, "text": text, "id_hash": F.xxhash64(doc_id), "text_hash": F.xxhash64(text)})
+    kinds = [(near.ball.shingle, True), (near.shingle, True)]
+    prints = written(fingerprints(keyed, kinds, near.ball.seed, ["doc_id", "id_hash", "text_hash"]), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "id_hash")
-    nodes = written(prints.groupBy("print").agg(F.min(first).alias("first")), "nodes")
-    roots = components(links(nodes, p)).withColumnRenamed("node", "print")
-    named = nodes.join(roots, "print", "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("first").alias("first"))
+    nodes = prints.groupBy("text_hash", "print", "print1").agg(F.min(first).alias("first"))
+    nodes = written(nodes.drop("text_hash").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    drop(prints)
+    met = _meeting(nodes, near.ball, ["print", "print1", "node"], lambda runs: _candidates(runs, near), "a long, b long")
+    pairs = written(met.distinct(), "pairs")
+    paired = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    wanted = nodes.join(paired, "node", "left_semi").select("node", "first.id_hash", "first.text_hash")
+    texts = keyed.select("id_hash", "text_hash", "text").join(wanted, ["id_hash", "text_hash"]).select("node", "text")
+    texts = written(texts.dropDuplicates(["node"]), "texts")
+    both = _told_texts(_told_texts(pairs, "a", "b", texts, near), "b", "a", texts, near)
+    roots = components(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar(it, near), "a long, b long"))
+    drop(pairs)
+    drop(texts)
+    named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = keyed.join(named.select("first.id_hash", "first.text_hash"), ["id_hash", "text_hash"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("id_hash", "text_hash").orderBy(F.xxhash64(*docs.columns)))
-    return kept.withColumn("nth", nth).where(F.col("nth") == 1).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("id_hash", "text_hash").orderBy(F.xxhash64(*columns)))
+    return kept.withColumn("nth", nth).where("nth = 1").select(*columns).toDF(*docs.columns)

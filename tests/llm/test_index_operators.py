@@ -276,6 +276,39 @@ def test_labelers_accept_and_reject(spark):
     assert sum(bool(got[len(good) + i]) for i in range(len(bad))) <= 0.1 * len(bad)
 
 
+def brute_near(rows):
+    """Smallest doc_ids of the groups of texts whose sets of five-word shingles are at least 0.8 alike."""
+    sets = {}
+    for r in rows:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "").translate({c: " " for c in range(9, 14)}).split(" ")
+        words = [w for w in words if w]
+        sets[r["doc_id"]] = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+    top, at = {d: d for d in sets}, {}
+
+    def root(d):
+        while top[d] != d:
+            d = top[d]
+        return d
+
+    for d in sorted(sets):
+        shared = {}
+        for g in sets[d] or {None}:
+            for e in at.setdefault(g, []):
+                shared[e] = shared.get(e, 0) + 1
+            at[g].append(d)
+        for e, n in shared.items():
+            either = len(sets[d] | sets[e])
+            if (not either or 5 * n >= 4 * either) and root(d) != root(e):
+                top[max(root(d), root(e))] = min(root(d), root(e))
+    return sorted({root(d) for d in sets})
+
+
+def test_near_dedup_finds_similar_texts(spark):
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    want, got = brute_near(docs.collect()), sorted(r["doc_id"] for r in simhash.representatives(docs).collect())
+    assert set(want) <= set(got) and len(got) - len(want) <= 0.01 * (docs.count() - len(want))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -293,7 +326,7 @@ def test_pipeline_stages(spark):
     want = {d: h for d, _, _, h in brute_lines([(r["doc_id"], r["text"]) for r in before.collect()])}
     assert {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in after.collect()} == want
     before, after = seen["near dedup"]
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted({r["component_id"] for r in simhash.group(before).collect()})
+    assert sorted(r["doc_id"] for r in after.collect()) == brute_near(before.collect())
     before, after = seen["secret scan"]
     assert before.count() == after.count() and not any(brute_spans(r["text"], SECRETS) for r in after.collect())
     before, after = seen["packing"]
@@ -306,5 +339,11 @@ def test_representatives_are_rows(spark):
     got = sorted(rows(simhash.representatives(spark.createDataFrame(data, "doc_id long, text string, source string"))), key=str)
     assert len(got) == 4 and [r for r in got if r[0] is not None] == [(3, b, "z"), (7, c, "x")]
     assert (None, a, "x") in got and sum(not r[1] for r in got) == 1
+    long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+    near = [(1, long, 1), (2, long.replace("w5x5", "other"), 2), (3, long.upper(), 3), (4, b, 4), (None, None, 5)]
+    odd = spark.createDataFrame(near, "doc_id long, text string, print long").selectExpr("*", "print as node", "print as id_hash", "print as c0")
+    got = simhash.representatives(odd)
+    assert got.columns == odd.columns and sorted(r["print"] for r in got.collect()) == [1, 4, 5]
+    assert not simhash.representatives(odd.limit(0)).count() and not simhash.group(odd.limit(0)).count()
     same = [(5, b, "x"), (5, b, "x"), (5, b, "y")]
     assert simhash.representatives(spark.createDataFrame(same, "doc_id long, text string, source string")).count() == 1

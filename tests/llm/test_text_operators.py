@@ -65,7 +65,8 @@ def test_simhash_matches_brute_force(docs):
         assert got == want
 
 
-def test_ball_hashing_finds_every_link(spark):
+@pytest.mark.parametrize("small, dense", [(16, 20_000), (2, 50)])
+def test_ball_hashing_finds_every_link(spark, small, dense):
     import random
 
     random.seed(5)
@@ -74,7 +75,7 @@ def test_ball_hashing_finds_every_link(spark):
     prints += [prints[0] ^ (x << 16) for x in range(0, 2000, 3)]  # a bucket that fills one block
     prints = sorted(set(prints))
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    edges = simhash.links(spark.createDataFrame(signed, "print long"))
+    edges = simhash.links(spark.createDataFrame(signed, "print long"), simhash.Params(small=small, dense=dense))
     got = {r["node"] % (1 << 64): r["root"] for r in simhash.components(edges).collect()}
     top = {p: p for p in prints}
 

@@ -11,10 +11,10 @@ tested once against three pictures of ordinary text, all of which it must refute
 Where both of the first two speak for chance, their p-values are combined by Fisher's method, else the larger counts;
 runs say nothing about an alphabet of one class. The result is never below Fisher's, so it stays a p-value. Long candidates get more weight (their tests have more power; the mean weight
 is one), and a Benjamini-Hochberg step on the weighted p-values of all distinct candidates holds the share of false
-discoveries at ``false_rate``. It reads the p-values from a histogram of fixed size. Spans of accepted candidates that
-touch no base span are added as kind ``random``.
+discoveries at ``false_rate``. It reads the p-values from a histogram of fixed size. Candidates that touch a base span are
+no hypotheses: they are left out before the step. Spans of accepted candidates are added as kind ``random``.
 
-Defined results: null and empty texts have no spans; repeated rows are each reported; a null doc_id is kept; an empty
+Defined results: other columns, whatever their names, are carried by ``redact`` and ignored by ``report``; null and empty texts have no spans; repeated rows are each reported; a null doc_id is kept; an empty
 table gives an empty result; offsets are code points, ends exclusive.
 """
 
@@ -71,22 +71,25 @@ def _phi(z: Column) -> Column:
 
 
 def p_values(tokens: DataFrame, p: Params = Params()) -> DataFrame:
-    """Adds ``p`` to distinct ``token`` rows: the chance at most that ordinary text looks as random as this."""
+    """Adds ``p`` to distinct ``token`` rows: the chance at most that ordinary text looks as random as this.
+
+    The work is in the rows, which are few bytes: they are dealt over all tasks.
+    """
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bare = F.regexp_replace("token", "=+$", "")
     size = (
         F.when(F.col("bare").rlike("^[0-9]+$"), 10).when(F.col("bare").rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(F.col("bare").rlike("^([a-z]+|[A-Z]+)$"), 26).when(F.col("bare").rlike("^[A-Z2-7]+$"), 32)
         .when(F.col("bare").rlike("^([0-9a-z]+|[0-9A-Z]+)$"), 36).when(F.col("bare").rlike("^[0-9A-Za-z]+$"), 62).otherwise(64)
     )
-    rows = tokens.withColumn("bare", bare).withColumn("k", size.cast("double")).withColumn("chars", F.split("bare", ""))
+    rows = tokens.repartition(tasks, F.xxhash64("token", F.lit(1))).withColumn("bare", bare).withColumn("k", size.cast("double")).withColumn("chars", F.split("bare", ""))
     rows = rows.withColumn("chars", F.filter("chars", lambda c: c != "")).withColumn("n", F.size("chars").cast("double"))
-    rows = rows.withColumn("codes", F.transform("chars", lambda c: F.instr(F.lit(ORDER), c).cast("double")))
-    squares = F.aggregate(
-        F.array_distinct("codes"), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter("codes", lambda x: x == c)).cast("double"), F.lit(2.0))
-    )
+    times = lambda c: F.length("bare") - F.length(F.replace("bare", c))  # noqa: E731  signs are ASCII
+    squares = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda s, c: s + F.pow(times(c).cast("double"), F.lit(2.0)))
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumn("chi", F.col("k") * squares / F.col("n") - F.col("n"))
     rows = rows.withColumn("joined", F.regexp_replace("bare", "[^0-9A-Za-z]", ""))  # signs between words are no change of class, nor is the small letter after a capital
     rows = rows.withColumn("runs", F.size(F.regexp_extract_all(F.col("joined"), F.lit("[0-9]+|[A-Z]?[a-z]+|[A-Z]+"), F.lit(0))).cast("double"))
+    rows = rows.withColumn("codes", F.transform("chars", lambda c: F.instr(F.lit(ORDER), c).cast("double")))
     rows = rows.withColumn("mean", add("codes") / F.col("n"))
     rows = rows.withColumn("dev", F.transform("codes", lambda x: x - F.col("mean")))
     spread = add(F.transform("dev", lambda d: d * d))
@@ -132,17 +135,16 @@ def spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
     before = F.sum(F.col("gap") + F.length("token")).over(Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     each = each.withColumn("end", before.cast("long")).withColumn("start", F.col("end") - F.length("token"))
     each = each.where((F.col("kind") != "assign") | (F.length(F.regexp_extract("token", ASSIGN, 1)) >= 6)).drop("pos", "gap")
-    each = written(each, "secret-spans")
-    candidates = each.where("kind = 'random'")
-    accepted = discoveries(p_values(candidates.select("token").distinct(), p), p)
-    base = each.where("kind <> 'random'").select("row", "kind", "start", "end")
-    every = base.unionByName(candidates.join(accepted, "token", "left_semi").select("row", "kind", "start", "end"))
     fixed = F.col("kind") != "random"
     by = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max(F.when(fixed, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     follow = F.min(F.when(fixed, F.col("start"))).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     alone = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(follow, F.lit(1 << 60)) >= F.col("end"))
-    every = every.withColumn("stays", fixed | alone).where("stays")
+    each = written(each.withColumn("alone", alone).where(fixed | F.col("alone")).drop("alone"), "secret-spans")
+    candidates = each.where("kind = 'random'")  # those that touch a base span are no hypotheses
+    tested = written(p_values(candidates.select("token").distinct(), p), "secret-tests")
+    base = each.where(fixed).select("row", "kind", "start", "end")
+    every = base.unionByName(candidates.join(discoveries(tested, p), "token", "left_semi").select("row", "kind", "start", "end"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     found = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("found"))
     return rows.select("row", "doc_id", "text_hash").join(found, "row", "left")
@@ -163,7 +165,7 @@ def report(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def redact(docs: DataFrame, marker: str = "[secret]", p: Params = Params()) -> DataFrame:
     """``docs`` with every span replaced by ``marker``; overlapping spans become one."""
-    found = spans(docs, p).where("found is not null").groupBy("doc_id", "text_hash").agg(F.first("found").alias("found"))
+    found = spans(docs.select("doc_id", "text"), p).where("found is not null").groupBy("doc_id", "text_hash").agg(F.first("found").alias("found"))
     merged = F.aggregate(
         "found",
         F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
@@ -176,12 +178,13 @@ def redact(docs: DataFrame, marker: str = "[secret]", p: Params = Params()) -> D
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
     found = found.withColumn("cut", F.when(F.size("found") > 0, merged)).drop("found")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("text_hash", F.xxhash64(text)).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
-    rows = rows.join(found.alias("f"), same, "left").select("d.*", "f.cut")
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # other columns may have any name
+    doc_id, text = (columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    plain = docs.toDF(*columns).withColumns({"id_hash": F.xxhash64(doc_id), "text_hash": F.xxhash64(F.coalesce(text, F.lit("")))})
+    found = found.select(F.xxhash64("doc_id").alias("id_hash"), "text_hash", "cut")
+    rows = plain.join(found, ["id_hash", "text_hash"], "left")
     last = F.element_at("cut", -1)["end"]
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("cut", lambda c: c["end"]))
-    kept = F.zip_with(begins, "cut", lambda b, c: F.when(c.isNotNull(), F.substring("text", b.cast("int") + 1, (c["start"] - b).cast("int"))).otherwise(F.substring("text", b.cast("int") + 1, F.length("text"))))
-    clean = F.when(F.col("cut").isNull() | last.isNull(), F.col("text")).otherwise(F.array_join(kept, marker))
-    return rows.withColumn("text", clean).drop("cut", "text_hash")
+    kept = F.zip_with(begins, "cut", lambda b, c: F.when(c.isNotNull(), F.substring(text, b.cast("int") + 1, (c["start"] - b).cast("int"))).otherwise(F.substring(text, b.cast("int") + 1, F.length(text))))
+    clean = F.when(F.col("cut").isNull() | last.isNull(), F.col(text)).otherwise(F.array_join(kept, marker))
+    return rows.withColumn(text, clean).select(*columns).toDF(*docs.columns)

@@ -142,6 +142,36 @@ def test_short_keys_are_found_among_many_ordinary_candidates(spark):
     assert len(found & plain) <= 0.1 * len(found)
 
 
+def test_keys_of_every_encoding_are_found_and_words_are_not(spark):
+    random.seed(1)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = ["0123456789ABCDEF", upper + "234567", digits + lower, digits + upper + lower, upper + lower + digits + "+/"]
+    keys = {(k, n): ["".join(random.choice(a) for _ in range(n)) for _ in range(20)] for k, a in enumerate(alphabets) for n in (20, 24, 32, 40, 64)}
+    words_ = sorted({w for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for w in re.findall("[a-z]{3,9}", r["text"] or "")})
+    forms = ("_".join, "/".join, "".join, lambda w: "".join(x.title() for x in w), lambda w: "-".join(w) + f"-20{random.randint(10, 29)}")
+    plain = {random.choice(forms)([random.choice(words_) for _ in range(random.randint(5, 7))]) for _ in range(5000)}
+    plain = [w for w in plain if len(w) >= 20 and not re.search("[0-9a-f]{24}", w)]
+    hits = [w for some in keys.values() for w in some] + plain
+    base = [f"password={w}" for w in hits[:500]]  # these touch a base span and are no hypotheses
+    frame = spark.createDataFrame([(i, f"see {w} here") for i, w in enumerate(hits + base)], "doc_id long, text string")
+    got = {r["doc_id"] for r in secret_scan.report(frame).collect() if "random" in r["spans"]}
+    at = 0
+    for (_, n), some in keys.items():
+        assert len(got & {*range(at, at + 20)}) >= (7 if n < 32 else 12), n
+        at += 20
+    false = [i for i in got if at <= i < len(hits)]
+    assert len(false) <= 0.05 * len(got) and not any(i >= len(hits) for i in got)
+
+
+def test_redaction_carries_any_column(spark):
+    data = [(1, "token = abcdef123 x", 1, 2), (1, "token = abcdef123 x", 3, 4), (None, None, 5, 6), (2, "", 7, 8), (3, "x " * 300_000 + "password: hunter22", 9, 10)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, cut int, text_hash int").selectExpr("*", "cut as found", "cut as row", "cut as c0", "cut as id_hash")
+    got = {r["cut"]: r for r in secret_scan.redact(frame).collect()}
+    assert secret_scan.redact(frame).columns == frame.columns and {k: r["text_hash"] for k, r in got.items()} == {1: 2, 3: 4, 5: 6, 7: 8, 9: 10}
+    assert [got[k]["text"] for k in (1, 3, 5, 7)] == ["[secret] x"] * 2 + [None, ""] and got[9]["text"].endswith("x [secret]")
+    assert secret_scan.redact(frame.limit(0)).count() == 0
+
+
 def test_redaction_leaves_no_secret(spark):
     data = odd_texts()
     frame = spark.createDataFrame(data, "doc_id long, text string")

@@ -306,6 +306,43 @@ def test_labelers_accept_and_reject(spark):
     assert sum(bool(got[len(good) + i]) for i in range(len(bad))) <= 0.1 * len(bad)
 
 
+def test_personal_data_on_held_out_texts(spark):
+    random.seed(9)
+    digits = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+
+    def iban():
+        body = "37040044" + digits(10)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    filler = [r["text"].split()[:40] for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 300").collect()]
+    true = [
+        lambda: ("my ssn is", f"{random.randint(100, 665)}-{random.randint(10, 99)}-{random.randint(1000, 9999)}"), lambda: ("account iban", iban()),
+        lambda: ("call me at", f"{random.randint(200, 999)}-{digits(3)}-{digits(4)}"), lambda: ("write to", f"{random.choice(('anna', 'peter'))}.{digits(2)} (at) mail{digits(1)} (dot) com"),
+        lambda: ("signed by Mrs.", f"{random.choice(('Anna', 'Maria', 'Claire', 'Laura'))} {random.choice(('Berg', 'Lund', 'Moreno'))}"),
+    ]
+    false = [
+        lambda: ("serial order", f"000-{random.randint(10, 99)}-{random.randint(1000, 9999)}"), lambda: ("part section", f"AB{digits(2)} {digits(4)} {digits(4)} {digits(4)}"),
+        lambda: ("build", f"1{digits(2)}-{digits(3)}-{digits(4)}x9"[:-2]), lambda: ("order invoice", "8" + digits(15)), lambda: ("release version", f"1.{random.randint(300, 999)}.0.1"),
+    ]
+    data, want = [], {}
+    for i in range(600):
+        (before, got), ok = random.choice(true if i % 2 else false)(), i % 2
+        words_ = random.choice(filler)
+        text = " ".join([*words_, before])
+        data.append((i, f"{text} {got}, {' '.join(random.choice(filler)[:9])}"))
+        want[i] = (len(text) + 1, len(text) + 1 + len(got)) if ok else None
+    frame = spark.createDataFrame(data, "doc_id long, text string").withColumn("base", F.lit(7)).withColumn("more", F.lit(7))
+    scanned = pii.scan(frame, ["doc_id"])
+    model = pii.fit(scanned.where("doc_id < 300"))
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"] if s["kind"] >= len(pii.BASE)} for r in pii.decide(scanned.where("doc_id >= 300"), model).collect()}
+    right = sum(want[i] in got[i] for i in got if want[i])
+    lost = [data[i][1][want[i][0] - 15 : want[i][1]] for i in got if want[i] and want[i] not in got[i]]
+    assert right >= 0.9 * sum(bool(want[i]) for i in got), lost
+    assert right >= 0.9 * sum(len(x) for x in got.values())
+    kept = pii.find(frame).first()
+    assert {"doc_id", "spans"} <= set(kept.asDict())
+
+
 def brute_near(rows):
     """Smallest doc_ids of the groups of texts whose sets of five-word shingles are at least 0.8 alike."""
     sets = {}

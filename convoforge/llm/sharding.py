@@ -1,16 +1,18 @@
 """Shards of near-equal bytes by histogram sort, in DataFrame operations alone.
 
-Rows are ordered by a hash of their text, then doc_id, so that equal texts lie together. Exact bytes and rows below
-candidate key boundaries are counted over all partitions, 256 candidates for each open splitter and pass; a splitter is
-done when the bytes below one of its candidates meet the target within the tolerance, or when only a single key is
-left between two candidates (then the nearer one is taken). Boundaries between hash values are tried first: a group of
-equal texts is only cut where it is larger than the tolerance leaves open. Each shard is cut into ``parts`` ranges in
-the same way, one exchange brings the rows of a range together, and a row's slot follows from the exact number of rows
-below its range and its place in the range.
+Rows are ordered by a hash of their text, then doc_id (its hash, where it is no integer), so that equal texts lie
+together. Exact bytes and rows below candidate key boundaries are counted over all partitions, 256 candidates for each
+open splitter and pass, of which the driver gets the one interval that holds the target; a splitter is done when the
+bytes below one of its candidates meet the target within the tolerance, or when only a single key is left between two
+candidates (then the nearer one is taken). Boundaries between hash values are tried first, and a shard ends inside a
+group of equal texts only where the group holds more than ``group_share`` of a shard's bytes. Each shard is cut into
+``parts`` ranges in the same way, one exchange brings the rows of a range together, and a row's slot follows from the
+exact number of rows below its range and its place in the range. What comes to the driver or is broadcast is one row for
+each splitter: ``shards`` and one for every ``parts_rows`` rows.
 
 Defined results: a null text has no bytes (its checksum is that of no bytes); a null doc_id sorts first; repeated rows
 are all placed, in neighbouring slots; with fewer rows than shards some shards stay empty; an empty table gives an
-empty result; further columns are carried along, but those named like the results are replaced.
+empty result; further columns, whatever their names, are carried along, but those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .scratch import written
 
@@ -35,6 +38,7 @@ class Params:
     overhead: int = 16
     parts_rows: int = 2_000_000
     least_parts: int = 4
+    group_share: float = 0.2
 
 
 @dataclass(frozen=True)
@@ -57,74 +61,62 @@ def keyed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     })
 
 
-def _doc() -> Column:
-    """doc_id as a number whose unsigned order is that of doc_id, nulls first."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).bitwiseXOR(F.lit(LEAST))
+def _doc(keys: DataFrame) -> Column:
+    """doc_id, or its hash, as a number; nulls first."""
+    integer = isinstance(keys.schema["doc_id"].dataType, IntegralType)
+    value = F.col("doc_id").cast("long") if integer else F.xxhash64("doc_id")
+    return F.when(F.col("doc_id").isNull(), F.lit(LEAST)).otherwise(value)
 
 
-def splitters(keys: DataFrame, n: int, tolerance: float) -> list[Splitter]:
-    """The n - 1 boundaries of n ranges of near-equal bytes. A pass brings at most 256 counts per open splitter to the driver."""
+def splitters(keys: DataFrame, n: int, tolerance: float, parts: int = 1, group_share: float = 0.0) -> list[Splitter]:
+    """The n - 1 boundaries of n ranges of near-equal bytes; every ``parts``-th spares groups of up to ``group_share`` of ``parts`` ranges."""
     total = keys.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     if not total["rows"]:
         return []
     goals = {i: total["bytes"] * i / n for i in range(1, n)}
-    slack = tolerance * total["bytes"] / n
+    slack, spared = tolerance * total["bytes"] / n, group_share * total["bytes"] * parts / n
     done: dict[int, Splitter] = {}
-    # An open interval: its prefix (of the hash, then of the doc) -> rows and bytes below it, splitters that fall into it.
-    open_: dict[tuple[int, int], tuple[int, int, list[int]]] = {(0, 0): (0, 0, [*goals])}
+    # A splitter yet open: hash and prefix of the interval that holds it, rows and bytes below that.
+    open_: dict[int, tuple[int, int, int, int]] = {i: (0, 0, 0, 0) for i in goals}
     spark = keys.sparkSession
-    rows = keys.select("sort_hash", _doc().alias("doc"), "size")
+    rows = keys.select("sort_hash", _doc(keys).bitwiseXOR(F.lit(LEAST)).alias("doc"), "size")  # doc: unsigned order
 
     def refine(shift: int, was: int, by_doc: bool) -> None:
         """One pass: count below the boundaries at ``shift`` bits inside the open intervals, which are ``was`` bits wide."""
-        digit = F.shiftrightunsigned("doc" if by_doc else "sort_hash", shift)
-        if len(open_) == 1 and was >= 63 and not by_doc:
-            here = rows.withColumn("hash", F.lit(0)).withColumn("prefix", F.lit(0))
-        else:
-            wanted = F.broadcast(spark.createDataFrame([*open_], "hash long, prefix long"))
-            if by_doc:
-                prefix = F.shiftrightunsigned("doc", was) if was < 64 else F.lit(0)
-                here = rows.withColumn("hash", F.col("sort_hash")).withColumn("prefix", prefix.cast("long")).join(wanted, ["hash", "prefix"])
+        column = "doc" if by_doc else "sort_hash"
+        prefix = F.shiftrightunsigned(column, was) if was < 63 + by_doc else F.lit(0)
+        here = rows.select((F.col("sort_hash") if by_doc else F.lit(0)).cast("long").alias("hash"), prefix.cast("long").alias("prefix"), F.shiftrightunsigned(column, shift).alias("digit"), "size")
+        goal = spark.createDataFrame([(h, x, i, float(goals[i] - b)) for i, (h, x, _, b) in open_.items()], "hash long, prefix long, i int, goal double")
+        counted = here.join(F.broadcast(goal.select("hash", "prefix").distinct()), ["hash", "prefix"]).groupBy("hash", "prefix", "digit")
+        by = Window.partitionBy("hash", "prefix").orderBy(F.col("digit").bitwiseXOR(F.lit(LEAST))).rowsBetween(Window.unboundedPreceding, 0)
+        counted = counted.agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+        counted = counted.withColumns({"rows_to": F.sum("rows").over(by), "bytes_to": F.sum("bytes").over(by)})
+        held = (F.col("goal") <= F.col("bytes_to")) & (F.col("goal") > F.col("bytes_to") - F.col("bytes"))
+        for r in counted.join(F.broadcast(goal), ["hash", "prefix"]).where(held).drop("goal").collect():
+            i, digit = r["i"], r["digit"] % (1 << 64)
+            name, _, below_rows, below_bytes = open_.pop(i)
+            after_rows, after_bytes = below_rows + r["rows_to"], below_bytes + r["bytes_to"]
+            below_rows, below_bytes = after_rows - r["rows"], after_bytes - r["bytes"]
+            low_miss, high_miss = goals[i] - below_bytes, after_bytes - goals[i]
+            single = shift == 0 and (by_doc or (i % parts == 0 and r["bytes"] <= spared))
+            if min(low_miss, high_miss) <= slack or r["rows"] == 1 or single:
+                edge, counts = (digit << shift, (below_rows, below_bytes)) if low_miss <= high_miss else ((digit + 1) << shift, (after_rows, after_bytes))
+                done[i] = Splitter(*((name, edge) if by_doc else (edge, 0)), *counts)
             else:
-                here = rows.withColumn("hash", F.lit(0)).withColumn("prefix", F.shiftrightunsigned("sort_hash", was)).join(wanted.drop("hash"), "prefix")
-        counted = here.groupBy(F.col("hash").cast("long").alias("hash"), F.col("prefix").cast("long").alias("prefix"), digit.alias("digit"))
-        counted = counted.agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
-        by: dict[tuple[int, int], list] = {}
-        for r in counted:
-            by.setdefault((r["hash"], r["prefix"]), []).append(r)
-        was_open = dict(open_)
-        open_.clear()
-        for name, (below_rows, below_bytes, mine) in was_open.items():
-            waiting = sorted(mine)
-            for r in sorted(by.get(name, []), key=lambda r: r["digit"] % (1 << 64)):
-                low, high = r["digit"] % (1 << 64) << shift, (r["digit"] % (1 << 64) + 1) << shift
-                after_rows, after_bytes = below_rows + r["rows"], below_bytes + r["bytes"]
-                while waiting and (goals[waiting[0]] <= after_bytes):
-                    i = waiting.pop(0)
-                    nearer_low = goals[i] - below_bytes <= after_bytes - goals[i]
-                    miss = min(goals[i] - below_bytes, after_bytes - goals[i])
-                    last = by_doc and shift == 0
-                    if miss <= slack or r["rows"] == 1 or last:
-                        edge = low if nearer_low else high
-                        counts = (below_rows, below_bytes) if nearer_low else (after_rows, after_bytes)
-                        done[i] = Splitter(*((name[0], edge) if by_doc else (edge, 0)), *counts)
-                    else:
-                        key = (name[0], r["digit"]) if by_doc else (r["digit"] if shift == 0 else 0, 0 if shift == 0 else r["digit"])
-                        open_.setdefault(key, (below_rows, below_bytes, []))[2].append(i)
-                below_rows, below_bytes = after_rows, after_bytes
+                where = (name, r["digit"]) if by_doc else (r["digit"], 0) if shift == 0 else (0, r["digit"])
+                open_[i] = (*where, below_rows, below_bytes)
 
     was, shift = 63, 63 - HEAD
     while open_ and was > 0:
         refine(shift, was, False)
         was, shift = shift, max(shift - STEP, 0)
     if open_:
-        ends = rows.join(F.broadcast(spark.createDataFrame([(h,) for h, _ in open_], "sort_hash long").distinct()), "sort_hash")
+        ends = rows.join(F.broadcast(spark.createDataFrame([(h,) for h, *_ in open_.values()], "sort_hash long").distinct()), "sort_hash")
         ends = ends.agg(F.min(F.col("doc").bitwiseXOR(F.lit(LEAST))), F.max(F.col("doc").bitwiseXOR(F.lit(LEAST)))).first()
         low, high = (x - LEAST for x in ends)
         was = -(-max((low ^ high).bit_length(), 1) // STEP) * STEP
         common = low >> was if was < 64 else 0
-        for name in [*open_]:
-            open_[name[0], common] = open_.pop(name)
+        open_.update({i: (h, common, *below) for i, (h, _, *below) in open_.items()})
         while open_ and was > 0:
             refine(was - STEP, was, True)
             was -= STEP
@@ -139,26 +131,27 @@ def assign(docs: DataFrame, p: Params = Params(), keys: DataFrame | None = None)
         keys = written(docs.select("sort_hash", "doc_id", "size"), "shard-keys")
     spark = docs.sparkSession
     parts = max(p.least_parts, -(-keys.count() // (p.shards * p.parts_rows)))
-    cuts = splitters(keys, p.shards * parts, p.tolerance)
+    cuts = splitters(keys, p.shards * parts, p.tolerance, parts, p.group_share)
     edges = [Splitter(0, 0, 0, 0), *cuts]
     # For each value of the leading hash bits: the ranges before it, and the splitters inside it.
     width = 63 - HEAD
     inside: dict[int, list[tuple[int, int]]] = {}
     for c in cuts:
         inside.setdefault(min(c.hash >> width, (1 << HEAD) - 1), []).append((c.hash if c.hash < 1 << 63 else (1 << 63) - 1, c.doc + LEAST if c.hash < 1 << 63 else -LEAST - 1))
-    heads, before = [], 0
-    for head in range(1 << HEAD):
-        own = inside.get(head, [])
-        heads.append((head, before, own))
-        before += len(own)
-    heads = spark.createDataFrame(heads, "head int, before int, cuts array<struct<h:long,d:long>>")
-    starts = spark.createDataFrame([(i, i // parts, e.rows - edges[i // parts * parts].rows) for i, e in enumerate(edges)], "part int, shard int, first long")
-    own = F.struct(F.col("sort_hash").alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"))
-    rows = docs.withColumn("head", F.shiftright("sort_hash", width).cast("int")).join(F.broadcast(heads), "head").withColumn("own", own)
-    rows = rows.withColumn("part", F.col("before") + F.size(F.filter("cuts", lambda c: c <= F.col("own"))))
-    rows = rows.join(F.broadcast(starts), "part")
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("sort_hash", "doc_id"))
-    return rows.withColumn("slot", F.col("first") + nth - 1).drop("head", "before", "cuts", "own", "part", "first")
+    heads, n = [], 0
+    for value in range(1 << HEAD):
+        heads.append((value, n, inside.get(value, [])))
+        n += len(heads[-1][2])
+    longer = "_" * max(map(len, docs.columns))  # names that no column of docs has
+    head, before, ends, own, part, first = (longer + x for x in ("head", "before", "ends", "own", "part", "first"))
+    heads = spark.createDataFrame(heads, f"{head} int, {before} int, {ends} array<struct<h:long,d:long>>")
+    starts = spark.createDataFrame([(i, i // parts, e.rows - edges[i // parts * parts].rows) for i, e in enumerate(edges)], f"{part} int, shard int, {first} long")
+    rows = docs.withColumn(head, F.shiftright("sort_hash", width).cast("int")).join(F.broadcast(heads), head)
+    rows = rows.withColumn(own, F.struct(F.col("sort_hash").alias("h"), _doc(docs).alias("d")))
+    rows = rows.withColumn(part, F.col(before) + F.size(F.filter(ends, lambda c: c <= F.col(own))))
+    rows = rows.join(F.broadcast(starts), part)
+    nth = F.row_number().over(Window.partitionBy(part).orderBy(own, "doc_id"))
+    return rows.withColumn("slot", F.col(first) + nth - 1).drop(head, before, ends, own, part, first)
 
 
 def write_shards(docs: DataFrame, path: str, p: Params = Params()) -> None:

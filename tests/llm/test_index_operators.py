@@ -277,6 +277,45 @@ def test_shards_are_even_and_gapless(spark, shards):
             assert all(abs(s - sum(sizes.values()) / shards) <= 1.01 * most + 0.01 * sum(sizes.values()) / shards for s in sizes.values())
 
 
+def test_shard_splitters_match_a_sequential_count(spark):
+    rows_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text")
+    keys = sharding.keyed(rows_).select("sort_hash", "doc_id", "size").cache()
+    data = sorted((r["sort_hash"], r["doc_id"], r["size"]) for r in keys.collect())
+    total, shards, parts = sum(x[2] for x in data), 40, 4
+    cuts = sharding.splitters(keys, shards * parts, 0.001, parts, 0.1)
+    assert len(cuts) == shards * parts - 1
+    hashes = [x[0] for x in data]
+    for i, c in enumerate(cuts, 1):
+        below = [x for x in data if (x[0], x[1]) < (c.hash, c.doc + sharding.LEAST)]
+        assert (c.rows, c.bytes) == (len(below), sum(x[2] for x in below))
+        if i % parts == 0:
+            groups = {}
+            for h, _, size in data:
+                groups[h] = groups.get(h, 0) + size
+            if 0 < c.rows < len(data) and hashes[c.rows - 1] == hashes[c.rows]:
+                assert groups[hashes[c.rows]] > 0.1 * total / shards
+                continue
+            at, edges = 0, [0]
+            for h in sorted(groups):
+                at += groups[h]
+                edges.append(at)
+            best = min(abs(e - total * i / shards / parts) for e in edges)
+            assert abs(c.bytes - total * i / shards / parts) <= max(best, 0.001 * total / shards / parts)
+
+
+def test_shards_keep_equal_texts_and_carry_any_column(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = docs.selectExpr("concat('d', doc_id) as doc_id", "text", "doc_id as head", "doc_id as before", "doc_id as cuts", "doc_id as own", "doc_id as part", "doc_id as first")
+    got = sharding.assign(odd)
+    assert set(odd.columns) < set(got.columns) and got.where("doc_id <> concat('d', head) or own <> first").count() == 0
+    whole = got.groupBy("sort_hash").agg(F.countDistinct("shard").alias("n"), F.count("*").alias("copies"), F.sum("size").alias("bytes"))
+    share = sharding.Params().group_share * got.agg(F.sum("size")).first()[0] / 40
+    assert whole.where((F.col("copies") > 1) & (F.col("bytes") <= share) & (F.col("n") > 1)).count() == 0
+    sharding.write_shards(docs, str(tmp_path / "shards"), sharding.Params(shards=5))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == docs.count() and back.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("gap")).where("gap <> 0").count() == 0
+
+
 PERSONAL = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(x) <= 255 for x in m[0].split("."))),

@@ -40,10 +40,15 @@ EXTENSIONS = {
 # Of the readable files only these are found in running text.
 EXTRACTED_READABLE = "txt md markdown csv tsv"
 
+# The type each extension is served as; HTML is served as text so that foreign pages never render.
 MIME_TYPES = {
     "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml",
-    "mp4": "video/mp4", "webm": "video/webm", "mov": "video/quicktime", "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg",
-    "pdf": "application/pdf", "json": "application/json", "html": "text/plain", "txt": "text/plain", "md": "text/plain", "csv": "text/csv",
+    "bmp": "image/bmp", "ico": "image/x-icon", "heic": "image/heic", "tif": "image/tiff", "tiff": "image/tiff",
+    "mp4": "video/mp4", "m4v": "video/mp4", "mov": "video/quicktime", "webm": "video/webm", "mkv": "video/x-matroska", "avi": "video/x-msvideo",
+    "mp3": "audio/mpeg", "wav": "audio/wav", "m4a": "audio/mp4", "aac": "audio/aac", "flac": "audio/flac", "ogg": "audio/ogg", "opus": "audio/ogg",
+    "aiff": "audio/aiff", "caf": "audio/x-caf", "pdf": "application/pdf",
+    "md": "text/plain; charset=utf-8", "markdown": "text/plain; charset=utf-8", "txt": "text/plain; charset=utf-8", "log": "text/plain; charset=utf-8",
+    "csv": "text/plain; charset=utf-8", "tsv": "text/plain; charset=utf-8", "json": "application/json", "jsonl": "application/json", "html": "text/plain; charset=utf-8",
 }
 
 TITLE_CHARS, TITLE_LINES = 90, 8

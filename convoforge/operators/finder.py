@@ -25,6 +25,13 @@ def search(files: DataFrame, needle: str, cap: int = L.SEARCH_CAP) -> DataFrame:
     return found.select("path", "line_index", T.match_snippet("line", needle).alias("snippet"))
 
 
+def scanned(files: DataFrame, found: DataFrame, cap: int = L.SEARCH_CAP) -> DataFrame:
+    """(files_scanned): files by path up to the one in which ``search`` met its cap; all of them if it never did."""
+    last = found.agg(F.count("*").alias("n"), F.max("path").alias("path")).first()
+    rows = files.where(F.col("path") <= last["path"]) if last["n"] >= cap else files
+    return rows.agg(F.count("*").alias("files_scanned"))
+
+
 def index(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row per message worth finding: tools, media, a short text, and its session's columns; no full text."""
     text = F.coalesce("user_query", "full_text")
@@ -57,6 +64,11 @@ def page(found: DataFrame, projects: DataFrame, cap: int = L.FIND_CAP) -> DataFr
     return top.join(names, "project_slug", "left").withColumn("display_name", F.coalesce("display_name", "project_slug"))
 
 
+def page_total(found: DataFrame, cap: int = L.FIND_CAP) -> DataFrame:
+    """(total, truncated): how many hits there are, and whether a page leaves some out."""
+    return found.agg(F.count("*").alias("total")).withColumn("truncated", F.col("total") > cap)
+
+
 def per_session(found: DataFrame, shown: int = 4) -> DataFrame:
     """The first hits of each session, and how many more it has."""
     w = Window.partitionBy("path")

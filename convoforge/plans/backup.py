@@ -6,6 +6,7 @@ manifests beside a small marker file. The manifest is replaced as a whole, after
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -29,6 +30,7 @@ class BackupSummary:
     copied: int = 0
     unchanged: int = 0
     attachments: int = 0
+    hashed: int = 0
     warnings: list[str] = field(default_factory=list)
 
 
@@ -38,16 +40,34 @@ def _tree(spark: SparkSession, folder: str, hashed: bool = False, pattern: str =
     return transcripts.inventory(spark, folder, hashed, pattern)
 
 
+def _marker(spark: SparkSession, backup: str) -> dict | None:
+    """What the marker file says; none if there is none, or if it can't be read."""
+    if not sinks.exists(spark, f"{backup}/{MARKER}"):
+        return None
+    try:
+        said = json.loads(sinks.read_text(spark, f"{backup}/{MARKER}"))
+    except ValueError:
+        return None
+    return said if isinstance(said, dict) else None
+
+
 def manifest(spark: SparkSession, backup: str, name: str) -> DataFrame:
     """The rows of the transcripts or attachments manifest; a manifest that can't be read counts as none."""
-    if not sinks.exists(spark, f"{backup}/{MARKER}"):
+    folder = (_marker(spark, backup) or {}).get(name)
+    if not folder or not sinks.exists(spark, f"{backup}/{folder}"):
         return spark.createDataFrame([], ROW)
-    import json
-
-    folder = json.loads(sinks.read_text(spark, f"{backup}/{MARKER}"))[name]
     return spark.read.schema(ROW).parquet(f"{backup}/{folder}")
 
 
+def _hashed(files: DataFrame, prior: DataFrame, out: str, summary: BackupSummary) -> DataFrame:
+    """Adds sha256: that of the prior manifest where size and time are the same, else computed in tasks."""
+    rows = checkpointed(integrity.reuse_hashes(files, prior))
+    todo = rows.where("sha256 is null").select("relpath", F.concat(F.lit(f"{out}/"), "relpath").alias("source"))
+    made = checkpointed(sinks.hash_files(todo))
+    summary.hashed += made.count()
+    return rows.join(made.withColumnRenamed("sha256", "made"), "relpath", "left").withColumn("sha256", F.coalesce("sha256", "made")).drop("made")
+
+
 def resolve(spark: SparkSession, path: str, plain: bool = True) -> str:
     """The transcript root that a path means: a backup's projects, a folder's projects child, or the folder itself."""
     if sinks.exists(spark, f"{path}/projects"):
@@ -70,21 +90,25 @@ def backup(spark: SparkSession, root: str, out: str, projects: list[str] | None
     if done["bad"]:
         summary.warnings.append(f"{done['bad']} files could not be copied")
 
+    if sinks.exists(spark, f"{out}/{MARKER}") and _marker(spark, out) is None:
+        kept = f"{out}/{MARKER}.corrupt"
+        sinks.write_text(spark, kept, sinks.read_text(spark, f"{out}/{MARKER}"))
+        summary.warnings.append(f"the manifest could not be read; a copy is kept as {kept}, its rows are not merged")
     prior, prior_extra = manifest(spark, out, "transcripts"), manifest(spark, out, "attachments")
-    now = _tree(spark, f"{out}/projects", hashes, "*.jsonl")
-    now = now if hashes else now.withColumn("sha256", F.lit(None).cast("string"))
-    now = now.join(source.select("relpath"), "relpath", "left_semi")
+    unknown = F.lit(None).cast("string")
+    now = _tree(spark, f"{out}/projects", False, "*.jsonl").join(source.select("relpath"), "relpath", "left_semi")
     now = now.withColumns({"relpath": F.concat(F.lit("projects/"), "relpath"), "file": F.element_at(F.split("relpath", "/"), -1)})
+    now = _hashed(now, prior, out, summary) if hashes else now.withColumn("sha256", unknown)
 
     messages = parse.messages(transcripts.records(transcripts.read_files(spark, root).join(source.select(F.concat(F.lit(f"{root}/"), "relpath").alias("path")), "path", "left_semi")))
     refs = media.references(messages).where(~F.startswith(media.normal_path("media_path"), F.lit(root + "/"))).select("media_path").distinct()
     extra = refs.select(F.col("media_path").alias("source"), F.concat(F.lit(f"{out}/attachments/"), T.attachment_name("media_path")).alias("target"))
-    got = sinks.copy_files(extra).where("copied")
-    summary.attachments = got.count()
-    held = _tree(spark, f"{out}/attachments", hashes)
-    held = held if hashes else held.withColumn("sha256", F.lit(None).cast("string"))
+    summary.attachments = sinks.copy_files(extra, keep_same=True).where("copied").count()
+    held = _tree(spark, f"{out}/attachments")
     held = held.withColumns({"file": F.col("relpath"), "project": F.lit("attachments"), "relpath": F.concat(F.lit("attachments/"), "relpath")})
 
+    held = _hashed(held, prior_extra, out, summary) if hashes else held.withColumn("sha256", unknown)
+
     stamp, names = uuid.uuid4().hex[:12], {}
     columns = [c.split()[0] for c in ROW.split(", ")]
     for name, old, new in (("transcripts", prior, now), ("attachments", prior_extra, held)):

@@ -1,7 +1,8 @@
 """Transcript-shaped views over the conversations table, in SQL that Spark and other engines read alike.
 
 The plain table has no tags, tools, child sessions or torn lines, so queries on it would leave most operators idle. The
-views add them by fixed rules on conv_id and turn; every row of the table stays.
+views add them by fixed rules on conv_id and turn; every row of conversations stays. The file views leave out some documents
+on purpose (missing and unlisted files).
 """
 
 from __future__ import annotations

@@ -415,8 +415,7 @@ def q3_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "line_index", "role", F.array_join("tools", ",").alias("tools"), F.array_join(F.transform("media", lambda m: m["path"]), ",").alias("media"), "snippet", "project_slug")
 
 
-@query(WITH + " SELECT path, line_index FROM lines WHERE contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'then')")
-def q2_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The fixture may give two rows one index: each goes to a file of its own of the same path.
     nth = F.row_number().over(Window.partitionBy("path", "line_index").orderBy("line"))
     rows = _lines(spark, sf_dir).withColumn("nth", nth)
@@ -424,7 +423,12 @@ def q2_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Blank lines stand where the fixture has no row.
     before = lambda i: F.when(i > 0, F.get("l", i - 1)["line_index"]).otherwise(0)
     content = F.array_join(F.transform("l", lambda x, i: F.concat(F.repeat(F.lit("\n"), (x["line_index"] - before(i)).cast("int")), F.coalesce(x["line"], F.lit("")))), "")
-    return finder.hits_in_files(files.select("path", content.alias("content")), "THEN").select("path", "line_index")
+    return files.select("path", content.alias("content"))
+
+
+@query(WITH + " SELECT path, line_index FROM lines WHERE contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'then')")
+def q2_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finder.hits_in_files(_files(spark, sf_dir), "THEN").select("path", "line_index")
 
 
 @query(_INDEX + """, low AS (SELECT path, line_index, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM lines)
@@ -442,6 +446,11 @@ def o5_j5_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.size("media") > 0).select("path", "line_index", "display_name")
 
 
+@query(_INDEX + """ SELECT count(*) AS total, count(*) > 500 AS truncated FROM kept WHERE media <> ''""")
+def o5_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finder.page_total(finder.find(_index(spark, sf_dir), media=["document"]))
+
+
 @query(_INDEX + """, n AS (SELECT path, line_index, row_number() OVER (PARTITION BY path ORDER BY line_index) AS nth, count(*) OVER (PARTITION BY path) AS c FROM kept)
 SELECT path, line_index, nth, greatest(c - 2, 0) AS more FROM n WHERE nth <= 2""")
 def w8_per_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,12 +475,22 @@ def q6_session_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finder.session_view(turns.segment(_messages(spark, sf_dir)[0])).select("path", "turn_id", "line_index", "role", "is_injected", "user_query", "thinking", "answer")
 
 
-@query(WITH + """, low AS (SELECT path, line_index, line, strpos(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'role') AS pos FROM lines), hit AS (SELECT * FROM low WHERE pos > 0 ORDER BY path, line_index LIMIT 500)
-SELECT path, line_index, substr(line, pos, 4) AS word FROM hit""")
+_FOUND = WITH + """, low AS (SELECT path, line_index, line, instr(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'en') AS pos FROM lines),
+hit AS (SELECT * FROM low WHERE pos > 0 ORDER BY path, line_index, line LIMIT 500),
+sides AS (SELECT *, left(line, CAST(pos - 1 AS BIGINT)) AS b, substr(line, pos + 2) AS a FROM hit),
+cut AS (SELECT *, coalesce(list_min(list_filter(range(0, 81), lambda k: strlen(right(b, k)) >= 80)), length(b)) AS kb, coalesce(list_min(list_filter(range(0, 81), lambda k: strlen(left(a, k)) >= 80)), length(a)) AS ka FROM sides)"""
+
+
+@query(_FOUND + """ SELECT path, line_index, '…' || trim(replace(replace(replace(right(b, kb) || substr(line, pos, 2) || left(a, ka), chr(92) || 'n', ' '), chr(92) || 't', ' '), chr(92) || chr(34), chr(34)), chr(32) || chr(9) || chr(10) || chr(13)) || '…' AS snippet FROM cut""")
 def q1_o6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = finder.hits_in_lines(_lines(spark, sf_dir), "ROLE").orderBy("path", "line_index").limit(L.SEARCH_CAP)
-    rows = hits.withColumn("snippet", T.match_snippet("line", "ROLE"))
-    return rows.select("path", "line_index", F.regexp_extract("snippet", "role", 0).alias("word"))
+    return finder.search(_files(spark, sf_dir), "EN")
+
+
+@query(_FOUND + """ SELECT CASE WHEN (SELECT count(*) FROM hit) >= 500 THEN (SELECT count(DISTINCT path) FROM lines WHERE path <= (SELECT max(path) FROM hit)) ELSE (SELECT count(DISTINCT path) FROM lines) END AS files_scanned""")
+def a14_files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    paths = files.select("path").distinct()
+    return finder.scanned(paths, finder.search(files, "EN"))
 
 
 # Media.
@@ -483,13 +502,18 @@ def t14_u5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.references(_messages(spark, sf_dir)[0])
 
 
-_FILE_NAMES = "'/data/' || source || '/my file (' || CAST(doc_id AS STRING) || ').' || CASE doc_id % 6 WHEN 0 THEN 'PDF' WHEN 1 THEN 'png' WHEN 2 THEN 'py' WHEN 3 THEN 'mp4' WHEN 4 THEN 'mp3' ELSE 'bin' END"
+_EXT = "png jpg JPEG gif webp svg bmp ico heic tif tiff mp4 m4v mov webm mkv avi mp3 wav m4a aac flac ogg opus aiff caf pdf md markdown txt LOG csv tsv json jsonl html py docx bin".split()
+_FILE_NAMES = "'/data/' || source || '/my file (' || CAST(doc_id AS STRING) || ').' || CASE doc_id % " + str(len(_EXT)) + " " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_EXT)) + " END"
 
 
-@query(f"""WITH n AS (SELECT doc_id, {_FILE_NAMES} AS p FROM documents)
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'image' WHEN 2 THEN 'readable' WHEN 3 THEN 'video' WHEN 4 THEN 'audio' ELSE 'other' END AS kind,
-  CASE doc_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 3 THEN 'video/mp4' WHEN 4 THEN 'audio/mpeg' ELSE 'application/octet-stream' END AS mime,
-  substr(sha256(p), 1, 8) || '-' || regexp_replace(string_split(p, '/')[-1], '[^A-Za-z0-9._-]', '_', 'g') AS name FROM n""")
+@query(f"""WITH n AS (SELECT doc_id, {_FILE_NAMES} AS p FROM documents), e AS (SELECT *, lower(string_split(p, '.')[-1]) AS e FROM n)
+SELECT doc_id, CASE WHEN e IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'svg', 'bmp', 'ico', 'heic', 'tif', 'tiff') THEN 'image' WHEN e IN ('mp4', 'm4v', 'mov', 'webm', 'mkv', 'avi') THEN 'video'
+    WHEN e IN ('mp3', 'wav', 'm4a', 'aac', 'flac', 'ogg', 'opus', 'aiff', 'caf') THEN 'audio' WHEN e IN ('pdf', 'docx') THEN 'document' WHEN e = 'bin' THEN 'other' ELSE 'readable' END AS kind,
+  CASE WHEN e IN ('png', 'gif', 'webp', 'bmp', 'heic', 'jpeg', 'tiff') THEN 'image/' || e WHEN e = 'jpg' THEN 'image/jpeg' WHEN e = 'tif' THEN 'image/tiff' WHEN e = 'svg' THEN 'image/svg+xml' WHEN e = 'ico' THEN 'image/x-icon'
+    WHEN e IN ('mp4', 'm4v') THEN 'video/mp4' WHEN e = 'mov' THEN 'video/quicktime' WHEN e = 'webm' THEN 'video/webm' WHEN e = 'mkv' THEN 'video/x-matroska' WHEN e = 'avi' THEN 'video/x-msvideo'
+    WHEN e = 'mp3' THEN 'audio/mpeg' WHEN e = 'm4a' THEN 'audio/mp4' WHEN e IN ('ogg', 'opus') THEN 'audio/ogg' WHEN e = 'caf' THEN 'audio/x-caf' WHEN e IN ('wav', 'aac', 'flac', 'aiff') THEN 'audio/' || e
+    WHEN e = 'pdf' THEN 'application/pdf' WHEN e IN ('json', 'jsonl') THEN 'application/json' WHEN e IN ('md', 'markdown', 'txt', 'log', 'csv', 'tsv', 'html') THEN 'text/plain; charset=utf-8' ELSE 'application/octet-stream' END AS mime,
+  substr(sha256(p), 1, 8) || '-' || regexp_replace(string_split(p, '/')[-1], '[^A-Za-z0-9._-]', '_', 'g') AS name FROM e""")
 def t15_t16_t24_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views(spark, sf_dir)["documents"].selectExpr("doc_id", f"{_FILE_NAMES} AS p")
     return rows.select("doc_id", T.media_kind("p").alias("kind"), T.mime_type("p").alias("mime"), T.attachment_name("p").alias("name"))

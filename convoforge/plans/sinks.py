@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lexicon import MTIME_SLACK_S
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -54,9 +56,37 @@ def guard(spark: SparkSession, out: str, sources: list[str], marker: str) -> Non
             raise ValueError(f"{out} is not empty and has no {marker}")
 
 
-def copy_files(plan: DataFrame) -> DataFrame:
+def hash_files(plan: DataFrame) -> DataFrame:
+    """(relpath, sha256) of (relpath, source) rows, read in pieces in tasks; null where a file can't be read."""
+
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        for rows in batches:
+            said = []
+            for source in rows["source"]:
+                try:
+                    here = source.startswith(("/", "file:"))
+                    store, path = (pafs.LocalFileSystem(), source.removeprefix("file://").removeprefix("file:")) if here else pafs.FileSystem.from_uri(source)
+                    own = hashlib.sha256()
+                    with store.open_input_stream(path) as stream:
+                        while piece := stream.read(1 << 20):
+                            own.update(piece)
+                    said.append(own.hexdigest())
+                except OSError:
+                    said.append(None)
+            yield pd.DataFrame({"relpath": rows["relpath"], "sha256": said})
+
+    return plan.select("relpath", "source").mapInPandas(run, "relpath string, sha256 string")
+
+
+def copy_files(plan: DataFrame, keep_same: bool = False) -> DataFrame:
     """Copy (source, target) rows in tasks, keeping modification times where the file system allows; one row per file with
-    copied and, where it failed, error. Targets that exist are replaced."""
+    copied and, where it failed, error. Targets that exist are replaced, or with ``keep_same`` kept where size and time are
+    the source's (``kept``)."""
 
     def run(batches: Iterator) -> Iterator:
         import os
@@ -68,11 +98,17 @@ def copy_files(plan: DataFrame) -> DataFrame:
 
         local = lambda x: x.removeprefix("file://").removeprefix("file:") if x.startswith(("/", "file:")) else None
         for rows in batches:
-            said = []
+            said, kept = [], []
             for source, target in zip(rows["source"], rows["target"], strict=True):
+                kept.append(False)
                 try:
                     a, b = local(source), local(target)
-                    if a and b:
+                    if a and b and keep_same and os.path.exists(b):
+                        old, new = os.stat(b), os.stat(a)
+                        kept[-1] = old.st_size == new.st_size and abs(old.st_mtime - new.st_mtime) <= MTIME_SLACK_S
+                    if kept[-1]:
+                        pass
+                    elif a and b:
                         Path(b).parent.mkdir(parents=True, exist_ok=True)
                         part = f"{b}.{os.getpid()}.part"
                         shutil.copy2(a, part)
@@ -82,6 +118,6 @@ def copy_files(plan: DataFrame) -> DataFrame:
                     said.append("")
                 except OSError as e:
                     said.append(str(e))
-            yield pd.DataFrame({"source": rows["source"], "target": rows["target"], "copied": [not x for x in said], "error": said})
+            yield pd.DataFrame({"source": rows["source"], "target": rows["target"], "copied": [not x for x in said], "kept": kept, "error": said})
 
-    return plan.select("source", "target").mapInPandas(run, "source string, target string, copied boolean, error string")
+    return plan.select("source", "target").mapInPandas(run, "source string, target string, copied boolean, kept boolean, error string")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convoforge.__main__ import main
+from convoforge.functions import text as T
 from convoforge.operators import finder, integrity, linkage, parse, records, sessions, turns
 from convoforge.plans import backup, export, sinks
 from convoforge.plans.options import PRESETS, ExportOptions, from_mapping
@@ -229,12 +230,29 @@ def test_find(spark, root):
     assert {r["display_name"] for r in page} == {"my-proj"}
 
 
+def test_every_type_a_file_is_served_as(spark):
+    want = {
+        "bmp": "image/bmp", "TIFF": "image/tiff", "ico": "image/x-icon", "mkv": "video/x-matroska", "m4v": "video/mp4", "avi": "video/x-msvideo", "flac": "audio/flac", "opus": "audio/ogg",
+        "m4a": "audio/mp4", "caf": "audio/x-caf", "jsonl": "application/json", "log": "text/plain; charset=utf-8", "html": "text/plain; charset=utf-8", "tsv": "text/plain; charset=utf-8", "exe": "application/octet-stream",
+    }
+    rows = spark.createDataFrame([(f"/a/b.{x}", x) for x in want] + [("/a/none", "none")], "path string, ext string")
+    got = {r["ext"]: r["mime"] for r in rows.select("ext", T.mime_type("path").alias("mime")).collect()}
+    assert got == want | {"none": "application/octet-stream"}
+
+
 def test_backup_verify_restore(spark, root, tmp_path):
     out, back = str(tmp_path / "b"), str(tmp_path / "back")
     first = backup.backup(spark, str(root), out)
     assert first.copied == 8 and first.attachments == 1
     again = backup.backup(spark, str(root), out, projects=["my-proj"])
     assert again.copied == 0 and again.unchanged == 6
+    assert first.hashed == 8 and again.hashed == 0  # known hashes are used again
+    marker = tmp_path / "b" / backup.MARKER
+    said = marker.read_text()
+    marker.write_text("{ torn")
+    assert backup.manifest(spark, out, "transcripts").count() == 0
+    mended = backup.backup(spark, str(root), out)
+    assert mended.warnings and (tmp_path / "b" / f"{backup.MARKER}.corrupt").read_text() == "{ torn" and marker.read_text() != said
     verdict = lambda: integrity.verdict(backup.verify(spark, out)).first().asDict()
     assert verdict() == {"ok": 8, "failed": 0, "missing": 0, "unsafe": 0, "unhashed": 0, "unlisted": 0, "intact": True}
     plan = backup.restore(spark, out, back, dry_run=True)

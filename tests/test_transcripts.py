@@ -249,7 +249,7 @@ def test_backup_verify_restore(spark, root, tmp_path):
     assert first.hashed == 8 and again.hashed == 0  # known hashes are used again
     marker = tmp_path / "b" / backup.MARKER
     said = marker.read_text()
-    marker.write_text("{ torn")
+    sinks.write_text(spark, str(marker), "{ torn")
     assert backup.manifest(spark, out, "transcripts").count() == 0
     mended = backup.backup(spark, str(root), out)
     assert mended.warnings and (tmp_path / "b" / f"{backup.MARKER}.corrupt").read_text() == "{ torn" and marker.read_text() != said

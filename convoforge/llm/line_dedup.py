@@ -6,7 +6,9 @@ found in ``min_docs`` documents are droppable: only the largest doc_id that hold
 ``LineIndex`` holds two exact tables, references (key, doc_id, lines) and droppable keys (key, documents, keeper), and
 one cuckoo filter per shard of the droppable keys. ``insert`` and ``delete`` add or take back documents: reference
 counts change, keys that cross the limit enter or leave their shard's filter, and the state is the same as if only the
-remaining documents had ever been seen. ``apply`` probes the filters, so that only likely droppable lines are joined
+remaining documents had ever been seen. Both tables lie in one folder for each leaf (a range of key hashes): an update
+reads and writes the leaves of the keys it changes, as a layer over the others, and after ``layers`` updates the layers
+become one table. ``apply`` probes the filters, so that only likely droppable lines are joined
 with the exact table, which has the last word. Filters are broadcast while their checked size allows it and
 otherwise meet the lines shard by shard, in salted groups.
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import drop, written
 from .textbytes import U64, chunks, mix
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -40,6 +42,9 @@ class Params:
     shard_keys: int = 100_000
     broadcast_bytes: int = 64 << 20
     salts: int = 16
+    leaf_rows: int = 2_000_000
+    least_leaves: int = 64
+    layers: int = 8
 
 
 class CuckooFilter:
@@ -156,15 +161,30 @@ def references(docs: DataFrame, p: Params) -> DataFrame:
 
 @dataclass(frozen=True)
 class LineIndex:
+    """``depth``: layers over the first table; ``touched``: leaves that the last update wrote (all, if none are named)."""
+
     params: Params
     shards: int
+    leaves: int
     references: DataFrame
     droppable: DataFrame
     filters: DataFrame
+    depth: int = 0
+    touched: tuple[int, ...] = ()
+
+
+def _leaf(leaves: int):
+    return F.pmod(F.xxhash64("key", F.lit(1)), F.lit(leaves)).cast("int").alias("leaf")
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """A table with one folder a leaf; a leaf may hold a key of very many documents, so several tasks write it."""
+    return written(rows.repartition("leaf", F.pmod(F.xxhash64(*[c for c in ("key", "doc_id") if c in rows.columns]), F.lit(4))), name, "leaf")
 
 
 def _droppable(references: DataFrame, p: Params) -> DataFrame:
-    found = references.groupBy("key").agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("keeper"))
+    own = [c for c in ("leaf",) if c in references.columns]
+    found = references.groupBy("key", *own).agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("keeper"))
     return found.where(F.col("docs") >= p.min_docs).withColumn("hash", F.xxhash64("key"))
 
 
@@ -190,36 +210,59 @@ def _build_filters(droppable: DataFrame, shards: int) -> DataFrame:
 
 
 def build(docs: DataFrame, p: Params = Params()) -> LineIndex:
-    refs = written(references(docs, p), "line-references")
-    droppable = written(_droppable(refs, p), "line-keys")
+    """An index that can be updated."""
+    flat = written(references(docs, p), "line-references")
+    leaves = max(p.least_leaves, -(-flat.count() // p.leaf_rows))
+    refs = _stored(flat.withColumn("leaf", _leaf(leaves)), "line-references")
+    drop(flat)
+    droppable = _stored(_droppable(refs, p), "line-keys")
     shards = max(16, -(-droppable.count() // p.shard_keys))
-    return LineIndex(p, shards, refs, droppable, _build_filters(droppable, shards))
+    return LineIndex(p, shards, leaves, refs, droppable, _build_filters(droppable, shards))
+
+
+def _turn(key, old: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+    """The filter of one shard after keys came (step 1) and went (-1)."""
+    new, gone = (steps["hash"][steps["step"] == s].to_numpy() for s in (1, -1))
+    if not len(old):
+        return _filled(key[0], new)
+    own = CuckooFilter.load(old["cuckoo"][0])
+    own.delete(gone)
+    full = not own.insert(new)
+    return pd.DataFrame({"shard": [key[0]], "keys": [int(old["keys"][0]) + len(new) - len(gone)], "full": [full], "cuckoo": [own.dump()]})
 
 
 def _changed(index: LineIndex, docs: DataFrame, sign: int) -> LineIndex:
     p = index.params
-    change = references(docs, p).withColumn("n", sign * F.col("n"))
-    refs = index.references.unionByName(change).groupBy("key", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
-    refs = written(refs, "line-references")
-    droppable = written(_droppable(refs, p), "line-keys")
-    come = droppable.join(index.droppable, "key", "left_anti").select("hash", F.lit(1).alias("step"))
-    go = index.droppable.join(droppable, "key", "left_anti").select("hash", F.lit(-1).alias("step"))
-    steps = come.union(go).withColumn("shard", _shard(index.shards))
-
-    def turn(key, old: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-        new, gone = (steps["hash"][steps["step"] == s].to_numpy() for s in (1, -1))
-        if not len(old):
-            return _filled(key[0], new)
-        own = CuckooFilter.load(old["cuckoo"][0])
-        own.delete(gone)
-        full = not own.insert(new)
-        return pd.DataFrame({"shard": [key[0]], "keys": [int(old["keys"][0]) + len(new) - len(gone)], "full": [full], "cuckoo": [own.dump()]})
-
-    filters = written(index.filters.groupBy("shard").cogroup(steps.groupBy("shard")).applyInPandas(turn, FILTER), "cuckoo")
-    changed = replace(index, references=refs, droppable=droppable, filters=filters)
-    if filters.where("full").limit(1).count():
-        shards = max(index.shards, -(-droppable.count() // p.shard_keys))
-        changed = replace(changed, shards=shards, filters=_build_filters(droppable, shards))
+    change = references(docs, p).withColumn("n", sign * F.col("n")).withColumn("leaf", _leaf(index.leaves))
+    change = written(change, "line-changes")
+    touched = sorted(r["leaf"] for r in change.select("leaf").distinct().collect())  # at most ``leaves``
+    if not touched:
+        return replace(index, touched=())
+    here = F.col("leaf").isin(touched)
+    refs = index.references.where(here).unionByName(change).groupBy("key", "doc_id", "leaf").agg(F.sum("n").alias("n")).where("n > 0")
+    refs = _stored(refs, "line-references")
+    droppable = _stored(_droppable(refs, p), "line-keys")
+    before = index.droppable.where(here)
+    come = droppable.join(before, "key", "left_anti").select("hash", F.lit(1).alias("step"))
+    go = before.join(droppable, "key", "left_anti").select("hash", F.lit(-1).alias("step"))
+    steps = written(come.union(go).withColumn("shard", _shard(index.shards)), "line-steps")
+    drop(change)
+    turned = sorted(r["shard"] for r in steps.select("shard").distinct().collect())  # at most ``shards``
+    filters = index.filters
+    if turned:
+        there = F.col("shard").isin(turned)
+        new = filters.where(there).groupBy("shard").cogroup(steps.groupBy("shard")).applyInPandas(_turn, FILTER)
+        filters = filters.where(~there).unionByName(written(new, "cuckoo"))
+    changed = replace(
+        index, references=index.references.where(~here).unionByName(refs), droppable=index.droppable.where(~here).unionByName(droppable), filters=filters,
+        depth=index.depth + 1, touched=tuple(touched),
+    )
+    if changed.depth > p.layers:
+        refs, droppable = _stored(changed.references, "line-references"), _stored(changed.droppable, "line-keys")
+        changed = replace(changed, references=refs, droppable=droppable, filters=written(changed.filters, "cuckoo"), depth=0)
+    if changed.filters.where("full").limit(1).count():
+        shards = max(index.shards, -(-changed.droppable.count() // p.shard_keys))
+        changed = replace(changed, shards=shards, filters=_build_filters(changed.droppable, shards))
     return changed
 
 
@@ -256,9 +299,10 @@ def _probe(index: LineIndex, refs: DataFrame) -> DataFrame:
                 yield b.select(["key", "doc_id"]).filter(pa.array(keep))
 
         return rows.mapInArrow(probe, schema)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("salt")
+    n = max(p.salts, -(-refs.count() // (shards * p.leaf_rows)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
     filters = index.filters.select("shard", "cuckoo", salts)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(p.salts)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(n)).cast("int"))
 
     def meet(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         if not len(filters):
@@ -299,7 +343,14 @@ def apply(index: LineIndex, docs: DataFrame, refs: DataFrame | None = None, carr
     made = {"n_lines", "n_dropped", "kept_sha256", "drops"}
     carry = [c for c in docs.columns if c not in made] if carry is None else carry
     likely = _probe(index, references(docs, p) if refs is None else refs)
-    drops = likely.join(index.droppable.select("key", "keeper"), "key").where("doc_id <> keeper")
+    known = index.droppable.select("key", "keeper")
+    if known.count() * 64 <= p.broadcast_bytes:
+        drops = likely.join(F.broadcast(known), "key")
+    else:  # a line of very many documents meets its key in several tasks
+        likely = likely.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(p.salts)).cast("int"))
+        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+        drops = likely.join(known, ["key", "salt"]).drop("salt")
+    drops = drops.where("doc_id <> keeper")
     drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
     rows = docs.select(*dict.fromkeys([*carry, "doc_id", "text"])).join(drops, "doc_id", "left")
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry if c != "text"]
@@ -308,6 +359,8 @@ def apply(index: LineIndex, docs: DataFrame, refs: DataFrame | None = None, carr
 
 
 def dedup(docs: DataFrame, p: Params = Params(), carry: list[str] | None = None) -> DataFrame:
-    """Index ``docs`` and apply the index to them."""
-    index = build(docs, p)
-    return apply(index, docs, index.references, carry)
+    """Index ``docs``, for this once, and apply the index to them."""
+    refs = written(references(docs, p), "line-references")
+    droppable = written(_droppable(refs, p), "line-keys")
+    shards = max(16, -(-droppable.count() // p.shard_keys))
+    return apply(LineIndex(p, shards, 0, refs, droppable, _build_filters(droppable, shards)), docs, refs, carry)

@@ -68,6 +68,26 @@ def test_line_index_is_reversible(spark):
     assert sorted(rows(line_dedup.apply(less, rest, carry=["doc_id"])), key=str) == brute_lines(rows(rest))
 
 
+def test_an_update_touches_only_the_leaves_of_its_keys(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(1000 + i, f"{LONG}\n{i}") for i in range(6)], "doc_id long, text string"))
+    whole = line_dedup.build(docs)
+    one = docs.where("doc_id = 1005")
+    less = line_dedup.delete(whole, one)
+    again = line_dedup.insert(less, one)
+    total = whole.references.count()
+    for index in (less, again):
+        assert len(index.touched) == 1 and index.depth > 0
+        written_ = [p for p in index.references.inputFiles() if p not in set(whole.references.inputFiles())]
+        assert {re.search("leaf=(.*?)/", p)[1] for p in written_} == {str(index.touched[0])}
+        assert spark.read.parquet(*written_).count() < total / 10
+    assert sorted(map(str, rows(again.references))) == sorted(map(str, rows(whole.references)))
+    assert sorted(map(str, rows(again.droppable))) == sorted(map(str, rows(whole.droppable)))
+    for _ in range(4):
+        less = line_dedup.delete(again, one)
+        again = line_dedup.insert(less, one)
+    assert again.depth < 8 and sorted(map(str, rows(again.references))) == sorted(map(str, rows(whole.references)))
+
+
 def test_cuckoo_filter_deletes_what_it_holds():
     rng = np.random.default_rng(1)
     keys = rng.integers(-(1 << 62), 1 << 62, 20_000)

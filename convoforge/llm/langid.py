@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import drop, written
 from .textbytes import U64, Docs, chunks, mix, padded, words_at
 
 UNKNOWN = "und"
@@ -28,18 +29,20 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Params:
-    """``bits`` fixes the size of the filter (2**bits slots), whatever the input: that is the bound of what is broadcast."""
+    """``bits`` fixes the size of the filter: 2**bits slots of one mask word for each 64 languages (16 MB), whatever the number
+    of documents: that is the bound of what is broadcast."""
 
     sizes: tuple[int, ...] = (3, 4)
     bits: int = 21
     hashes: int = 2
     min_count: int = 3
     ratio: float = 0.2
-    max_languages: int = 64
 
 
 @dataclass(frozen=True)
 class Model:
+    """``slots[word]``: masks of languages 64 * word to 64 * word + 63."""
+
     languages: tuple[str, ...]
     slots: np.ndarray
     fill: np.ndarray
@@ -126,31 +129,30 @@ def learn(docs: DataFrame, p: Params = Params()) -> Model:
     """Fit on all rows of ``docs`` that have text and lang. What reaches the driver is the filter, of fixed size."""
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = rows.mapInArrow(lambda it: _count(it, p), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    from .scratch import drop, written
-
     counts = written(counts, "ngrams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(p.max_languages + 1).collect()}
-    if len(totals) > p.max_languages:
-        raise ValueError(f"more than {p.max_languages} languages")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language
     languages = tuple(sorted(totals))
-    slots = np.zeros(1 << p.bits, U64)
+    words = -(-len(languages) // 64)
+    slots = np.zeros((words, 1 << p.bits), U64)
     if languages:
         spark = docs.sparkSession
-        known = F.broadcast(spark.createDataFrame([(x, i, float(totals[x])) for i, x in enumerate(languages)], "lang string, bit int, total double"))
+        known = F.broadcast(spark.createDataFrame([(x, i // 64, i % 64, float(totals[x])) for i, x in enumerate(languages)], "lang string, word int, bit int, total double"))
         share = counts.where(F.col("n") >= p.min_count).join(known, "lang").withColumn("share", F.col("n") / F.col("total"))
         share = share.withColumn("most", F.max("share").over(Window.partitionBy("code")))
-        masks = share.where(F.col("share") >= p.ratio * F.col("most")).groupBy("code").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+        masks = share.where(F.col("share") >= p.ratio * F.col("most")).groupBy("code", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
 
         def place(batches):
             for b in batches:
-                codes, mask = b["code"].to_numpy().astype(U64), b["mask"]
-                for at in _places(codes, p):
-                    yield pa.RecordBatch.from_arrays([pa.array(at), mask], ["slot", "mask"])
-
-        filled = masks.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-        slots[filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(U64)
+                for at in _places(b["code"].to_numpy().astype(U64), p):
+                    yield pa.RecordBatch.from_arrays([b["word"], pa.array(at), b["mask"]], ["word", "slot", "mask"])
+
+        filled = written(masks.mapInArrow(place, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")), "slots")
+        for word in range(words):  # 2**bits rows at most
+            own = filled.where(F.col("word") == word).select("slot", "mask").toArrow()
+            slots[word, own["slot"].to_numpy()] = own["mask"].to_numpy().astype(U64)
+        drop(filled)
     drop(counts)
-    fill = np.array([float(((slots >> U64(i)) & U64(1)).mean()) for i in range(len(languages))])
+    fill = np.array([float(((slots[i // 64] >> U64(i % 64)) & U64(1)).mean()) for i in range(len(languages))])
     return Model(languages, slots, fill)
 
 
@@ -169,13 +171,13 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, p: Params, carry:
         docs = Docs.of(batch["text"])
         votes, grams = np.zeros((len(docs), n_lang)), np.zeros(len(docs))
         for codes, edges in _codes(_letters(docs), p.sizes):
-            mask = None
-            for at in _places(codes, p):
-                mask = model.slots[at] if mask is None else mask & model.slots[at]
             grams += np.diff(edges)
-            for i in range(n_lang):
-                total = np.concatenate([[0], np.cumsum(((mask >> U64(i)) & U64(1)).astype(np.int64))])
-                votes[:, i] += total[edges[1:]] - total[edges[:-1]]
+            places = list(_places(codes, p))
+            for word, slots in enumerate(model.slots):
+                mask = np.bitwise_and.reduce([slots[at] for at in places])
+                for i in range(64 * word, min(64 * word + 64, n_lang)):
+                    total = np.concatenate([[0], np.cumsum(((mask >> U64(i % 64)) & U64(1)).astype(np.int64))])
+                    votes[:, i] += total[edges[1:]] - total[edges[:-1]]
         votes = np.maximum(votes - grams[:, None] * false, 0) / np.maximum(1 - false, 1e-9)
         known = _has_letter(docs) & (n_lang > 0)
         best = votes.argmax(1) if n_lang else np.zeros(len(docs), np.int64)

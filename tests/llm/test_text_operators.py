@@ -2,9 +2,12 @@
 
 import base64
 import hashlib
+import random
 import re
+import string
 import struct
 import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -138,6 +141,64 @@ def test_language_held_out_accuracy(spark, docs):
     assert {r["lang_pred"] for r in langid.predict(docs[1], langid.learn(docs[0].limit(0))).collect()} == {"und"}
 
 
+def grams(text):
+    """Byte 3- and 4-grams of lower-cased letters, other ASCII characters as spaces, none with two spaces in a row."""
+    low = "".join(c.lower() if c in string.ascii_uppercase or "À" <= c <= "Þ" and c != "×" else c for c in text)
+    data = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in low.encode())
+    return [data[i : i + n] for n in (3, 4) for i in range(len(data) - n + 1) if b"  " not in data[i : i + n]]
+
+
+def test_language_votes_match_exact_sets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and lang is not null")
+    rows, counts = docs.collect(), {}
+    for r in rows:
+        counts.setdefault(r["lang"], Counter()).update(grams(r["text"]))
+    names, share = sorted(counts), {}
+    for name in names:
+        total = sum(counts[name].values())
+        for g, n in counts[name].items():
+            if n >= 3:
+                share.setdefault(g, {})[name] = n / total
+    holds = {g: {k for k, v in by.items() if v >= 0.2 * max(by.values())} for g, by in share.items()}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.learn(docs)).collect()}
+    same = 0
+    for r in rows:
+        votes = Counter(k for g in grams(r["text"]) for k in holds.get(g, ()))
+        best = max(names, key=lambda k: (votes[k], [-ord(c) for c in k]))
+        same += got[r["doc_id"]] == best
+    assert same >= 0.99 * len(rows)
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(3)
+    said = {f"l{i:03d}": ["".join(rng.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(12)] for i in range(90)}
+    data = [(i * 10 + j, " ".join(rng.choice(words) for _ in range(40)), lang) for i, (lang, words) in enumerate(said.items()) for j in range(5)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string").selectExpr("*", "lang as code", "lang as word", "lang as mask")
+    got = langid.predict(frame, langid.learn(frame)).collect()
+    assert sum(r["lang_pred"] == r["lang"] == r["code"] for r in got) >= 0.98 * len(data)
+    assert langid.predict(frame.limit(0), langid.learn(frame.limit(0))).count() == 0
+
+
+def test_quality_verdicts_on_rows_outside_the_fit(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    rated = quality.score(docs.where("doc_id % 2 = 1"), model).join(labels, "doc_id")
+    good, bad = rated.where("quality = 1"), rated.where("quality = 0")
+    assert good.where("kept").count() >= 0.95 * good.count() and bad.where("not kept").count() >= 0.85 * bad.count()
+
+
+def test_empty_tables_and_clashing_names(spark):
+    frame = spark.createDataFrame([(None, None), (1, ""), (1, "the same words"), (1, "the same words"), (2, "x " * 200_000)], "doc_id long, text string")
+    odd = frame.selectExpr("*", "1 as ids", "2 as start", "3 as sequence_id", "4 as n_tokens", "5 as score", "6 as kept")
+    for f in (frame, odd):
+        encoded = bpe.encode(f, public_tokenizers.path("byte_bpe_50k.tiktoken"), ["doc_id"], with_ids=False)
+        packed = packing.pack(f, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+        assert encoded.count() == 5 and packed.agg({"doc_tokens": "count"}).first()[0] >= 5
+        assert packed.select("doc_id").distinct().count() == 3
+    assert bpe.encode(odd.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), ["doc_id"], with_ids=False).count() == 0
+    assert packing.pack(odd.limit(0), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).count() == 0
+
+
 def library():
     import tiktoken
 

@@ -4,8 +4,9 @@ Equal vectors become one node (with its smallest ids), so copies cost nothing an
 neighbour graph comes from random projections: nodes sorted along them are compared in blocks of fixed size. Each
 NN-descent round then joins neighbours of neighbours: every node introduces the members of its list (its neighbours
 and a sample of the nodes that have it as theirs, new links first) to each other, and nodes keep the nearest ``k`` they
-have met. Queries walk the graph greedily: the best unvisited nodes of a beam are expanded until nothing better turns up
-or ``rounds`` are over; the best of the beam are rescored in double precision on the original vectors.
+have met, until hardly a link is new. Queries walk the graph greedily: the best unvisited nodes of a beam are expanded until
+nothing better turns up (or ``rounds`` are over); the best of the beam, and all whose float16 scores may hide one of the
+best, are rescored in double precision on the original vectors.
 
 Lists and beams are bounded per node by the method; list members are limited before the shuffle, and a task tells a node
 no more than its ``k`` nearest, so a node that very many others point to gets no more than that from each task. Vectors travel as float16 in the graph's work.
@@ -33,16 +34,20 @@ HELD = 1 << 20
 
 @dataclass(frozen=True)
 class Params:
+    """Descents end when under ``settled`` of all links are new; ``rounding``: how far float16 may put a score wrong."""
+
     top: int = 5
     k: int = 32
     list_size: int = 60
     projections: int = 4
     block: int = 800
-    descents: int = 3
+    descents: int = 6
+    settled: float = 0.05
     beam: int = 160
     step: int = 40
-    rounds: int = 7
+    rounds: int = 16
     rescored: int = 24
+    rounding: float = 0.004
     seed: int = 0
     broadcast_bytes: int = 32 << 20
 
@@ -187,6 +192,10 @@ def graph(nodes: DataFrame, width: int, p: Params = Params()) -> tuple[DataFrame
         then = written(_best(old.union(met), p), "ann-graph")
         drop(links)
         links = then
+        new = F.aggregate("near", F.lit(0), lambda n, x: n + F.when(x["fresh"], 1).otherwise(0))
+        share = links.agg((F.sum(new) / F.sum(F.size("near"))).alias("share")).first()["share"]
+        if not share or share < p.settled:
+            break
     return links, small.select("node", "v")
 
 
@@ -244,7 +253,9 @@ def search(vectors: DataFrame, is_query, p: Params = Params(), id_col: str = "ve
     asked = written(asked, "ann-queries")
     beam = walk(links, small, small.join(asked.select(F.col("q").alias("node")).distinct(), "node", "left_semi"), width, p)
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))
-    best = beam.withColumn("nth", nth).where(F.col("nth") <= p.rescored).select("q", "node")
+    last = F.min(F.when(F.col("nth") == p.top + 1, F.col("s"))).over(Window.partitionBy("q"))
+    best = beam.withColumn("nth", nth).withColumn("last", last)
+    best = best.where((F.col("nth") <= p.rescored) | (F.col("s") >= F.col("last") - p.rounding)).select("q", "node")
     own = nodes.select(F.col("node").alias("q"), F.col("vec").alias("query_vec"))
     best = best.join(nodes, "node").join(own, "q")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)

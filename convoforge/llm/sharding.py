@@ -84,7 +84,7 @@ def splitters(keys: DataFrame, n: int, tolerance: float, parts: int = 1, group_s
     def refine(shift: int, was: int, by_doc: bool) -> None:
         """One pass: count below the boundaries at ``shift`` bits inside the open intervals, which are ``was`` bits wide."""
         column = "doc" if by_doc else "sort_hash"
-        prefix = F.shiftrightunsigned(column, was) if was < 63 + by_doc else F.lit(0)
+        prefix = F.shiftrightunsigned(column, was) if was < 64 else F.lit(0)
         here = rows.select((F.col("sort_hash") if by_doc else F.lit(0)).cast("long").alias("hash"), prefix.cast("long").alias("prefix"), F.shiftrightunsigned(column, shift).alias("digit"), "size")
         goal = spark.createDataFrame([(h, x, i, float(goals[i] - b)) for i, (h, x, _, b) in open_.items()], "hash long, prefix long, i int, goal double")
         counted = here.join(F.broadcast(goal.select("hash", "prefix").distinct()), ["hash", "prefix"]).groupBy("hash", "prefix", "digit")

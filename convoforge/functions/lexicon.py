@@ -54,6 +54,10 @@ MIME_TYPES = {
 TITLE_CHARS, TITLE_LINES = 90, 8
 SNIPPET_CHARS, CONTEXT_BYTES = 200, 80
 RESULT_CHARS = 16_000
+PREVIEW_CHARS, SUMMARY_CHARS = 1_600, 66
+SHOWN_TOOLS, SHOWN_IMAGES, SHOWN_FILES = 4, 5, 4
+# The fields of a tool's input that tell what it did, the most telling first.
+TELLING_FIELDS = ("path", "command", "query", "pattern", "url", "glob_pattern", "description")
 FIND_CAP = SEARCH_CAP = 500
 CHUNK_BYTES = 100_000
 ATTACHMENT_BYTES = 2 << 20

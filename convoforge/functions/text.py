@@ -292,5 +292,68 @@ def short_timestamp(c: Column | str) -> Column:
 
 
 def size_label(c: Column | str) -> Column:
+    """Bytes below a KB, whole KB (halves up) below a MB, then MB with one digit."""
     n = _col(c)
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1 << 20)))
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%d KB", F.floor(n / 1024 + 0.5))).otherwise(F.format_string("%.1f MB", n / (1 << 20)))
+
+
+def date_label(unix: Column | str, zone: str = "UTC") -> Column:
+    """"07/07/2026, 02:35 PM" in the given time zone; "?" for no time and for time zero."""
+    unix = _col(unix)
+    utc = F.timestamp_add("SECOND", unix, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.when(unix.isNull() | (unix == 0), "?").otherwise(F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "MM/dd/yyyy, hh:mm a"))
+
+
+def url_decode(c: Column | str) -> Column:
+    """Percent escapes undone; a plus stays, and so does a percent sign that starts no escape. Bytes that are not UTF-8 become U+FFFD."""
+    safe = F.regexp_replace(F.replace(_col(c), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(safe)
+
+
+def expand_home(c: Column | str, home: str) -> Column:
+    c = _col(c)
+    return F.when(F.startswith(c, F.lit("~/")), F.concat(F.lit(home.rstrip("/")), F.substring(c, F.lit(2), F.length(c)))).otherwise(c)
+
+
+def preview(c: Column | str, chars: int = L.PREVIEW_CHARS) -> Column:
+    """The start of a long text, cut before a code fence that would stay open, else at a line end past 60 % of the length."""
+    c = _col(c)
+
+    def cut_off(head: Column) -> Column:
+        fences = F.size(F.split(head, "```")) - 1
+        before = F.regexp_extract(head, r"(?s)\A(.*)```", 1)
+        line = F.regexp_extract(head, r"(?s)\A(.*)\n", 1)
+        fenced = (fences % 2 == 1) & (before != "")
+        return F.when(fenced, F.regexp_replace(before, r"(?U)\s+\z", "")).when(F.length(line) > chars * 0.6, line).otherwise(head)
+
+    return F.when(F.length(c) <= chars, c).otherwise(let(F.substring(c, 1, chars), cut_off))
+
+
+def fence_parts(c: Column | str) -> Column:
+    """array(struct(code, text)): prose and code between fences in turn, without language names and empty prose."""
+    parts = F.transform(
+        F.split(_col(c), "```"),
+        lambda x, i: F.struct((i % 2 == 1).alias("code"), F.when(i % 2 == 1, F.regexp_replace(x, r"\A[A-Za-z0-9_+-]*\n", "")).otherwise(x).alias("text")),
+    )
+    return F.filter(parts, lambda p: p["code"] | (p["text"] != ""))
+
+
+def highlighted(c: Column | str, term: str) -> Column:
+    """array(struct(hit, text)): the text cut at every occurrence of the term, letter case aside."""
+    if not term:
+        return F.filter(F.array(F.struct(F.lit(False).alias("hit"), _col(c).alias("text"))), lambda p: p["text"] != "")
+    quoted = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    pieces = F.regexp_extract_all(_col(c), F.lit(f"(?isu){quoted}|.+?(?={quoted}|\\z)"), F.lit(0))
+    return F.transform(pieces, lambda x: F.struct(x.rlike(f"(?isu)\\A{quoted}\\z").alias("hit"), x.alias("text")))
+
+
+def tool_summary(name: Column | str, tool_input: Column | str) -> Column:
+    """The tool's name, and the first of the telling fields of its JSON input that is a string, cut."""
+    name = _col(name)
+
+    def told(given: Column) -> Column:
+        field = lambda k: F.try_variant_get(given, f"$.{k}", "variant")
+        texts = [F.when(F.schema_of_variant(field(k)) == "STRING", F.try_variant_get(given, f"$.{k}", "string")) for k in L.TELLING_FIELDS]
+        return let(F.coalesce(*texts), lambda x: F.when(x.isNull(), name).otherwise(F.concat(name, F.lit(": "), cut(x, L.SUMMARY_CHARS))))
+
+    return let(F.try_parse_json(_col(tool_input)), told)

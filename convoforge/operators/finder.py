@@ -76,6 +76,15 @@ def per_session(found: DataFrame, shown: int = 4) -> DataFrame:
     return rows.where(F.col("nth") <= shown)
 
 
+def card(found: DataFrame) -> DataFrame:
+    """What a result's card shows: the first tools, images and other files, and how many images are left out."""
+    images, others = F.filter("media", lambda m: m["kind"] == "image"), F.filter("media", lambda m: m["kind"] != "image")
+    return found.withColumns({
+        "tools": F.slice("tools", 1, L.SHOWN_TOOLS), "images": F.slice(images, 1, L.SHOWN_IMAGES), "files": F.slice(others, 1, L.SHOWN_FILES),
+        "more_images": F.greatest(F.size(images) - L.SHOWN_IMAGES, F.lit(0)),
+    })
+
+
 def facets(index: DataFrame) -> DataFrame:
     """Per session, its sorted distinct tools and media kinds."""
     sets = index.groupBy("project_slug", "path").agg(

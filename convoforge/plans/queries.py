@@ -526,6 +526,25 @@ def j6_media_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.resolve(rows, have, "/data/src1").select("doc_id", F.col("exists").alias("there"), F.col("within_root").alias("inside"))
 
 
+_NAMED = "CASE doc_id % 5 WHEN 0 THEN '/data/projects/' || source WHEN 1 THEN '/home/u' WHEN 2 THEN '/old/' || source || '/assets' WHEN 3 THEN '/away' ELSE '/none' END || '/f' || CAST(doc_id AS STRING) || '.pdf'"
+_THERE = """SELECT p AS file FROM named WHERE doc_id % 5 < 2 AND doc_id % 7 <> 0
+UNION ALL SELECT '/data/projects/' || source || '/assets/f' || CAST(doc_id AS STRING) || '.pdf' FROM named WHERE doc_id % 5 = 2 AND doc_id % 7 <> 1
+UNION ALL SELECT '/data/attachments/' || substr(sha, 1, 8) || '-f' || CAST(doc_id AS STRING) || '.pdf' FROM named WHERE doc_id % 5 IN (1, 3)"""
+
+
+@query(f"""WITH named AS (SELECT doc_id, source, {_NAMED} AS p, sha256({_NAMED}) AS sha FROM documents), there AS ({_THERE}),
+c AS (SELECT doc_id, p, CASE WHEN starts_with(p, '/old/') THEN '/data/projects/' || substr(p, 6) END AS moved, '/data/attachments/' || substr(sha, 1, 8) || '-' || string_split(p, '/')[-1] AS kept FROM named),
+f AS (SELECT doc_id, p, p IN (FROM there) AS own, moved, moved IN (FROM there) AS m, kept, kept IN (FROM there) AS k FROM c)
+SELECT doc_id, CASE WHEN own THEN p WHEN m THEN moved WHEN k THEN kept END AS found,
+  CASE WHEN own THEN CASE WHEN starts_with(p, '/data/projects/') THEN 'inside' ELSE 'outside' END WHEN m THEN 'moved' WHEN k THEN 'captured' END AS rule FROM f""")
+def q8_media_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = views(spark, sf_dir)["documents"].selectExpr("doc_id", "source", f"{_NAMED} AS p", f"sha2({_NAMED}, 256) AS sha")
+    named.createOrReplaceTempView("named")
+    references = named.selectExpr("doc_id", "p AS media_path")
+    slugs = named.selectExpr("source AS project_slug").distinct()
+    return media.locate(references, spark.sql(_THERE), slugs, "/data/projects").select("doc_id", "found", "rule")
+
+
 # Text.
 
 
@@ -595,11 +614,69 @@ def t22_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir)["documents"].selectExpr("doc_id", f"{_FAKE} AS t").select("doc_id", T.redact_secrets("t").alias("t"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576 * 10 + 0.5) / 10) END AS size FROM documents""")
+@query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN CAST(floor(n_chars / 1024 + 0.5) AS BIGINT) || ' KB' ELSE printf('%.1f MB', floor(n_chars / 1048576 * 10 + 0.5) / 10) END AS size FROM documents""")
 def t30_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir)["documents"].select("doc_id", T.size_label("n_chars").alias("size"))
 
 
+_UNIX = "CASE WHEN doc_id % 9 = 0 THEN 0 ELSE 1700000000 + doc_id * 25261 END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN u = 0 THEN '?' ELSE strftime(make_timestamp(u * 1000000), '%m/%d/%Y, %I:%M %p') END AS at FROM (SELECT doc_id, {_UNIX} AS u FROM documents)""")
+def t30_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views(spark, sf_dir)["documents"].selectExpr("doc_id", f"{_UNIX} AS u")
+    return rows.select("doc_id", T.date_label("u").alias("at"))
+
+
+_ESCAPED = "CASE WHEN doc_id % 3 = 0 THEN '~/' ELSE 'a+%zz%; ' END || replace(text, ' ', '%20') || '%C3%A9'"
+
+
+@query(f"""SELECT doc_id, url_decode(t) AS plain, CASE WHEN starts_with(t, '~/') THEN '/home/u' || substr(t, 2) ELSE t END AS path FROM (SELECT doc_id, {_ESCAPED} AS t FROM documents)""")
+def t25_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views(spark, sf_dir)["documents"].selectExpr("doc_id", f"{_ESCAPED} AS t")
+    return rows.select("doc_id", T.url_decode("t").alias("plain"), T.expand_home("t", "/home/u/").alias("path"))
+
+
+# A fence inside every other text, closed in some, and line ends near the cut of others.
+_FENCED = """CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 300 + doc_id % 1500) || '```py' || chr(10) || substr(text, 301 + doc_id % 1500) || CASE WHEN doc_id % 6 = 0 THEN '```' ELSE '' END
+  WHEN doc_id % 4 = 1 THEN substr(text, 1, 700 + doc_id % 900) || chr(10) || substr(text, 701 + doc_id % 900) ELSE text END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_FENCED} AS t FROM documents), h AS (SELECT *, left(t, 1600) AS head FROM t),
+p AS (SELECT *, len(string_split(head, '```')) - 1 AS fences, regexp_extract(head, '(?s)^(.*)```', 1) AS b, regexp_extract(head, '(?s)^(.*)\n', 1) AS l FROM h)
+SELECT doc_id, CASE WHEN length(t) <= 1600 THEN t WHEN fences % 2 = 1 AND b <> '' THEN regexp_replace(b, '\\s+$', '') WHEN length(l) > 960 THEN l ELSE head END AS shown FROM p""")
+def t27_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir)["documents"].selectExpr("doc_id", f"{_FENCED} AS t").select("doc_id", T.preview("t").alias("shown"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, string_split({_FENCED}, '```') AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM t),
+p AS (SELECT doc_id, i, i % 2 = 0 AS code, CASE WHEN i % 2 = 0 THEN regexp_replace(x, '^[A-Za-z0-9_+-]*\n', '') ELSE x END AS text FROM x)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS nth, code, text FROM p WHERE code OR text <> ''""")
+def t29_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views(spark, sf_dir)["documents"].selectExpr("doc_id", f"{_FENCED} AS t")
+    return rows.select("doc_id", F.posexplode(T.fence_parts("t")).alias("nth", "p")).select("doc_id", "nth", "p.code", "p.text")
+
+
+@query("SELECT doc_id, regexp_replace(text, '(?i)(the)', '[\\1]', 'g') AS t FROM documents")
+def t29_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.transform(T.highlighted("text", "The"), lambda p: F.when(p["hit"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"]))
+    return views(spark, sf_dir)["documents"].select("doc_id", F.array_join(marked, "").alias("t"))
+
+
+_WORDS = "translate(substr(text, 1, 30 + doc_id % 90), chr(34) || chr(92) || chr(9) || chr(10) || chr(13), '')"
+_INPUT = f"""CASE doc_id % 5 WHEN 0 THEN '{{"path":5,"command":"' || {_WORDS} || '"}}' WHEN 1 THEN '{{"description":"' || {_WORDS} || '","url":"/u"}}' WHEN 2 THEN '{{"path":"' || {_WORDS} || '"}}'
+  WHEN 3 THEN '{{"other":"x","query":null}}' ELSE 'no json' END"""
+_TELLING = ", ".join(f"CASE WHEN json_type(j, '$.{k}') = 'VARCHAR' THEN json_extract_string(j, '$.{k}') END" for k in L.TELLING_FIELDS)
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_INPUT} AS r FROM documents), j AS (SELECT doc_id, CASE WHEN json_valid(r) THEN r ELSE '{{}}' END AS j FROM r), x AS (SELECT doc_id, coalesce({_TELLING}) AS x FROM j)
+SELECT doc_id, CASE WHEN x IS NULL THEN 'Tool' WHEN length(x) > 66 THEN 'Tool: ' || substr(x, 1, 66) || '…' ELSE 'Tool: ' || x END AS told FROM x""")
+def t28_tool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views(spark, sf_dir)["documents"].selectExpr("doc_id", f"{_INPUT} AS r")
+    return rows.select("doc_id", T.tool_summary(F.lit("Tool"), "r").alias("told"))
+
+
+
 # Integrity.
 
 _VERIFY = WITH + """, base AS (

@@ -7,6 +7,8 @@ bytes, which Spark's readers pass over.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ FLAT = r"/([^/]+)/agent-transcripts/([^/]+)\.jsonl\z"
 CHILD = r"/([^/]+)/agent-transcripts/([^/]+)/subagents/([^/]+)\.jsonl\z"
 
 
+def default_root(tool: str, home: str | None = None) -> str | None:
+    """The folder below the user's home where a tool keeps its projects; null without a home."""
+    home = home or os.environ.get("HOME")
+    return f"{home.rstrip('/')}/.{tool}/projects" if home else None
+
+
 def bare_path(c: Column | str) -> Column:
     """A file's path without scheme and host."""
     return F.regexp_replace(c, r"\A[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)", "")

@@ -62,5 +62,29 @@ def test_redaction_is_complete(spark):
 
 def test_think_tags_and_sizes(spark):
     assert run(spark, T.neutralize_think_tags, ["<think>a</think>"]) == ["<​think>a<​/think>"]
-    assert run(spark, lambda c: T.size_label(c.cast("long")), ["10", "2048", "3145728"]) == ["10 B", "2.0 KB", "3.0 MB"]
+    assert run(spark, lambda c: T.size_label(c.cast("long")), ["10", "2048", "2560", "1048575", "3145728"]) == ["10 B", "2 KB", "3 KB", "1024 KB", "3.0 MB"]
     assert run(spark, T.is_blank, [None, "", "  \n", "x"]) == [True, True, True, False]
+
+
+def test_previews_keep_fences_whole(spark):
+    texts = ["a" * 5, "ab\n```py\ncode", "```" + "c" * 20, "abcdefgh\nij", "a\nbcdefghijk", None, "ab ```` cdefghi"]
+    assert run(spark, lambda c: T.preview(c, 10), texts) == ["aaaaa", "ab", "```ccccccc", "abcdefgh", "a\nbcdefghi", None, "ab `"]
+    parts = run(spark, T.fence_parts, ["a```py\nx```b", "```x", "", None])
+    assert [p and [tuple(x) for x in p] for p in parts] == [[(False, "a"), (True, "x"), (False, "b")], [(True, "x")], [], None]
+
+
+def test_highlights(spark):
+    got = run(spark, lambda c: T.highlighted(c, "a.\\E"), ["xA.\\Ey a. a.\\ea.\\E", "", "none\n", None])
+    assert [g and "".join(f"[{p.text}]" if p.hit else p.text for p in g) for g in got] == ["x[A.\\E]y a. [a.\\e][a.\\E]", [], "none\n", None]
+    assert [len(g) for g in run(spark, lambda c: T.highlighted(c, ""), ["abc", ""])] == [1, 0]
+    long = run(spark, lambda c: T.highlighted(c, "zz"), ["ab " * 300_000 + "zz"])[0]
+    assert [p.hit for p in long] == [False, True]
+
+
+def test_labels_of_tools_dates_and_paths(spark):
+    inputs = ['{"description": "d", "command": "ls"}', '{"path": 1}', '{"path": ""}', "[1]", "broken", None, '{"url": "' + "u" * 70 + '"}']
+    assert run(spark, lambda c: T.tool_summary(F.lit("Run"), c), inputs) == ["Run: ls", "Run", "Run: ", "Run", "Run", "Run", "Run: " + "u" * 66 + "…"]
+    assert run(spark, lambda c: T.date_label(c.cast("long")), ["1783427700", "0", None]) == ["07/07/2026, 12:35 PM", "?", "?"]
+    assert run(spark, lambda c: T.date_label(c.cast("long"), "Europe/Paris"), ["1783427700"]) == ["07/07/2026, 02:35 PM"]
+    assert run(spark, T.url_decode, ["a%20b+c%", "%zz%41", "%C3%A9", "%ff", None]) == ["a b+c%", "%zzA", "é", "\ufffd", None]
+    assert run(spark, lambda c: T.expand_home(c, "/h"), ["~/x", "~", "/~/x"]) == ["/h/x", "~", "/~/x"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from convoforge.__main__ import main
 from convoforge.functions import text as T
-from convoforge.operators import finder, integrity, linkage, parse, records, sessions, turns
+from convoforge.operators import finder, integrity, linkage, media, parse, records, sessions, turns
 from convoforge.plans import backup, export, sinks
 from convoforge.plans.options import PRESETS, ExportOptions, from_mapping
 from convoforge.sources import transcripts
@@ -286,3 +286,38 @@ def test_stream_indexes_each_line_once(spark, tmp_path):
     assert sorted(r["line_index"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 6]
     seen = stream.activity(spark.createDataFrame(rows, stream.LINES)).first()
     assert (seen["messages"], seen["skipped"]) == (5, 1)
+
+
+def test_media_are_located_by_the_first_rule_that_meets_a_file(spark):
+    named = ["/b/projects/p/a.png", "/home/a.png", "/old/p/x/a.png", "/gone/a.png", "/none/a.png", None, "/b/projects/../x.png", "/old/q/p/p/a.png"]
+    refs = spark.createDataFrame([(i, n) for i, n in enumerate(named)], "i int, media_path string")
+    kept = spark.range(1).select(F.concat(F.lit("/b/attachments/"), T.attachment_name(F.lit("/gone/a.png")))).first()[0]
+    have = spark.createDataFrame([("/b//projects/p/a.png",), ("/home/a.png",), ("/b/projects/p/x/a.png",), (kept,), ("/b/projects/../x.png",), ("/b/projects/p/p/a.png",)], "file string")
+    slugs = spark.createDataFrame([("p",), ("q",), ("",), ("p",)], "project_slug string")
+
+    def found(**how):
+        return [(r.rule, r.found) for r in media.locate(refs, have, slugs, "/b/projects/", **how).orderBy("i").collect()]
+
+    moved = [("moved", "/b/projects/p/x/a.png"), ("captured", kept), (None, None), (None, None), (None, None), ("moved", "/b/projects/p/p/a.png")]
+    assert found() == [("inside", named[0]), ("outside", named[1]), *moved]
+    assert found(live=False) == [("inside", named[0]), (None, None), *moved]
+    assert found(live=False, boundary="/home")[1] == ("inside", named[1])
+    assert media.locate(refs.limit(0), have, slugs, "/b/projects").count() == 0
+
+
+def test_cards_show_the_first_of_each(spark):
+    files = [(f"{i}.png", "image") for i in range(7)] + [(f"{i}.pdf", "document") for i in range(6)]
+    rows = spark.createDataFrame([("a", list("abcdef"), files), ("b", [], [])], "path string, tools array<string>, media array<struct<name:string,kind:string>>")
+    one, none = finder.card(rows).orderBy("path").collect()
+    assert (one.tools, [m.name for m in one.images], [m.name for m in one.files], one.more_images) == (list("abcd"), [f"{i}.png" for i in range(5)], [f"{i}.pdf" for i in range(4)], 2)
+    assert (none.tools, none.images, none.files, none.more_images) == ([], [], [], 0)
+
+
+def test_projects_and_sessions_are_picked_and_ordered(spark):
+    rows = [("p-one", "/a", False, 5, "s"), ("p-one", "/b", True, 9, "t"), ("p-two", "/c", False, None, "u"), ("p-two", "/d", False, 5, "v")]
+    every = spark.createDataFrame(rows, "project_slug string, path string, is_subagent boolean, modified_unix long, id string")
+    assert [r.path for r in sessions.ordered(every).collect()] == ["/b", "/a", "/d", "/c"]
+    found = sessions.projects(every)
+    assert [r.project_slug for r in sessions.pick_projects(found, "ONE").collect()] == ["p-one"]
+    assert sessions.pick_projects(found).count() == 2 and sessions.pick_projects(found, "zzz").count() == 0
+    assert transcripts.default_root("tool", "/h/") == "/h/.tool/projects"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, packing, pii, quality, secret_scan, sharding, simhash
+from . import ann, bpe, centroids, langid, line_dedup, negatives, packing, pii, quality, secret_scan, sharding, simhash
 from .scratch import written
 
 
@@ -67,9 +67,57 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), with_ids=False, added_tokens=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op3_neighbours, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op9_personal, op10_packing)}
-#: The line operator alone can be said in SQL.
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op3_neighbours, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op9_personal, op10_packing, op11_negatives, op12_centroids)}
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:
+    """Plain rounds over all centroids, written out one after the other."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS j, x FROM v ORDER BY j LIMIT {k})",
+    ]
+    for turn in range(rounds + 1):
+        steps.append(
+            f"a{turn} AS MATERIALIZED (SELECT r, vec_id, x, m.d AS distance, m.j AS cluster FROM (SELECT v.r, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, min({{'d': list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'j': c.j}}) AS m FROM v, c{turn} c GROUP BY v.r))"
+        )
+        if turn < rounds:
+            steps.append(
+                f"s{turn} AS (SELECT cluster, list(s ORDER BY i) AS x FROM (SELECT cluster, i, floor(sum(e)::DOUBLE / count(*))::BIGINT AS s FROM (SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{turn}) GROUP BY cluster, i) GROUP BY cluster), "
+                f"c{turn + 1} AS MATERIALIZED (SELECT c.j, coalesce(s.x, c.x) AS x FROM c{turn} c LEFT JOIN s{turn} s ON c.j = s.cluster)"
+            )
+    return (
+        f"WITH {', '.join(steps)} SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, "
+        f"(sum(a.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.j"
+    )
+
+
+#: Those that SQL can say.
 ORACLE_SQL: dict[str, str] = {
+    "op11_negatives": """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.ar, p.r ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.ar = p.ar AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5""",
+    "op12_centroids": _lloyd_sql(),
     "op1_lines": """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, centroids, langid, line_dedup, negatives, packing, pii, quality, secret_scan, sharding, simhash
+from . import ann, bpe, centroids, langid, line_dedup, negatives, packing, pii, quality, secret_scan, sharding, simhash, toxicity
 from .scratch import written
 
 
@@ -76,7 +76,15 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op3_neighbours, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op9_personal, op10_packing, op11_negatives, op12_centroids)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    model = toxicity.fit(docs.where(~held_out), _table(spark, sf_dir, "labels"))
+    rated = toxicity.score(docs, model, carry=["doc_id"])
+    return rated.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op3_neighbours, op4_simhash, op5_quality, op6_language, op7_shards, op8_bpe, op9_personal, op10_packing, op11_negatives, op12_centroids, op13_toxicity)}
 
 
 def _lloyd_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:

@@ -40,10 +40,10 @@ class Params:
     stems: tuple[int, ...] = (4, 6)
     max_train_rows: int = 12_000
     max_train_features: int = 24_000_000
-    epochs: int = 3
-    rate: float = 0.3
+    epochs: int = 4
+    rate: float = 1.0
     smooth: float = 1.0
-    l1: float = 2.0
+    l1: float = 4.0
     l2: float = 1.0
     threshold: float = 0.5
 

@@ -44,10 +44,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 given["subagent_mode"] = "separate"
             print(asdict(export.export(spark, a.root, a.out, from_mapping(given, PRESETS[a.preset]), a.project)))
         elif a.command == "find":
-            files = transcripts.read_files(spark, backup.resolve(spark, a.root))
-            numbered = parse.lines(files.select("path", "content"))
+            files = transcripts.session_files(spark, backup.resolve(spark, a.root))
+            numbered = transcripts.numbered_lines(files)
             messages = parse.messages(parse.records(numbered))
-            index = finder.index(messages, sessions.with_titles(files.drop("content"), messages))
+            index = finder.index(messages, sessions.with_titles(files.drop("uri"), messages))
             finder.page(finder.find(index, numbered, a.query, a.project, a.media, a.tool), sessions.projects(files)).select("path", "line_index", "snippet").show(50, False)
         elif a.command == "backup":
             print(asdict(backup.backup(spark, a.root, a.out, a.project, a.skip_runtime, not a.no_hashes)))

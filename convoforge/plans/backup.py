@@ -37,7 +37,11 @@ class BackupSummary:
 def _tree(spark: SparkSession, folder: str, hashed: bool = False, pattern: str = "*") -> DataFrame:
     if not sinks.exists(spark, folder):
         return spark.createDataFrame([], NOTHING + (", sha256 string" if hashed else ""))
-    return transcripts.inventory(spark, folder, hashed, pattern)
+    rows = transcripts.inventory(spark, folder, pattern)
+    if not hashed:
+        return rows
+    rows = checkpointed(rows)
+    return rows.join(sinks.hash_files(rows.select("relpath", F.concat(F.lit(f"{folder}/"), "relpath").alias("source"))), "relpath", "left")
 
 
 def _marker(spark: SparkSession, backup: str) -> dict | None:
@@ -100,7 +104,7 @@ def backup(spark: SparkSession, root: str, out: str, projects: list[str] | None
     now = now.withColumns({"relpath": F.concat(F.lit("projects/"), "relpath"), "file": F.element_at(F.split("relpath", "/"), -1)})
     now = _hashed(now, prior, out, summary) if hashes else now.withColumn("sha256", unknown)
 
-    messages = parse.messages(transcripts.records(transcripts.read_files(spark, root).join(source.select(F.concat(F.lit(f"{root}/"), "relpath").alias("path")), "path", "left_semi")))
+    messages = parse.messages(transcripts.records(transcripts.session_files(spark, root).join(source.select(F.concat(F.lit(f"{root}/"), "relpath").alias("path")), "path", "left_semi")))
     refs = media.references(messages).where(~F.startswith(media.normal_path("media_path"), F.lit(root + "/"))).select("media_path").distinct()
     extra = refs.select(F.col("media_path").alias("source"), F.concat(F.lit(f"{out}/attachments/"), T.attachment_name("media_path")).alias("target"))
     summary.attachments = sinks.copy_files(extra, keep_same=True).where("copied").count()

@@ -50,14 +50,14 @@ def export(spark: SparkSession, root: str, out: str, o: ExportOptions = ExportOp
     """Write the datasets that ``o`` asks for below ``out``; the manifest comes last, so its presence says the rest is whole."""
     sinks.guard(spark, out, [root], MANIFEST)
     sinks.delete(spark, f"{out}/{MANIFEST}")
-    files = transcripts.read_files(spark, root)
+    files = transcripts.session_files(spark, root)
     if project is not None:
         if project not in transcripts.projects_on_disk(spark, root):
             raise LookupError(f"no project {project}")
         files = files.where(F.col("project_slug") == project)
     parsed = transcripts.records(files).persist(StorageLevel.DISK_ONLY)
     messages = parse.messages(parsed)
-    everyone = sessions.with_titles(files.drop("content"), messages)
+    everyone = sessions.with_titles(files.drop("uri"), messages)
     chosen = everyone.where(F.col("path").isin(*paths)) if paths is not None else everyone
     chosen = sessions.select(chosen, o.with_subagents).persist(StorageLevel.DISK_ONLY)
     chunks = chunks_of(messages, chosen, everyone, o).persist(StorageLevel.DISK_ONLY)

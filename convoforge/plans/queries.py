@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import finder, integrity, linkage, media, parse, records, render, sessions, turns
+from ..sources import splits, transcripts
+from ..sources.scratch import shared_folder
 from .export import chunks_of
 from .fixtures import WITH, views
 from .options import ExportOptions
@@ -299,6 +301,24 @@ def w2_spawn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.tasks(_messages(spark, sf_dir)[0]).select("master_path", "spawn_order", "prompt", "background")
 
 
+# Reading.
+
+_PROJECT = "regexp_extract(path, '/t/(proj-[0-9]+)/', 1)"
+
+
+@query(WITH + f""", whole AS (SELECT {_PROJECT} AS project, path, path || chr(9) || line_index || chr(9) || coalesce(line, '') AS line FROM lines)
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY line) - 1 AS line_index, line FROM whole""")
+def s8_s9_split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of a project in one long file, read again in ranges of 4 KiB."""
+    whole = F.concat_ws("\t", "path", F.col("line_index").cast("string"), F.coalesce("line", F.lit("")))
+    rows = _lines(spark, sf_dir).select(F.expr(_PROJECT).alias("project"), whole.alias("line"))
+    folder = shared_folder(spark, "project-lines")
+    rows.repartition("project").sortWithinPartitions("project", "line").write.partitionBy("project").text(folder)
+    files = transcripts.binary_files(spark, folder, "*.txt").select("path", F.col("path").alias("uri"), F.col("length").alias("size_bytes"))
+    found = splits.lines(files, 4096)
+    return found.select(F.regexp_extract("path", "/project=([^/]+)/", 1).alias("project"), "line_index", "line")
+
+
 # Parsing.
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.lexicon import MTIME_SLACK_S
+from ..sources.stores import opened
 
 
 def _fs(spark: SparkSession, path: str):
@@ -63,14 +64,12 @@ def hash_files(plan: DataFrame) -> DataFrame:
         import hashlib
 
         import pandas as pd
-        from pyarrow import fs as pafs
 
         for rows in batches:
             said = []
             for source in rows["source"]:
                 try:
-                    here = source.startswith(("/", "file:"))
-                    store, path = (pafs.LocalFileSystem(), source.removeprefix("file://").removeprefix("file:")) if here else pafs.FileSystem.from_uri(source)
+                    store, path = opened(source)
                     own = hashlib.sha256()
                     with store.open_input_stream(path) as stream:
                         while piece := stream.read(1 << 20):

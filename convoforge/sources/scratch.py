@@ -1,19 +1,38 @@
-"""Checkpoints in the folder that the cluster names."""
+"""Checkpoints and intermediate tables in the folder that the cluster names."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir``; where that is unset (one machine), in a folder of our own."""
-    sc = df.sparkSession.sparkContext
+def _prepared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset (one machine), a folder of our own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="convoforge-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    _prepared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{_prepared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: later steps read only the columns they need."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import parse
 from ..operators.sessions import with_titles
+from . import splits
 
 NESTED = r"/([^/]+)/agent-transcripts/([^/]+)/([^/]+)\.jsonl\z"
 FLAT = r"/([^/]+)/agent-transcripts/([^/]+)\.jsonl\z"
@@ -59,7 +60,10 @@ def with_layout(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, modified_unix, size_bytes and the columns of ``layout``); bytes that are not UTF-8 become U+FFFD."""
+    """(path, content, modified_unix, size_bytes and the columns of ``layout``); bytes that are not UTF-8 become U+FFFD.
+
+    A file is one row, so this is for small ones; ``session_files`` and ``numbered_lines`` read files of any size.
+    """
     raw = binary_files(spark, root, "*.jsonl").select(
         bare_path("path").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.unix_timestamp("modificationTime").alias("modified_unix"), F.col("length").alias("size_bytes"),
@@ -67,20 +71,29 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return with_layout(raw)
 
 
-def read_sessions(spark: SparkSession, root: str) -> DataFrame:
-    """Sessions by file status alone; contents are not read."""
+def session_files(spark: SparkSession, root: str) -> DataFrame:
+    """Sessions by file status alone, with the ``uri`` to read them by; contents are not read."""
     raw = binary_files(spark, root, "*.jsonl").select(
-        bare_path("path").alias("path"), F.unix_timestamp("modificationTime").alias("modified_unix"), F.col("length").alias("size_bytes")
+        bare_path("path").alias("path"), F.col("path").alias("uri"), F.unix_timestamp("modificationTime").alias("modified_unix"), F.col("length").alias("size_bytes")
     )
     return with_layout(raw)
 
 
+def read_sessions(spark: SparkSession, root: str) -> DataFrame:
+    return session_files(spark, root).drop("uri")
+
+
+def numbered_lines(files: DataFrame) -> DataFrame:
+    """(path, line_index, line) of files with their ``content``, or of ``session_files``, which are read in byte ranges."""
+    return parse.lines(files.select("path", "content")) if "content" in files.columns else splits.lines(files)
+
+
 def records(files: DataFrame) -> DataFrame:
-    return parse.records(parse.lines(files.select("path", "content")))
+    return parse.records(numbered_lines(files))
 
 
 def titled_sessions(files: DataFrame) -> DataFrame:
-    return with_titles(files.drop("content"), parse.messages(records(files)))
+    return with_titles(files.drop("content", "uri"), parse.messages(records(files)))
 
 
 def projects_on_disk(spark: SparkSession, root: str) -> list[str]:
@@ -93,8 +106,8 @@ def projects_on_disk(spark: SparkSession, root: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
 
 
-def inventory(spark: SparkSession, root: str, hashed: bool = False, pattern: str = "*") -> DataFrame:
-    """(relpath, project, size_bytes, mtime[, sha256]) of every file below the root; project is the first folder of relpath."""
+def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(relpath, project, size_bytes, mtime) of every file below the root; project is the first folder of relpath."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -102,7 +115,7 @@ def inventory(spark: SparkSession, root: str, hashed: bool = False, pattern: str
     rows = binary_files(spark, root, pattern).withColumn("_p", bare_path("path"))
     rows = rows.withColumn("relpath", F.substring("_p", base + 1, F.length("_p")))
     out = [F.col("relpath"), F.element_at(F.split("relpath", "/"), 1).alias("project"), F.col("length").alias("size_bytes"), F.unix_timestamp("modificationTime").alias("mtime")]
-    return rows.select(*out, *([F.sha2("content", 256).alias("sha256")] if hashed else []))
+    return rows.select(*out)
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:

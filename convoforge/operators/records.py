@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..plans.options import ExportOptions
-from ..sources.scratch import checkpointed
+from ..sources.scratch import checkpointed, written
 from .render import cpt_assistant, sft_assistant, trainable
 
 SOURCE = "agent-transcript"
@@ -51,32 +53,62 @@ def turn_size() -> Column:
     return F.octet_length("user") + F.octet_length("thinking") + F.greatest(F.octet_length("answer"), F.octet_length("native"))
 
 
+def chunk_starts(sizes: DataFrame, limit: int) -> DataFrame:
+    """(path, turn_id, chunk, starts) of (path, turn_id, size): the chunk of each turn, filled greedily up to ``limit`` bytes.
+
+    Turns of a path pass through a task in order, and only the bytes of the open chunk are carried from one batch to the
+    next, so a session of any length takes the memory of a batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_path, at, filled = None, 0, 0
+        for b in batches:
+            paths = b["path"].dictionary_encode()
+            code = paths.indices.to_numpy()
+            size = b["size"].to_numpy()
+            chunk = np.zeros(len(b), np.int64)
+            starts = np.zeros(len(b), bool)
+            edges = [*np.flatnonzero(np.diff(code, prepend=-1)), len(b)]
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                path = paths.dictionary[code[first]].as_py()
+                if path != open_path:
+                    open_path, at, filled = path, -1, 0  # nothing is open
+                total = np.cumsum(size[first:last])
+                done, i = 0, 0  # bytes before i
+                while i < last - first:
+                    if at < 0 or filled and filled + int(total[i]) - done > limit:
+                        at, filled = at + 1, 0
+                        starts[first + i] = True
+                    room = limit - filled + done
+                    to = max(i + 1, int(np.searchsorted(total, room, "right")))  # a turn larger than the limit is alone
+                    chunk[first + i : first + to] = at
+                    filled, done, i = filled + int(total[to - 1]) - done, int(total[to - 1]), to
+            yield pa.RecordBatch.from_arrays([b["path"], b["turn_id"], pa.array(chunk), pa.array(starts)], ["path", "turn_id", "chunk", "starts"])
+
+    ordered = sizes.select("path", "turn_id", "size").repartition("path").sortWithinPartitions("path", "turn_id")
+    return ordered.mapInArrow(run, "path string, turn_id long, chunk long, starts boolean")
+
+
 def chunk(turns: DataFrame, limit: int = L.CHUNK_BYTES) -> DataFrame:
     """Per path, runs of turns of at most ``limit`` bytes (0: no limit); a larger turn is a chunk of its own.
 
-    (path, chunk, chunks, turns, size). The fold keeps only the first turn of each chunk, so it is linear in the turns;
-    the turns of one session meet in one row.
+    (path, chunk, chunks, turns, size). Turns are written out once; their sizes alone are ordered by path, and texts
+    meet by chunk, never by session (but where there is no limit, and a session is one record).
     """
-    turn = F.struct("turn_id", turn_size().cast("long").alias("size"), "user", "thinking", "answer", "native")
-    whole = turns.groupBy("path").agg(F.array_sort(F.collect_list(turn)).alias("all"))
+    turn = F.struct("turn_id", F.col("_size").alias("size"), "user", "thinking", "answer", "native")
+    rows = turns.withColumn("_size", turn_size().cast("long"))
     if limit <= 0:
-        starts = F.array(F.lit(1))
+        chunks = rows.groupBy("path").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+        chunks = chunks.select("path", F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("chunks"), "turns")
     else:
-
-        def step(acc: Column, size: Column) -> Column:
-            opens = (acc["filled"] > 0) & (acc["filled"] + size > limit)
-            return F.struct(
-                (acc["at"] + 1).alias("at"), F.when(opens, size).otherwise(acc["filled"] + size).alias("filled"),
-                F.when(opens, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
-            ).cast("struct<at:int,filled:bigint,starts:array<int>>")
-
-        zero = F.struct(F.lit(1).alias("at"), F.lit(0).cast("long").alias("filled"), F.array(F.lit(1)).alias("starts")).cast("struct<at:int,filled:bigint,starts:array<int>>")
-        starts = F.aggregate(F.transform("all", lambda t: t["size"]), zero, step, lambda acc: acc["starts"])
-    cut = whole.withColumn("starts", starts)
-    cut = cut.select("path", "all", "starts", F.size("starts").cast("long").alias("chunks"), F.posexplode("starts").alias("chunk", "first"))
-    end = F.coalesce(F.try_element_at("starts", F.col("chunk") + 2), F.size("all") + 1)
-    cut = cut.select("path", F.col("chunk").cast("long").alias("chunk"), "chunks", F.slice("all", F.col("first"), end - F.col("first")).alias("turns"))
-    return cut.withColumn("size", F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["size"]))
+        rows = written(rows, "turns")
+        placed = written(chunk_starts(rows.select("path", "turn_id", F.col("_size").alias("size")), limit), "turn-chunks")
+        chunks = rows.join(placed.drop("starts"), ["path", "turn_id"]).groupBy("path", "chunk").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+        counts = placed.where("starts").groupBy("path").agg(F.count("*").alias("chunks"))
+        chunks = chunks.join(counts, "path").select("path", "chunk", "chunks", "turns")
+    return chunks.withColumn("size", F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["size"]))
 
 
 def _total(field: str) -> Column:

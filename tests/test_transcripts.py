@@ -122,6 +122,41 @@ def test_chunks(spark, limit, want):
     assert [r["turn_id"] for c in got for r in c["turns"]] == [0, 1, 2]
 
 
+def brute_chunks(sizes, limit):
+    out, at, filled = [], 0, 0
+    for size in sizes:
+        if filled > 0 and filled + size > limit:
+            at, filled = at + 1, 0
+        out.append(at)
+        filled += size
+    return out
+
+
+def test_chunks_match_a_sequential_fill_over_batches(spark):
+    random.seed(6)
+    data = {f"p{i}": [random.choice([0, 1, 5, 40, 99, 100, 101, 250]) for _ in range(random.choice([1, 3, 30, 700]))] for i in range(12)}
+    rows = spark.createDataFrame([(p, i, n) for p, x in data.items() for i, n in enumerate(x)], "path string, turn_id long, size long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {}
+        for r in records.chunk_starts(rows, 100).orderBy("path", "turn_id").collect():
+            got.setdefault(r["path"], []).append((r["chunk"], r["starts"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for p, x in data.items():
+        want = brute_chunks(x, 100)
+        assert got[p] == [(c, i == 0 or c != want[i - 1]) for i, c in enumerate(want)]
+    assert records.chunk_starts(rows.limit(0), 100).count() == 0
+
+
+def test_chunks_of_a_session_of_millions_of_turns(spark):
+    rows = spark.range(3_000_000, numPartitions=4).select(F.lit("p").alias("path"), F.col("id").alias("turn_id"), (F.col("id") % 7 * 100).alias("size"))
+    placed = records.chunk_starts(rows, 100_000)
+    said = placed.join(rows, ["path", "turn_id"]).groupBy("chunk").agg(F.sum("size").alias("bytes"), F.count_if("starts").alias("starts"))
+    said = said.agg(F.count("*").alias("n"), F.max("bytes").alias("most"), F.sum("bytes").alias("all"), F.max("starts").alias("starts")).first()
+    assert said["most"] <= 100_000 and said["starts"] == 1 and said["n"] == len({*brute_chunks([i % 7 * 100 for i in range(3_000_000)], 100_000)})
+
+
 @pytest.mark.parametrize("n,fraction,want", [(10, 0.25, 3), (5, 0.5, 3), (1, 0.5, 0), (4, 0.9, 2), (3, 0.0, 0)])
 def test_split_holds_out_the_latest(spark, n, fraction, want):
     rows = spark.createDataFrame([(f"p{i:02}", i if i else None) for i in range(n)], "path string, modified_unix long")

@@ -2,7 +2,8 @@
 
 Calls are taken in document order; each takes the first unused child whose first query equals its prompt, else the first
 unused one whose first query contains it. A call left over that some used child was asked as well is a resume. The
-matching is one fold per parent over its calls and children, both of which are few.
+matching is one fold per parent, over rows that stream by in order: prompts and numbers of children are held, never the
+texts of children, and no pair of a call and a child is formed that doesn't match.
 
 Defined results: an empty prompt never matches; a call or child without a counterpart stays; of calls that share a
 prompt the last one speaks for all of them in ``by_hash``.
@@ -10,12 +11,18 @@ prompt the last one speaks for all of them in ``by_hash``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .parse import string_at, tool_calls
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 TASK = "Task"
 
 
@@ -46,42 +53,133 @@ def children(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     return subs.join(told, "path", "left").select("master_path", "path", F.coalesce("first_query", blank).alias("first_query"), F.coalesce("all_user", blank).alias("all_user"), "answer")
 
 
-_LINK = "struct<spawn_order:bigint,subagent_type:string,description:string,prompt_hash:string,background:boolean,prompt:string,match:string,child:string,result:string>"
+class Fold:
+    """The calls and children of one parent, met one after the other: prompts, then first queries, then all that users said.
+
+    Of calls only distinct prompts are held, of children their paths; their texts pass through an automaton of the
+    prompts, which tells what each contains. What is kept of that are numbers of children.
+    """
+
+    def __init__(self) -> None:
+        self.prompts: dict[str, int] = {}
+        self.calls: list[tuple[int, int]] = []  # spawn_order, number of the prompt (-1: empty)
+        self.paths: list[str] = []
+        self.equal: dict[int, list[int]] = {}
+        self.inside: dict[int, list[int]] = {}
+        self.match: list[str] = []
+        self.child: list[int] = []
+        self.used: set[int] = set()
+        self.again: dict[int, int] = {}
+        self.automaton = self.pending = None
+
+    def call(self, order: int, prompt: str) -> None:
+        self.calls.append((order, self.prompts.setdefault(prompt, len(self.prompts)) if prompt else -1))
+
+    def kid(self, path: str, query: str) -> None:
+        if self.automaton is None:
+            self.automaton = _automaton(self.prompts)
+        n = len(self.paths)
+        self.paths.append(path)
+        for p in _held(self.automaton, query):
+            self.inside.setdefault(p, []).append(n)
+        if query in self.prompts:
+            self.equal.setdefault(self.prompts[query], []).append(n)
+
+    def settle(self) -> None:
+        """Calls in order, each to the first unused child. Lists are walked once: what is used stays used."""
+        at = {"exact": dict.fromkeys(self.equal, 0), "substring": dict.fromkeys(self.inside, 0)}
+        for _, p in self.calls:
+            said, who = "none", -1
+            for name, lists in (("exact", self.equal), ("substring", self.inside)):
+                own, i = lists.get(p, []), at[name].get(p, 0)
+                while i < len(own) and own[i] in self.used:
+                    i += 1
+                if p in at[name]:
+                    at[name][p] = i
+                if i < len(own):
+                    said, who = name, own[i]
+                    self.used.add(who)
+                    break
+            self.match.append(said)
+            self.child.append(who)
+        left = {p for (_, p), m in zip(self.calls, self.match, strict=True) if m == "none" and p >= 0}
+        self.pending = _automaton({t: n for t, n in self.prompts.items() if n in left})
+
+    def heard(self, n: int, said: str) -> None:
+        """All that users said in child ``n``; children come in their order."""
+        if n in self.used:
+            for p in _held(self.pending, said):
+                self.again.setdefault(p, n)
+
+    def links(self) -> Iterator[tuple[int, str, str | None]]:
+        if len(self.match) < len(self.calls):
+            self.settle()
+        for (order, p), match, child in zip(self.calls, self.match, self.child, strict=True):
+            if match == "none" and p in self.again:
+                match, child = "resume", self.again[p]
+            yield order, match, self.paths[child] if child >= 0 else None
+
+
+def _automaton(prompts: dict[str, int]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for text, n in prompts.items():
+        out.add_word(text, n)
+    out.make_automaton()
+    return out
+
+
+def _held(automaton, text: str) -> set[int]:
+    """The numbers of the prompts that a text contains."""
+    return {n for _, n in automaton.iter(text)} if len(automaton) and text else set()
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each parent in order: calls, children with their first query, children with all that users said."""
+    import pyarrow as pa
+
+    def told(parent: str, fold: Fold) -> Iterator[pa.RecordBatch]:
+        rows = list(fold.links())
+        for i in range(0, len(rows), 10_000):
+            order, match, child = zip(*rows[i : i + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([parent] * len(order)), pa.array(order, pa.int64()), pa.array(match), pa.array(child, pa.string())], ["master_path", "spawn_order", "match", "child_path"])
+
+    parent, fold, n = None, Fold(), 0
+    for b in batches:
+        for own, kind, order, path, text in zip(*(b[c].to_pylist() for c in ("master_path", "kind", "spawn_order", "path", "text")), strict=True):
+            if own != parent:
+                yield from told(parent, fold)
+                parent, fold, n = own, Fold(), 0
+            if kind == 0:
+                fold.call(order, text)
+            elif not fold.calls:  # a parent that never asked
+                continue
+            elif kind == 1:
+                fold.kid(path, text)
+            else:
+                if fold.pending is None:
+                    fold.settle()
+                fold.heard(n, text)
+                n += 1
+    yield from told(parent, fold)
 
 
 def link(tasks: DataFrame, children: DataFrame) -> DataFrame:
-    """One row per call: match (exact, substring, resume, none), child_path and, for foreground calls, result."""
-    calls = tasks.groupBy("master_path").agg(F.array_sort(F.collect_list(F.struct("spawn_order", "subagent_type", "description", "prompt", "prompt_hash", "background"))).alias("calls"))
-    kids = children.groupBy("master_path").agg(F.array_sort(F.collect_list(F.struct("path", "first_query", "all_user", "answer"))).alias("kids"))
-    both = calls.join(kids, "master_path", "left").withColumn("kids", F.coalesce("kids", F.array().cast(kids.schema["kids"].dataType)))
-
-    def entry(t: Column, kid: Column, match: Column) -> Column:
-        return F.struct(
-            t["spawn_order"], t["subagent_type"], t["description"], t["prompt_hash"], t["background"], t["prompt"],
-            match.alias("match"), kid["path"].alias("child"), F.when(~t["background"], kid["answer"]).alias("result"),
-        ).cast(_LINK)
-
-    def step(acc: Column, t: Column) -> Column:
-        free = F.filter("kids", lambda k: ~F.array_contains(acc["used"], k["path"]) & (t["prompt"] != ""))
-        best = lambda rule: F.try_element_at(F.filter(free, rule), F.lit(1))
-        exact, inside = best(lambda k: k["first_query"] == t["prompt"]), best(lambda k: F.contains(k["first_query"], t["prompt"]))
-        found = F.struct(F.coalesce(exact, inside).alias("kid"), F.when(exact.isNotNull(), "exact").when(inside.isNotNull(), "substring").otherwise("none").alias("match"))
-
-        def taken(f: Column) -> Column:
-            used = F.when(f["kid"].isNotNull(), F.concat(acc["used"], F.array(f["kid"]["path"]))).otherwise(acc["used"])
-            return F.struct(used.alias("used"), F.concat(acc["links"], F.array(entry(t, f["kid"], f["match"]))).alias("links")).cast(f"struct<used:array<string>,links:array<{_LINK}>>")
-
-        return T.let(found, taken)
-
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<{_LINK}>").alias("links"))
-
-    def finish(acc: Column) -> Column:
-        again = lambda x: F.try_element_at(F.filter("kids", lambda k: F.array_contains(acc["used"], k["path"]) & F.contains(k["all_user"], x["prompt"])), F.lit(1))
-        resumed = lambda x: T.let(again(x), lambda k: F.when(k.isNotNull(), entry(x, F.struct(k["path"].alias("path"), F.lit(None).cast("string").alias("answer")), F.lit("resume"))).otherwise(x))
-        return F.transform(acc["links"], lambda x: F.when((x["match"] == "none") & (x["prompt"] != ""), resumed(x)).otherwise(x))
-
-    folded = both.select("master_path", F.explode(F.aggregate("calls", start, step, finish)).alias("x"))
-    return folded.select("master_path", "x.spawn_order", "x.subagent_type", "x.description", "x.prompt_hash", "x.background", "x.match", F.col("x.child").alias("child_path"), "x.result")
+    """One row per call: match (exact, substring, resume, none), child_path and, for foreground calls, result.
+
+    Parents pass through tasks in order, their calls before their children; answers join the links afterwards.
+    """
+    order, none = F.col("spawn_order").cast("long"), F.lit(None)
+    calls = tasks.select("master_path", F.lit(0).alias("kind"), order.alias("spawn_order"), none.cast("string").alias("path"), F.coalesce("prompt", F.lit("")).alias("text"))
+    kids = [children.select("master_path", F.lit(k).alias("kind"), none.cast("long").alias("spawn_order"), "path", F.coalesce(c, F.lit("")).alias("text")) for k, c in ((1, "first_query"), (2, "all_user"))]
+    rows = calls.unionAll(kids[0]).unionAll(kids[1]).repartition("master_path").sortWithinPartitions("master_path", "kind", "spawn_order", "path")
+    links = rows.mapInArrow(_folded, "master_path string, spawn_order long, match string, child_path string")
+    answers = children.select(F.col("path").alias("child_path"), "master_path", "answer")
+    told = tasks.select("master_path", order.alias("spawn_order"), "subagent_type", "description", "prompt_hash", "background").join(links, ["master_path", "spawn_order"])
+    told = told.join(answers, ["master_path", "child_path"], "left")
+    result = F.when(~F.col("background") & F.col("match").isin("exact", "substring"), F.col("answer"))
+    return told.select("master_path", "spawn_order", "subagent_type", "description", "prompt_hash", "background", "match", "child_path", result.alias("result"))
 
 
 def by_hash(links: DataFrame) -> DataFrame:

@@ -122,6 +122,20 @@ def test_chunks(spark, limit, want):
     assert [r["turn_id"] for c in got for r in c["turns"]] == [0, 1, 2]
 
 
+def test_linkage_of_many_children_under_one_parent(spark):
+    n = 20_000
+    t = spark.range(n).select(F.lit("m").alias("master_path"), F.col("id").alias("spawn_order"), F.lit("t").alias("subagent_type"), F.lit("d").alias("description"), F.concat(F.lit("job "), F.col("id") % 5000, F.lit(";")).alias("prompt"), F.lit("h").alias("prompt_hash"), F.lit(False).alias("background"))
+    k = spark.range(n).select(F.lit("m").alias("master_path"), F.format_string("k%06d", "id").alias("path"), F.concat(F.when(F.col("id") % 2 == 0, "please do ").otherwise(""), F.lit("job "), F.col("id") % 5000, F.lit(";")).alias("first_query"), F.lit("").alias("all_user"), F.concat(F.lit("answer "), "id").alias("answer"))
+    got = {r["spawn_order"]: (r["match"], r["child_path"], r["result"]) for r in linkage.link(t, k).collect()}
+    assert len(got) == n
+    for i in range(n):  # the i-th call of a prompt takes the i-th of its four children
+        assert got[i] == ("exact" if i % 2 else "substring", f"k{i:06d}", f"answer {i}")
+    pairs = spark.createDataFrame([("m", i, "t", "d", p, p, False) for i, p in enumerate(["", "x", "x", "y"])], t.schema)
+    kids = spark.createDataFrame([("m", "b", None, None, None), ("m", "a", "x", "x y", "done"), ("q", "c", "x", "x", "of nobody")], "master_path string, path string, first_query string, all_user string, answer string")
+    assert [(r["match"], r["child_path"], r["result"]) for r in linkage.link(pairs, kids).orderBy("spawn_order").collect()] == [("none", None, None), ("exact", "a", "done"), ("resume", "a", None), ("resume", "a", None)]
+    assert linkage.link(t.limit(0), k).count() == 0 and linkage.link(pairs, kids.limit(0)).where("match = 'none'").count() == 4
+
+
 def brute_chunks(sizes, limit):
     out, at, filled = [], 0, 0
     for size in sizes:

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..sources import splits
+from ..sources.scratch import checkpointed, written
 from .parse import lines, tool_names
 
 
+#: Most files of a wave that is picked by sorting.
+WAVE_FILES = 100_000
+
+
 def hits_in_lines(numbered: DataFrame, needle: str) -> DataFrame:
     return numbered.where(T.contains_folded("line", needle))
 
@@ -25,6 +35,46 @@ def search(files: DataFrame, needle: str, cap: int = L.SEARCH_CAP) -> DataFrame:
     return found.select("path", "line_index", T.match_snippet("line", needle).alias("snippet"))
 
 
+@dataclass
+class Found:
+    """``hits`` as ``search`` gives them, and how many files were looked at for them."""
+
+    hits: DataFrame
+    files_scanned: int
+    waves: int
+
+
+def in_waves(files: DataFrame, read: Callable[[DataFrame], DataFrame], needle: str, cap: int = L.SEARCH_CAP, first: int | None = None, growth: int = 4) -> Found:
+    """Files of (path, ...) in the order of their paths, in waves of growing size, until ``cap`` hits are found.
+
+    ``read`` gives (path, line_index, line) of a wave's files. Waves that would hold over ``WAVE_FILES`` take all that is left.
+    """
+    spark = files.sparkSession
+    files = written(files, "search-files")
+    take, last, scanned, parts, left, waves = first or 4 * spark.sparkContext.defaultParallelism, None, 0, [], cap, 0
+    while left > 0:
+        rest = files if last is None else files.where(F.col("path") > last)
+        wave = checkpointed(rest.orderBy("path").limit(take)) if take <= WAVE_FILES else rest
+        about = wave.agg(F.count("*").alias("n"), F.max("path").alias("last")).first()
+        if not about["n"]:
+            break
+        waves += 1
+        found = hits_in_lines(read(wave), needle).orderBy("path", "line_index", "line").limit(left)
+        found = checkpointed(found.select("path", "line_index", T.match_snippet("line", needle).alias("snippet")))
+        got = found.agg(F.count("*").alias("n"), F.max("path").alias("last")).first()
+        parts.append(found)
+        left -= got["n"]
+        scanned += about["n"] if left > 0 else wave.where(F.col("path") <= got["last"]).count()
+        last, take = about["last"], take * growth
+    none = spark.createDataFrame([], "path string, line_index long, snippet string")
+    return Found(reduce(DataFrame.unionByName, parts, none) if parts else none, scanned, waves)
+
+
+def search_files(files: DataFrame, needle: str, cap: int = L.SEARCH_CAP, split_bytes: int = splits.SPLIT_BYTES) -> Found:
+    """The first hits by path and line in files of (path, uri, size_bytes); files behind the wave that meets the cap are never opened."""
+    return in_waves(files.select("path", "uri", "size_bytes"), lambda wave: splits.lines(wave, split_bytes, needle), needle, cap)
+
+
 def scanned(files: DataFrame, found: DataFrame, cap: int = L.SEARCH_CAP) -> DataFrame:
     """(files_scanned): files by path up to the one in which ``search`` met its cap; all of them if it never did."""
     last = found.agg(F.count("*").alias("n"), F.max("path").alias("path")).first()

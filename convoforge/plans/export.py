@@ -87,7 +87,8 @@ def export(spark: SparkSession, root: str, out: str, o: ExportOptions = ExportOp
     if o.cpt_txt:
         whole = chunks.groupBy("path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "turns"))), lambda x: x["turns"])).alias("turns"))
         whole = whole.join(chosen, "path").withColumn("text", records.dialogue(o)).withColumn("file", records.text_file_name("project_slug", "id"))
-        whole.select("file", "text").write.mode("overwrite").partitionBy("file").text(f"{out}/cpt_txt")
+        sinks.delete(spark, f"{out}/cpt_txt")
+        sinks.write_texts(whole.where(~T.is_blank("text")), f"{out}/cpt_txt")
 
     files_seen = refs.select("media_path").distinct()
     summary.media_referenced = files_seen.count()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import finder, integrity, linkage, media, parse, records, render, sessions, turns
 from ..sources import splits, transcripts
 from ..sources.scratch import shared_folder
+from . import kept, sinks
 from .export import chunks_of
 from .fixtures import WITH, views
 from .options import ExportOptions
@@ -443,7 +444,20 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Blank lines stand where the fixture has no row.
     before = lambda i: F.when(i > 0, F.get("l", i - 1)["line_index"]).otherwise(0)
     content = F.array_join(F.transform("l", lambda x, i: F.concat(F.repeat(F.lit("\n"), (x["line_index"] - before(i)).cast("int")), F.coalesce(x["line"], F.lit("")))), "")
-    return files.select("path", content.alias("content"))
+    return files.select("path", content.alias("content"), "nth")
+
+
+def _fixture_path() -> Column:
+    """The path as the fixture has it, of a file written below some folder."""
+    return F.regexp_extract("path", r"(/t/proj-.*)\z", 1).alias("path")
+
+
+def _session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's transcripts as files of their own in the shared folder."""
+    folder = shared_folder(spark, "transcripts")
+    sinks.write_texts(_files(spark, sf_dir).select(F.concat(F.lit("n"), F.col("nth").cast("string"), "path").alias("file"), F.col("content").alias("text")), folder)
+    files = transcripts.binary_files(spark, folder, "*.jsonl").select(transcripts.bare_path("path").alias("path"), F.col("path").alias("uri"), F.unix_timestamp("modificationTime").alias("modified_unix"), F.col("length").alias("size_bytes"))
+    return files.withColumns({"project_slug": F.expr(_PROJECT), "is_subagent": F.contains("path", F.lit("/subagents/"))})
 
 
 @query(WITH + " SELECT path, line_index FROM lines WHERE contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'then')")
@@ -503,14 +517,31 @@ cut AS (SELECT *, coalesce(list_min(list_filter(range(0, 81), lambda k: strlen(r
 
 @query(_FOUND + """ SELECT path, line_index, '…' || trim(replace(replace(replace(right(b, kb) || substr(line, pos, 2) || left(a, ka), chr(92) || 'n', ' '), chr(92) || 't', ' '), chr(92) || chr(34), chr(34)), chr(32) || chr(9) || chr(10) || chr(13)) || '…' AS snippet FROM cut""")
 def q1_o6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finder.search(_files(spark, sf_dir), "EN")
+    return finder.search_files(_session_files(spark, sf_dir), "EN").hits.withColumn("path", _fixture_path())
 
 
 @query(_FOUND + """ SELECT CASE WHEN (SELECT count(*) FROM hit) >= 500 THEN (SELECT count(DISTINCT path) FROM lines WHERE path <= (SELECT max(path) FROM hit)) ELSE (SELECT count(DISTINCT path) FROM lines) END AS files_scanned""")
 def a14_files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    paths = files.select("path").distinct()
-    return finder.scanned(paths, finder.search(files, "EN"))
+    scanned = finder.search_files(_session_files(spark, sf_dir), "EN").files_scanned
+    return spark.range(1).select(F.lit(scanned).cast("long").alias("files_scanned"))
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> kept.Kept:
+    folder = shared_folder(spark, "kept-index")
+    kept.renew(_session_files(spark, sf_dir), folder)
+    return kept.opened(spark, folder)
+
+
+@query(_INDEX + """ SELECT 'tool' AS facet, tools AS value, count(*) AS messages FROM kept WHERE tools <> '' GROUP BY tools UNION ALL SELECT 'media', 'document', count(*) FROM kept WHERE media <> '' HAVING count(*) > 0""")
+def q5_kept_facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept.facet_values(_kept(spark, sf_dir))
+
+
+@query(WITH + " SELECT path, line_index FROM lines WHERE contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'item #')")
+def q2_kept_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in the ranges that the filters leave."""
+    ranges = kept.may_hold(_kept(spark, sf_dir).ranges, "ITEM #")
+    return finder.hits_in_lines(splits.read_lines(ranges, "ITEM #"), "ITEM #").select(_fixture_path(), "line_index")
 
 
 # Media.

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.lexicon import MTIME_SLACK_S
+from ..sources.scratch import checkpointed
 from ..sources.stores import opened
 
 
@@ -57,6 +60,50 @@ def guard(spark: SparkSession, out: str, sources: list[str], marker: str) -> Non
             raise ValueError(f"{out} is not empty and has no {marker}")
 
 
+def write_texts(rows: DataFrame, out: str) -> int:
+    """Each (file, text) row becomes the file ``out``/file; a name given twice has the last text. Returns how many there are.
+
+    Tasks write below a staging folder, each attempt under a name of its own; once all are done, other tasks move the
+    files that finished attempts told of into place. If writing fails, the staging folder goes and ``out`` is as it was.
+    """
+    spark, out = rows.sparkSession, out.rstrip("/")
+    stage = f"{out}/_staging-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        own = uuid.uuid4().hex
+        for at, rows in enumerate(batches):
+            staged = []
+            for i, text in enumerate(rows["text"]):
+                staged.append(f"{stage}/{own}/{at}-{i}")
+                store, path = opened(staged[-1])
+                if not i and not at:
+                    store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(path) as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"file": rows["file"], "staged": staged})
+
+    def place(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for rows in batches:
+            for file, staged in zip(rows["file"], rows["staged"], strict=True):
+                store, path = opened(staged)
+                target = opened(f"{out}/{file}")[1]
+                if store.get_file_info(path).is_file:  # else this was done by an attempt whose end was not heard of
+                    store.create_dir(target.rpartition("/")[0], recursive=True)
+                    store.move(path, target)
+            yield pd.DataFrame({"file": rows["file"]})
+
+    one = rows.groupBy("file").agg(F.max("text").alias("text"))
+    try:
+        staged = checkpointed(one.mapInPandas(write, "file string, staged string"))
+        return staged.mapInPandas(place, "file string").count()
+    finally:
+        delete(spark, stage)
+
+
 def hash_files(plan: DataFrame) -> DataFrame:
     """(relpath, sha256) of (relpath, source) rows, read in pieces in tasks; null where a file can't be read."""
 

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import linkage, media, parse, records, render, sessions, turns
 from ..sources import transcripts
@@ -64,14 +65,13 @@ def export(spark: SparkSession, root: str, out: str, o: ExportOptions = ExportOp
     summary = ExportSummary(sessions=chunks.select("path").distinct().count())
     summary.skipped = chosen.count() - summary.sessions
 
-    written: dict[str, str] = {}
+    counts: dict[str, int] = {}
 
-    def lines(name: str, rows: DataFrame, column: str = "record") -> None:
-        for part in ("train", "val"):
-            mine = rows.where(F.col("split") == part)
-            if mine.limit(1).count():
-                written[f"{name}/{part}.jsonl"] = column
-                mine.select(F.col(column).alias("value")).write.mode("overwrite").text(f"{out}/{name}/{part}.jsonl")
+    def lines(name: str, rows: DataFrame) -> None:
+        made, secrets = sinks.write_counted(rows.select(F.col("split").alias("part"), F.col("record").alias("value")), f"{out}/{name}", ("train", "val"), L.SECRET_FAMILIES)
+        counts.update({f"{name}/{part}.jsonl": n for part, n in made.items()})
+        for kind, n in secrets.items():
+            summary.secrets_detected[kind] = summary.secrets_detected.get(kind, 0) + n
 
     if o.sft_chatml:
         lines("sft_chatml", chunks.withColumn("record", records.chatml(o)))
@@ -100,13 +100,6 @@ def export(spark: SparkSession, root: str, out: str, o: ExportOptions = ExportOp
             summary.warnings.append(f"{done['bad']} media files could not be copied")
 
     sinks.write_text(spark, f"{out}/README.md", card(o, chunks))
-    counts = {}
-    for name in written:
-        text = spark.read.text(f"{out}/{name}")
-        found = text.select(F.explode(T.scan_secrets("value")).alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("n"))
-        counts[name] = text.count()
-        for r in found.collect():  # a row per credential format
-            summary.secrets_detected[r["kind"]] = summary.secrets_detected.get(r["kind"], 0) + r["n"]
     summary.sft_records = sum(n for k, n in counts.items() if k.startswith("sft"))
     summary.cpt_records = sum(n for k, n in counts.items() if k.startswith("cpt"))
     per_session = chunks.groupBy("path").agg(F.sum(F.size("turns")).alias("turns_trainable"))
@@ -123,8 +116,6 @@ def export(spark: SparkSession, root: str, out: str, o: ExportOptions = ExportOp
 
 def readable(spark: SparkSession, refs: DataFrame) -> DataFrame:
     """(path, media_path, text) of referenced readable files that exist, hold UTF-8 and are small enough; read in tasks."""
-    from ..functions import lexicon as L
-
     def run(batches):
         import os
 

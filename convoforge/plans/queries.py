@@ -223,6 +223,17 @@ def k3_k4_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("path", "turn_id", said("strip"), said("verbatim"), said("tagged"), render.cpt_assistant("answer", "native", "tagged").alias("corpus"))
 
 
+@query(_CHUNKED + """, dated AS (SELECT path, row_number() OVER (ORDER BY modified_unix, path) AS rn, count(*) OVER () AS n FROM sessions WHERE path IN (SELECT path FROM chunked)),
+held AS (SELECT path, CASE WHEN rn > n - CASE WHEN round(n * 0.25) >= n THEN n - 1 ELSE CAST(round(n * 0.25) AS BIGINT) END THEN 'val' ELSE 'train' END AS split FROM dated)
+SELECT split, count(*) AS lines FROM (SELECT DISTINCT path, chunk FROM chunked) JOIN held USING (path) GROUP BY split""")
+def a7_k14_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the written train and validation files, as counted while they were written."""
+    o = ExportOptions(subagent_mode="separate", max_record_chars=2_000, val_fraction=0.25)
+    rows = _chunks(spark, sf_dir, o).select(F.col("split").alias("part"), records.chatml(o).alias("value"))
+    counts, _ = sinks.write_counted(rows, shared_folder(spark, "sft"), ("train", "val"), L.SECRET_FAMILIES)
+    return spark.createDataFrame([*counts.items()], "split string, lines long")
+
+
 @query(_CHUNKED + " SELECT path, chunk, max(chunks) AS chunks, count(*) AS turns, CAST(sum(size) AS BIGINT) AS size FROM chunked GROUP BY path, chunk")
 def o4_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir, _DIRECT).select("path", "chunk", "chunks", F.size("turns").cast("long").alias("turns"), "size")

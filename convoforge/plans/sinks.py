@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import MTIME_SLACK_S
@@ -104,6 +104,36 @@ def write_texts(rows: DataFrame, out: str) -> int:
         delete(spark, stage)
 
 
+def write_counted(rows: DataFrame, out: str, parts: tuple[str, ...], patterns: dict[str, str]) -> tuple[dict[str, int], dict[str, int]]:
+    """(part, value) rows as lines of text below ``out``/<part>.jsonl: lines by part, and matches of each pattern in all lines.
+
+    Counts are taken while the lines are written, in one pass; folders come into place once all are whole, and a part without lines has none.
+    """
+    spark, stage = rows.sparkSession, f"{out}/_staging-{uuid.uuid4().hex}"
+    seen = Observation()
+    found = [F.sum(F.size(F.regexp_extract_all("value", F.lit(p), F.lit(0)))).alias(f"found {k}") for k, p in patterns.items()]
+    counted = rows.select("part", "value").observe(seen, *(F.count_if(F.col("part") == p).alias(f"lines {p}") for p in parts), *found)
+    try:
+        counted.write.partitionBy("part").text(stage)
+        lines = {p: n for p in parts if (n := seen.get[f"lines {p}"])}
+        fs, _ = _fs(spark, out)
+        for part in parts:
+            target = _fs(spark, f"{out}/{part}.jsonl")[1]
+            fs.delete(target, True)
+            if part in lines:
+                fs.rename(_fs(spark, f"{stage}/part={part}")[1], target)
+    finally:
+        delete(spark, stage)
+        if not fs_entries(spark, out):
+            delete(spark, out)
+    return lines, {k: n for k in patterns if (n := seen.get[f"found {k}"])}
+
+
+def fs_entries(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return len(fs.listStatus(p)) if fs.exists(p) else 0
+
+
 def hash_files(plan: DataFrame) -> DataFrame:
     """(relpath, sha256) of (relpath, source) rows, read in pieces in tasks; null where a file can't be read."""
 

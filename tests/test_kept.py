@@ -112,3 +112,13 @@ def test_text_files_are_committed_or_not_there(spark, tmp_path):
         sinks.write_texts(bad, str(tmp_path / "bad"))
     assert not (tmp_path / "bad").exists() or not os.listdir(tmp_path / "bad")
     assert sinks.write_texts(rows, str(out)) == 201  # files that are there are replaced
+
+
+def test_lines_are_counted_while_they_are_written(spark, tmp_path):
+    rows = spark.range(1000, numPartitions=5).select(F.when(F.col("id") % 10 == 0, "val").otherwise("train").alias("part"), F.concat(F.lit("key k"), "id", F.lit(" key")).alias("value"))
+    out = tmp_path / "sft"
+    assert sinks.write_counted(rows, str(out), ("train", "val"), {"k": "key", "none": "nothing"}) == ({"train": 900, "val": 100}, {"k": 2000})
+    assert sorted(p.name for p in out.iterdir() if not p.name.startswith(".")) == ["train.jsonl", "val.jsonl"] and spark.read.text(f"{out}/val.jsonl").count() == 100
+    assert sinks.write_counted(rows.where("part = 'train'"), str(out), ("train", "val"), {}) == ({"train": 900}, {})
+    assert not (out / "val.jsonl").exists() and spark.read.text(f"{out}/train.jsonl").count() == 900
+    assert sinks.write_counted(rows.limit(0), str(tmp_path / "none"), ("train", "val"), {"k": "key"}) == ({}, {}) and not (tmp_path / "none").exists()

@@ -53,14 +53,15 @@ class Params:
 @dataclass(frozen=True)
 class Near:
     """Near-duplicate groups: ``similarity`` of sets of ``shingle`` words. ``ball``: how prints of distinct words meet; up
-    to ``limit`` differing bits of them and ``sift`` of the second print count as candidates."""
+    to ``limit`` differing bits of them and ``sift`` of the second print count as candidates. In runs of over ``ball.small``
+    rows the ``partners`` nearest candidates of each row are verified; None: all of them, which is exact for this rule."""
 
     shingle: int = 5
     similarity: float = 0.8
     ball: Params = Params(shingle=1, radius=8, blocks=3)
     limit: int = 12
     sift: int = 22
-    partners: int = 8
+    partners: int | None = 8
     salt_rows: int = 64
 
 
@@ -284,20 +285,21 @@ def group(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return prints.join(nodes.join(named, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-def _partners(fine: np.ndarray, words: np.ndarray, own: np.ndarray, near: Near, dense: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a long run, each row in ``own`` with the rows nearest to it; very many rows are first parted by a block of four."""
-    if len(fine) > dense:
-        found = ((part, _partners(fine[part], words[part], np.flatnonzero(np.isin(part, own)), near, len(part))) for part in _parts(words, 4))
-        return _joined([(part[a], part[b]) for part, (a, b) in found])
-    a, b, few = [], [], min(near.partners + 1, len(fine))
+def _partners(fine: np.ndarray, words: np.ndarray, own: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Of a long run, each row in ``own`` with the candidates nearest to it by the second print, or with all of them.
+
+    Every row of the run is looked at, however long it is: one pass over the second prints for each row of ``own``.
+    """
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in own.tolist():
         apart = np.bitwise_count(fine ^ fine[at])
-        apart[np.bitwise_count(words ^ words[at]) > near.limit] = 255
-        for to in np.argpartition(apart, few - 1)[:few].tolist():
-            if to != at and apart[to] <= near.sift:
-                a.append(at)
-                b.append(to)
-    return np.array(a, np.int64), np.array(b, np.int64)
+        to = np.flatnonzero(apart <= near.sift)
+        to = to[(np.bitwise_count(words[to] ^ words[at]) <= near.limit) & (to != at)]
+        if near.partners is not None and len(to) > near.partners:
+            to = to[np.argsort(apart[to], kind="stable")[: near.partners]]
+        a.append(np.full(len(to), at))
+        b.append(to)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _candidates(runs: Iterator[tuple[np.ndarray, ...]], near: Near) -> Iterator[pa.RecordBatch]:
@@ -315,7 +317,7 @@ def _candidates(runs: Iterator[tuple[np.ndarray, ...]], near: Near) -> Iterator[
         for at, to in longer:
             value, view = int(run[at]) // p.blocks, int(run[at]) % p.blocks
             own = np.flatnonzero(((words[at:to] >> lows[view]) & masks[view]) == U64(value))
-            a, b = _partners(fine[at:to], words[at:to], own, near, p.dense)
+            a, b = _partners(fine[at:to], words[at:to], own, near)
             pairs.append((a + at, b + at))
         x, y = (nodes[i] for i in _joined(pairs))
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])

@@ -435,6 +435,51 @@ def test_near_dedup_finds_similar_texts(spark):
     assert set(want) <= set(got) and len(got) - len(want) <= 0.01 * (docs.count() - len(want))
 
 
+def test_long_runs_lose_no_pair_at_any_length():
+    rng = np.random.default_rng(7)
+    bits = lambda n, k: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, n)).astype(np.uint64), axis=0)
+    words, fine = np.uint64(99) ^ bits(30_000, 3), np.uint64(5) ^ bits(30_000, 20)
+    words[-1], fine[-1] = words[0] ^ np.uint64(0b1001001001001001001001001), fine[0]  # nine bits apart, one in every block
+    near = simhash.Near()
+    some = np.array([0, 17, 29_999])
+    for partners in (8, None):
+        a, b = simhash._partners(fine, words, some, simhash.Near(partners=partners))
+        for i in some:
+            apart = np.bitwise_count(fine ^ fine[i]).astype(int)
+            good = np.flatnonzero((apart <= near.sift) & (np.bitwise_count(words ^ words[i]) <= near.limit))
+            good = good[good != i]
+            mine = b[a == i]
+            assert set(mine) <= set(good) and len(mine) == (min(8, len(good)) if partners else len(good))
+            assert sorted(apart[mine]) == sorted(apart[good])[: len(mine)]
+    assert 29_999 in b[a == 0] and 0 in b[a == 29_999]
+
+
+def test_stages_keep_any_column_and_odd_rows(spark):
+    clean = " ".join(f"ordinary{i % 50} words make sentence number {i}" for i in range(12))
+    rows = [(i, f"{clean} of document {i} alone{'abcdefgh'[i % 8] * 9}\n{LONG}") for i in range(12)]
+    rows += [(None, clean + " without a name"), (50, None), (51, ""), (3, rows[3][1]), (60, clean + " end " * 30_000)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = ("n_words", "probability", "kept", "n_lines", "n_dropped", "drops", "kept_sha256", "spans", "found", "node", "print", "n_chars")
+    docs = plain.withColumns({c: F.lit(-7) for c in clash} | {"n_chars": F.lit(0).cast("long")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[c] == -7 for r in got for c in clash[:-1]), name
+        assert all(r["n_chars"] == len(r["text"]) for r in got if r["text"] is not None) or name in ("quality rules", "near dedup")
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        if name in ("line dedup", "secret scan"):
+            assert sorted(r["doc_id"] or -1 for r in got) == sorted(d or -1 for d, _ in rows), name
+        if name == "quality rules":
+            assert not {50, 51} & {r["doc_id"] for r in got}
+        if name == "near dedup":
+            assert sum(not r["text"] for r in got) == 1 and len({r["text"] for r in got}) == len(got)
+        if name == "line dedup":
+            assert {r["doc_id"] for r in got if LONG in (r["text"] or "")} == {11}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("doc_id is null").count() and packed.where("doc_id = 60").agg(F.sum("length")).first()[0] > 30_000
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns

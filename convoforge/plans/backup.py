@@ -7,6 +7,7 @@ manifests beside a small marker file. The manifest is replaced as a whole, after
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import integrity, media, parse
-from ..sources import transcripts
+from ..sources import listing, transcripts
 from ..sources.scratch import checkpointed
 from . import sinks
 
@@ -34,10 +35,10 @@ class BackupSummary:
     warnings: list[str] = field(default_factory=list)
 
 
-def _tree(spark: SparkSession, folder: str, hashed: bool = False, pattern: str = "*") -> DataFrame:
+def _tree(spark: SparkSession, folder: str, hashed: bool = False, ending: str = "") -> DataFrame:
     if not sinks.exists(spark, folder):
         return spark.createDataFrame([], NOTHING + (", sha256 string" if hashed else ""))
-    rows = transcripts.inventory(spark, folder, pattern)
+    rows = transcripts.inventory(spark, folder, ending)
     if not hashed:
         return rows
     rows = checkpointed(rows)
@@ -73,10 +74,14 @@ def _hashed(files: DataFrame, prior: DataFrame, out: str, summary: BackupSummary
 
 
 def resolve(spark: SparkSession, path: str, plain: bool = True) -> str:
-    """The transcript root that a path means: a backup's projects, a folder's projects child, or the folder itself."""
-    if sinks.exists(spark, f"{path}/projects"):
+    """The transcript root that a path means: a backup's projects (told by its marker), those of the backup one level up, or
+    with ``plain`` any folder that is there."""
+    if path == "~" or path.startswith("~/"):
+        path = os.path.expanduser(path)
+    path = path.rstrip("/") or "/"
+    if sinks.exists(spark, f"{path}/{MARKER}") and sinks.exists(spark, f"{path}/projects"):
         return f"{path}/projects"
-    if plain and sinks.exists(spark, path):
+    if sinks.exists(spark, path) and (plain or sinks.exists(spark, f"{path.rpartition('/')[0]}/{MARKER}")):
         return path
     raise LookupError(f"{path} holds no transcripts")
 
@@ -84,13 +89,14 @@ def resolve(spark: SparkSession, path: str, plain: bool = True) -> str:
 def backup(spark: SparkSession, root: str, out: str, projects: list[str] | None = None, skip_runtime: bool = False, hashes: bool = True) -> BackupSummary:
     sinks.guard(spark, out, [root], MARKER)
     root, out = root.rstrip("/"), out.rstrip("/")
-    source = integrity.walked(transcripts.inventory(spark, root), skip_runtime)
+    listed = checkpointed(listing.walk(spark, root))
+    source = integrity.walked(transcripts.inventory(spark, root, listed=listed), skip_runtime)
     source = source.where(F.col("project").isin(*projects)) if projects else source
     plan = integrity.copy_plan(source, _tree(spark, f"{out}/projects"))
     pairs = plan.where("action = 'copy'").select(F.concat(F.lit(f"{root}/"), "relpath").alias("source"), F.concat(F.lit(f"{out}/projects/"), "relpath").alias("target"))
     total = source.count()
     done = sinks.copy_files(pairs).agg(F.count_if("copied").alias("ok"), F.count_if(~F.col("copied")).alias("bad")).first()
-    summary = BackupSummary(copied=done["ok"], unchanged=total - done["ok"] - done["bad"])
+    summary = BackupSummary(copied=done["ok"], unchanged=total - done["ok"] - done["bad"], warnings=listing.warnings(listed))
     if done["bad"]:
         summary.warnings.append(f"{done['bad']} files could not be copied")
 
@@ -100,7 +106,7 @@ def backup(spark: SparkSession, root: str, out: str, projects: list[str] | None
         summary.warnings.append(f"the manifest could not be read; a copy is kept as {kept}, its rows are not merged")
     prior, prior_extra = manifest(spark, out, "transcripts"), manifest(spark, out, "attachments")
     unknown = F.lit(None).cast("string")
-    now = _tree(spark, f"{out}/projects", False, "*.jsonl").join(source.select("relpath"), "relpath", "left_semi")
+    now = _tree(spark, f"{out}/projects", False, ".jsonl").join(source.select("relpath"), "relpath", "left_semi")
     now = now.withColumns({"relpath": F.concat(F.lit("projects/"), "relpath"), "file": F.element_at(F.split("relpath", "/"), -1)})
     now = _hashed(now, prior, out, summary) if hashes else now.withColumn("sha256", unknown)
 
@@ -126,9 +132,9 @@ def verify(spark: SparkSession, out: str) -> DataFrame:
     """(relpath, project, status) of every manifest row and of unlisted transcripts; reads only."""
     if not sinks.exists(spark, f"{out}/{MARKER}"):
         raise LookupError(f"{out} is no backup")
-    below = lambda name, pattern: _tree(spark, f"{out}/{name}", True, pattern).withColumn("relpath", F.concat(F.lit(f"{name}/"), "relpath"))
-    main = integrity.verify(manifest(spark, out, "transcripts"), below("projects", "*.jsonl"))
-    extra = integrity.verify(manifest(spark, out, "attachments"), below("attachments", "*").withColumn("project", F.lit("attachments")))
+    below = lambda name, ending: _tree(spark, f"{out}/{name}", True, ending).withColumn("relpath", F.concat(F.lit(f"{name}/"), "relpath"))
+    main = integrity.verify(manifest(spark, out, "transcripts"), below("projects", ".jsonl"))
+    extra = integrity.verify(manifest(spark, out, "attachments"), below("attachments", "").withColumn("project", F.lit("attachments")))
     return main.unionAll(extra.where("status <> 'unlisted'"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import MTIME_SLACK_S
+from ..sources.listing import inside
 from ..sources.scratch import checkpointed
 from ..sources.stores import opened
 
@@ -47,11 +48,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def guard(spark: SparkSession, out: str, sources: list[str], marker: str) -> None:
-    """Refuse a destination inside a source, or one that holds files but not our marker."""
+    """Refuse a destination inside a source (links followed), or one that holds files but not our marker."""
     fs, p = _fs(spark, out)
     for source in sources:
-        _, s = _fs(spark, source)
-        if (p.toString() + "/").startswith(s.toString().rstrip("/") + "/"):
+        if inside(spark, out, source):
             raise ValueError(f"{out} lies inside the source {source}")
     if fs.exists(p):
         if not fs.isDirectory(p):

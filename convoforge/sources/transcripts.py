@@ -1,8 +1,7 @@
 """Transcript files below a root folder, as tables of files, sessions and projects.
 
 Three layouts hold sessions: <slug>/agent-transcripts/<id>/<id>.jsonl, the flat <slug>/agent-transcripts/<id>.jsonl, and
-child sessions <slug>/agent-transcripts/<id>/subagents/<sub>.jsonl. Everything else is ignored, and so are files of no
-bytes, which Spark's readers pass over.
+child sessions <slug>/agent-transcripts/<id>/subagents/<sub>.jsonl. Everything else is ignored.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import parse
-from ..operators.sessions import with_titles
-from . import splits
+from ..operators.sessions import UNTITLED, with_titles
+from . import listing, splits
 
 NESTED = r"/([^/]+)/agent-transcripts/([^/]+)/([^/]+)\.jsonl\z"
 FLAT = r"/([^/]+)/agent-transcripts/([^/]+)\.jsonl\z"
@@ -62,7 +61,7 @@ def with_layout(files: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, modified_unix, size_bytes and the columns of ``layout``); bytes that are not UTF-8 become U+FFFD.
 
-    A file is one row, so this is for small ones; ``session_files`` and ``numbered_lines`` read files of any size.
+    A file is one row, so this is for small ones, and none of no bytes is seen; ``session_files`` and ``numbered_lines`` read files of any size.
     """
     raw = binary_files(spark, root, "*.jsonl").select(
         bare_path("path").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
@@ -72,17 +71,25 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def session_files(spark: SparkSession, root: str) -> DataFrame:
-    """Sessions by file status alone, with the ``uri`` to read them by; contents are not read."""
-    raw = binary_files(spark, root, "*.jsonl").select(
-        bare_path("path").alias("path"), F.col("path").alias("uri"), F.unix_timestamp("modificationTime").alias("modified_unix"), F.col("length").alias("size_bytes")
-    )
-    return with_layout(raw)
+    """Sessions by file status alone, empty files too, with the ``uri`` to read them by; links are not followed, contents not read."""
+    return with_layout(listing.files(spark, root, ".jsonl").select("path", "uri", "modified_unix", "size_bytes"))
 
 
 def read_sessions(spark: SparkSession, root: str) -> DataFrame:
     return session_files(spark, root).drop("uri")
 
 
+def session_at(spark: SparkSession, sessions: DataFrame, path: str, root: str) -> DataFrame:
+    """The listed session of exactly this path, if it lies inside ``root`` also once links are followed; no row otherwise."""
+    return sessions.where(F.col("path") == path) if listing.inside(spark, path, root) else sessions.limit(0)
+
+
+def session_json(sessions: DataFrame) -> DataFrame:
+    """What is told of a session: seven fields, with the time 0 where none is known."""
+    rows = sessions if "title" in sessions.columns else sessions.withColumn("title", F.lit(UNTITLED))
+    return rows.select("id", "path", "title", F.coalesce("modified_unix", F.lit(0).cast("long")).alias("modified_unix"), "size_bytes", "is_subagent", "parent_id")
+
+
 def numbered_lines(files: DataFrame) -> DataFrame:
     """(path, line_index, line) of files with their ``content``, or of ``session_files``, which are read in byte ranges."""
     return parse.lines(files.select("path", "content")) if "content" in files.columns else splits.lines(files)
@@ -106,16 +113,14 @@ def projects_on_disk(spark: SparkSession, root: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
 
 
-def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def inventory(spark: SparkSession, root: str, ending: str = "", listed: DataFrame | None = None) -> DataFrame:
     """(relpath, project, size_bytes, mtime) of every file below the root; project is the first folder of relpath."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    base = F.length(T.trim(bare_path(F.lit(whole.rstrip("/") + "/"))))
-    rows = binary_files(spark, root, pattern).withColumn("_p", bare_path("path"))
-    rows = rows.withColumn("relpath", F.substring("_p", base + 1, F.length("_p")))
-    out = [F.col("relpath"), F.element_at(F.split("relpath", "/"), 1).alias("project"), F.col("length").alias("size_bytes"), F.unix_timestamp("modificationTime").alias("mtime")]
-    return rows.select(*out)
+    top = listing.local(root)
+    whole = os.path.abspath(top) if top is not None else listing.canonical(spark, root)
+    base = F.length(bare_path(F.lit(whole.rstrip("/") + "/")))
+    rows = (listing.walk(spark, root) if listed is None else listed).where((F.col("kind") == "file") & F.endswith("path", F.lit(ending)))
+    rows = rows.withColumn("relpath", F.substring("path", base + 1, F.length("path")))
+    return rows.select("relpath", F.element_at(F.split("relpath", "/"), 1).alias("project"), "size_bytes", F.col("modified_unix").alias("mtime"))
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:

@@ -213,7 +213,7 @@ def test_scan(spark, root):
     stats = {r["path"].rsplit("/", 1)[1]: r for r in parse.stats(transcripts.records(transcripts.read_files(spark, str(root)))).collect()}
     assert (stats["bad.jsonl"]["messages"], stats["bad.jsonl"]["skipped_lines"]) == (1, 1) and stats["flat.jsonl"]["skipped_lines"] == 1
     shown = sessions.projects(transcripts.read_sessions(spark, str(root))).collect()
-    assert {(r["project_slug"], r["main_sessions"], r["subagent_sessions"]) for r in shown} == {("my-proj", 2, 3), ("other", 1, 0)}
+    assert {(r["project_slug"], r["main_sessions"], r["subagent_sessions"]) for r in shown} == {("my-proj", 2, 3), ("other", 2, 0)}
 
 
 def test_export_inline(spark, root, tmp_path):
@@ -221,7 +221,7 @@ def test_export_inline(spark, root, tmp_path):
     o = ExportOptions(sft_sharegpt=True, cpt_jsonl=True, cpt_txt=True, inline_readable_attachments=True, val_fraction=0.4)
     summary = export.export(spark, str(root), out, o)
     manifest = json.loads((tmp_path / "out" / "manifest.json").read_text())
-    assert summary.sessions == 2 and summary.skipped == 1 and summary.secrets_detected["github"] >= 1 and summary.media_copied == 1
+    assert summary.sessions == 2 and summary.skipped == 2 and summary.secrets_detected["github"] >= 1 and summary.media_copied == 1
     got = {}
     for name, n in manifest["file_line_counts"].items():
         got[name] = [json.loads(r[0]) for r in spark.read.text(f"{out}/{name}").collect()]
@@ -292,10 +292,10 @@ def test_every_type_a_file_is_served_as(spark):
 def test_backup_verify_restore(spark, root, tmp_path):
     out, back = str(tmp_path / "b"), str(tmp_path / "back")
     first = backup.backup(spark, str(root), out)
-    assert first.copied == 8 and first.attachments == 1
+    assert first.copied == 9 and first.attachments == 1
     again = backup.backup(spark, str(root), out, projects=["my-proj"])
     assert again.copied == 0 and again.unchanged == 6
-    assert first.hashed == 8 and again.hashed == 0  # known hashes are used again
+    assert first.hashed == 9 and again.hashed == 0  # known hashes are used again
     marker = tmp_path / "b" / backup.MARKER
     said = marker.read_text()
     sinks.write_text(spark, str(marker), "{ torn")
@@ -303,9 +303,9 @@ def test_backup_verify_restore(spark, root, tmp_path):
     mended = backup.backup(spark, str(root), out)
     assert mended.warnings and (tmp_path / "b" / f"{backup.MARKER}.corrupt").read_text() == "{ torn" and marker.read_text() != said
     verdict = lambda: integrity.verdict(backup.verify(spark, out)).first().asDict()
-    assert verdict() == {"ok": 8, "failed": 0, "missing": 0, "unsafe": 0, "unhashed": 0, "unlisted": 0, "intact": True}
+    assert verdict() == {"ok": 9, "failed": 0, "missing": 0, "unsafe": 0, "unhashed": 0, "unlisted": 0, "intact": True}
     plan = backup.restore(spark, out, back, dry_run=True)
-    assert plan.where("action = 'copy'").count() == 8 and not os.path.exists(back)
+    assert plan.where("action = 'copy'").count() == 9 and not os.path.exists(back)
     backup.restore(spark, out, back, projects=["other"])
     assert sorted(os.listdir(back)) == ["other"]
     assert backup.restore(spark, out, back, projects=["other"]).where("action <> 'keep'").count() == 0
@@ -313,7 +313,7 @@ def test_backup_verify_restore(spark, root, tmp_path):
     (at / "flat.jsonl").write_text("edited")
     (at / "m1/subagents/s1.jsonl").unlink()
     (at / "new.jsonl").write_text("x")
-    assert {k: v for k, v in verdict().items() if v} == {"ok": 6, "failed": 1, "missing": 1, "unlisted": 1}
+    assert {k: v for k, v in verdict().items() if v} == {"ok": 7, "failed": 1, "missing": 1, "unlisted": 1}
     assert main(["verify", out], spark) == 1 and main(["verify", back], spark) == 1
     assert backup.resolve(spark, out).endswith("/projects")
 

@@ -37,7 +37,8 @@ def inlined_result(result: Column | str) -> Column:
     return T.let(T.let(T.strip_chat_links(result), cleaned), lambda x: T.cut(x, L.RESULT_CHARS, " [truncated]"))
 
 
-def _task(block: Column, links: Column) -> Column:
+def task_call(block: Column, links: Column) -> Column:
+    """A Task call with what became of it: the answer of its run, or why there is none."""
     call = tool_call(block["tool_name"], block["tool_input"])
     prompt = F.coalesce(string_at(F.try_parse_json(block["tool_input"]), "$.prompt"), F.lit(""))
     status = lambda s: F.lit(f'{{"name": "{TASK}", "status": "{s}"}}')
@@ -65,7 +66,7 @@ def _pieces(o: ExportOptions) -> Column:
         out = F.when(block["kind"] == "text", text(block))
         call = block["kind"] == "tool_use"
         if o.inline:  # sessions that have no map of links are not parents: their Task calls are ordinary calls
-            out = out.when(call & (block["tool_name"] == TASK) & F.col("links").isNotNull(), tool(_task(block, F.col("links"))))
+            out = out.when(call & (block["tool_name"] == TASK) & F.col("links").isNotNull(), tool(task_call(block, F.col("links"))))
         if o.include_tool_calls:
             out = out.when(call, tool(tool_call(block["tool_name"], block["tool_input"])))
         return out

@@ -50,6 +50,7 @@ _TASKS = (
     _TASK % (f"'Work on item #' || {_s('conv_id + 1')} || ';'", "'false'")
     + " || " + _TASK % (f"'work on  item #' || {_s('conv_id + 2')} || ';'", "CASE WHEN conv_id % 14 = 0 THEN 'true' ELSE 'false' END")
     + " || " + _TASK % ("'nobody was asked this'", "'false'")
+    + " || " + _TASK % (f"'Work on item #' || {_s('conv_id + 1')} || ';'", "'false'")
 )
 
 #: Raw lines: the messages, and on some sessions a marker, a torn line, a blank one and one with trailing junk.

@@ -276,14 +276,14 @@ def k9_dialogue_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TASKS_SQL = _MSG + """, kids AS (SELECT s.path, s.parent_path, s.conv_id FROM sessions s WHERE is_subagent),
 tasks AS (
-  SELECT s.path AS master_path, o AS spawn_order, CASE o WHEN 0 THEN 'Work on item #' || CAST(conv_id + 1 AS VARCHAR) || ';' WHEN 1 THEN 'work on item #' || CAST(conv_id + 2 AS VARCHAR) || ';' ELSE 'nobody was asked this' END AS prompt,
-    o = 1 AND conv_id % 14 = 0 AS background, conv_id + 1 + o AS kid
-  FROM sessions s, (SELECT unnest([0, 1, 2]) AS o) WHERE conv_id % 7 = 0 AND s.path IN (SELECT path FROM messages WHERE role = 'assistant' AND line_index = 1)
+  SELECT s.path AS master_path, o AS spawn_order, CASE WHEN o IN (0, 3) THEN 'Work on item #' || CAST(conv_id + 1 AS VARCHAR) || ';' WHEN o = 1 THEN 'work on item #' || CAST(conv_id + 2 AS VARCHAR) || ';' ELSE 'nobody was asked this' END AS prompt,
+    o = 1 AND conv_id % 14 = 0 AS background, conv_id + 1 + o % 3 AS kid
+  FROM sessions s, (SELECT unnest([0, 1, 2, 3]) AS o) WHERE conv_id % 7 = 0 AND s.path IN (SELECT path FROM messages WHERE role = 'assistant' AND line_index = 1)
 ), first AS (SELECT path, """ + _squash("arg_min(user_query, line_index)") + """ AS q FROM msg WHERE user_query IS NOT NULL GROUP BY path),
 final AS (SELECT path, arg_max(""" + "body" + """, line_index) AS a FROM msg WHERE role = 'assistant' AND """ + _trim("body") + """ <> '' GROUP BY path),
 linked AS (
-  SELECT t.*, CASE WHEN f.q = t.prompt THEN 'exact' WHEN contains(f.q, t.prompt) THEN 'substring' ELSE 'none' END AS match, CASE WHEN contains(f.q, t.prompt) THEN k.path END AS child_path,
-    CASE WHEN contains(f.q, t.prompt) AND NOT t.background THEN a.a END AS result
+  SELECT t.*, CASE WHEN spawn_order = 3 AND f.q = t.prompt THEN 'resume' WHEN f.q = t.prompt THEN 'exact' WHEN contains(f.q, t.prompt) THEN 'substring' ELSE 'none' END AS match, CASE WHEN contains(f.q, t.prompt) THEN k.path END AS child_path,
+    CASE WHEN contains(f.q, t.prompt) AND NOT t.background AND spawn_order < 3 THEN a.a END AS result
   FROM tasks t LEFT JOIN kids k ON k.conv_id = t.kid AND k.parent_path = t.master_path LEFT JOIN first f ON f.path = k.path LEFT JOIN final a ON a.path = k.path
 )"""
 
@@ -303,11 +303,33 @@ def a10_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.per_session(_linked(spark, sf_dir)).select("path", F.size("task_calls").cast("long").alias("calls"), "unmatched")
 
 
-@query(_TASKS_SQL + " SELECT master_path AS path, substr(sha256(prompt), 1, 16) AS prompt_hash, background, coalesce(match, 'none') AS match FROM linked")
+@query(_TASKS_SQL + " SELECT master_path AS path, substr(sha256(prompt), 1, 16) AS prompt_hash, background, coalesce(match, 'none') AS match FROM linked QUALIFY row_number() OVER (PARTITION BY master_path, prompt ORDER BY spawn_order DESC) = 1")
 def j4_w3_last_per_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.by_hash(_linked(spark, sf_dir)).select("path", F.explode("links").alias("prompt_hash", "x")).select("path", "prompt_hash", "x.background", "x.match")
 
 
+_LIKELY = """{{"name": "Task", "status": "{0}"}}"""
+
+
+@query(_TASKS_SQL + """, texts AS (SELECT DISTINCT child_path AS k, """ + _LINKS_OFF.format(x="result") + """ AS x FROM linked WHERE result IS NOT NULL)""" + _SPLIT + f""", told AS (
+  SELECT k, CASE WHEN answer = '' THEN {_trim("x")} ELSE answer END AS t FROM split JOIN texts USING (k)
+), last AS (SELECT * FROM linked QUALIFY row_number() OVER (PARTITION BY master_path, prompt ORDER BY spawn_order DESC) = 1),
+said AS (
+  SELECT l.master_path, l.prompt, CASE WHEN background THEN '{_LIKELY.format("spawned_in_background")}' WHEN match = 'resume' THEN '{_LIKELY.format("resumed")}' WHEN result IS NULL THEN '{_LIKELY.format("unresolved")}'
+    ELSE to_json({{'name': 'Task', 'output': CASE WHEN length(t) > {L.RESULT_CHARS} THEN left(t, {L.RESULT_CHARS}) || ' [truncated]' ELSE t END, 'status': 'completed'}}) END AS outcome
+  FROM last l LEFT JOIN told ON told.k = l.child_path
+)
+SELECT master_path AS path, CAST(spawn_order AS BIGINT) AS block_pos, '```tool_call' || chr(10) || '{{"name": "Task", "input": {{"description":"part","prompt":"' || CASE WHEN spawn_order = 1 THEN replace(prompt, 'work on', 'work on ') ELSE prompt END
+  || '","run_in_background":' || CASE WHEN background THEN 'true' ELSE 'false' END || ',"subagent_type":"general"}}}}' || chr(10) || '```' || chr(10) || chr(10) || '```tool_result' || chr(10) || outcome || chr(10) || '```' AS said
+FROM tasks JOIN said USING (master_path, prompt)""")
+def t23_k2_task_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every Task call as it stands in its parent's text."""
+    messages, everyone = _messages(spark, sf_dir)
+    by_hash = linkage.by_hash(linkage.link(linkage.tasks(messages), linkage.children(messages, everyone)))
+    calls = messages.where("role = 'assistant'").select("path", "line_index", F.posexplode("blocks").alias("pos", "block")).where("block.tool_name = 'Task'")
+    return calls.join(by_hash, "path").select("path", (F.col("pos") - 1).cast("long").alias("block_pos"), render.task_call(F.col("block"), F.col("links")).alias("said"))
+
+
 @query(_TASKS_SQL + " SELECT master_path, CAST(spawn_order AS BIGINT) AS spawn_order, prompt, background FROM tasks")
 def w2_spawn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.tasks(_messages(spark, sf_dir)[0]).select("master_path", "spawn_order", "prompt", "background")
@@ -627,6 +649,41 @@ def t5_t6_t7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "line_index", T.has_structure(T.trim("body")).alias("structured"), T.is_headerless_deliberation("body").alias("headerless"), T.is_deliberation("body").alias("planning"))
 
 
+_GLUED = "'Done.' || chr(10) || body || chr(10) || chr(32) || chr(10) || body"
+
+
+@query(WITH + f""", t AS (SELECT path, line_index, string_split({_GLUED}, chr(10)) AS l FROM messages), x AS (SELECT path, line_index, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM t),
+b AS (SELECT *, lag(x) OVER (PARTITION BY path, line_index ORDER BY i) AS before FROM x)
+SELECT path, line_index, string_agg(CASE WHEN i > 1 AND regexp_matches({_trim("x")}, {_HEADER}) AND {_trim("before")} <> '' THEN chr(10) || x ELSE x END, chr(10) ORDER BY i) AS x FROM b GROUP BY path, line_index""")
+def t3_header_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decorated(spark, sf_dir).select("path", "line_index", T.normalize_header_breaks(F.expr(_GLUED)).alias("x"))
+
+
+@query(WITH + f""", t AS (SELECT path, line_index, {_trim("replace(body, chr(39), '’')")} AS x FROM messages)
+SELECT path, line_index, replace(x, '’', chr(39)) AS plain, {_planning("x")} AS deliberation, {_opening("x")} AS headerless FROM t""")
+def t4_curly_apostrophes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = T.trim(F.replace("body", F.lit("'"), F.lit("’")))
+    return _decorated(spark, sf_dir).select("path", "line_index", T.plain_apostrophes(x).alias("plain"), T.is_deliberation(x).alias("deliberation"), T.is_headerless_deliberation(x).alias("headerless"))
+
+
+_TAGS = "'x <user_query> ' || coalesce(text, '') || ' </user_query> y <user_query></user_query><user_query><user_query>' || source"
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_trim("coalesce(text, '')")} = '' THEN '' ELSE {_trim("coalesce(text, '')")} || chr(10) || chr(10) END || '<user_query>' || source AS q FROM documents""")
+def p6_open_and_nested_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir)["documents"].select("doc_id", T.extract_query(F.expr(_TAGS)).alias("q"))
+
+
+_SLUG = "CASE doc_id % 4 WHEN 0 THEN CAST(doc_id AS STRING) WHEN 1 THEN source || '-' || CAST(doc_id AS STRING) WHEN 2 THEN source || '-' ELSE 'home-u-' || source END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_SLUG} AS slug FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(slug, '[0-9]+') THEN 'project ' || slug WHEN ends_with(slug, '-') THEN slug ELSE string_split(slug, '-')[-1] END AS name,
+CASE WHEN regexp_full_match(slug, '[0-9]+') THEN '' ELSE '/' || replace(slug, '-', '/') END AS hint FROM s""")
+def s7_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slug = F.expr(_SLUG)
+    return views(spark, sf_dir)["documents"].select("doc_id", T.slug_name(slug).alias("name"), T.slug_hint(slug).alias("hint"))
+
+
 @query(WITH + f" SELECT path, line_index, {_LINKS_OFF.format(x='body')} AS x FROM messages")
 def t8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decorated(spark, sf_dir).select("path", "line_index", T.strip_chat_links("body").alias("x"))

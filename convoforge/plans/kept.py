@@ -2,8 +2,10 @@
 
 Below one folder lie, for each renewal, a generation of three tables: ``rows`` (what ``finder.index`` makes), ``ranges`` (the
 byte ranges of each file, the number of their first line, and a Bloom filter of the trigrams in their lines) and
-``files`` (every file that is there, by path, size and time, the generation that holds its rows, and its facets). A small
-marker names the generation in force; it is replaced last, so a renewal that fails changes nothing, and readers go on with
+``files`` (every file that is there, by path, size and time, the generations that hold its rows, and its facets). Of a
+file that has grown only the tail is read: ``files`` notes how many whole lines were read, the byte behind them, and a
+mark of the bytes before it. A file that shrank, or whose mark differs, is read anew, and its older rows count no more; so
+do those of a last line that had no end yet. A small marker names the generation in force; it is replaced last, so a renewal that fails changes nothing, and readers go on with
 the tables they opened. ``compact`` writes all rows in force anew.
 
 ``search`` asks the filters which ranges may hold a needle and reads only those, in waves by path that end once the cap
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..operators import finder, parse, sessions
-from ..sources import splits, transcripts
+from ..sources import splits, stores, transcripts
 from ..sources.scratch import checkpointed
 from . import sinks
 
@@ -34,7 +36,10 @@ BITS_EACH, MOST_BITS = 10, 1 << 22
 
 @dataclass
 class Renewal:
+    """Files read whole, files of which the tail was read, files left as they were, and files no longer there."""
+
     parsed: int = 0
+    grown: int = 0
     kept: int = 0
     gone: int = 0
 
@@ -138,38 +143,143 @@ def _facets(rows: DataFrame) -> DataFrame:
     return counted.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("facet", "value", "messages"))).alias("facets"))
 
 
-def renew(files: DataFrame, folder: str, split_bytes: int = splits.SPLIT_BYTES) -> Renewal:
-    """Bring the index up to ``files`` (as ``transcripts.session_files`` gives them): new and changed ones are parsed, what is gone goes."""
+_PARTS = "array<struct<generation:string,first:bigint,until:bigint,until_byte:bigint>>"
+_FACETS = "array<struct<facet:string,value:string,messages:bigint>>"
+#: Bytes at either end of what was read that a mark is made of.
+MARK_BYTES = 1 << 16
+
+
+def _marked(files: DataFrame, whole: bool) -> DataFrame:
+    """(path, mark) of files of (path, uri, offset): a hash of the first and last bytes before the offset, or (``whole``) of all."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for b in batches:
+            marks = []
+            for uri, offset in zip(b["uri"].to_pylist(), b["offset"].to_pylist(), strict=True):
+                own = hashlib.sha256(str(offset).encode())
+                try:
+                    store, path = stores.opened(uri)
+                    with store.open_input_file(path) as f:
+                        for at, to in [(0, offset)] if whole else [(0, min(offset, MARK_BYTES)), (max(0, offset - MARK_BYTES), offset)]:
+                            f.seek(at)
+                            while at < to and (piece := f.read(min(to - at, splits.PIECE_BYTES))):
+                                own.update(piece)
+                                at += len(piece)
+                    marks.append(own.hexdigest())
+                except OSError:
+                    marks.append(None)
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array(marks, pa.string())], ["path", "mark"])
+
+    return files.select("path", "uri", "offset").mapInArrow(run, "path string, mark string")
+
+
+def _ends(ranges: DataFrame) -> DataFrame:
+    """(path, lines, offset): how many lines of each file end with a newline, and the byte behind the last of them."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, offsets = [], []
+            for uri, start, end, begin, first in zip(*(b[c].to_pylist() for c in ("uri", "start", "end", "begin", "first")), strict=True):
+                n, at = first, begin
+                try:
+                    store, path = stores.opened(uri)
+                    with store.open_input_file(path) as f:
+                        f.seek(start)
+                        while start < end and (piece := f.read(min(splits.PIECE_BYTES, end - start))):
+                            n += piece.count(b"\n")
+                            if (last := piece.rfind(b"\n")) >= 0:
+                                at = start + last + 1
+                            start += len(piece)
+                except OSError:
+                    pass
+                lines.append(n), offsets.append(at)
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array(lines, pa.int64()), pa.array(offsets, pa.int64())], ["path", "lines", "offset"])
+
+    # The line open at a range's start is counted by the range it began in.
+    numbers = F.when(F.col("start") > F.col("begin"), F.col("first") - 1).otherwise(F.col("first"))
+    each = ranges.select("path", "uri", "start", "end", "begin", numbers.alias("first")).mapInArrow(run, "path string, lines long, offset long")
+    return each.groupBy("path").agg(F.max("lines").alias("lines"), F.max("offset").alias("offset"))
+
+
+def renew(files: DataFrame, folder: str, split_bytes: int = splits.SPLIT_BYTES, whole_marks: bool = False) -> Renewal:
+    """Bring the index up to ``files`` (as ``transcripts.session_files`` gives them).
+
+    ``whole_marks``: tell a changed file from a grown one by all bytes that were read of it, not by those at both ends alone.
+    """
     spark = files.sparkSession
     name = uuid.uuid4().hex[:12]
     listed = checkpointed(files)
     said = _said(spark, folder)
-    if said:
-        old = spark.read.parquet(f"{folder}/files-{said['generations'][-1]}")
-        same = old.select("path", "size_bytes", "modified_unix", "generation", "facets", "title")
-        rows = listed.join(same, ["path", "size_bytes", "modified_unix"], "left")
-        gone = old.join(listed.select("path"), "path", "left_anti").count()
-    else:
-        kinds = "string, facets array<struct<facet:string,value:string,messages:bigint>>, title string"
-        rows, gone = listed.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in f"generation {kinds}".split(", ")}), 0
-    rows = checkpointed(rows)
-    new = rows.where("generation is null").drop("generation", "facets", "title")
-    ranges = splits.numbered(splits.splits(new, split_bytes))
+    known = f"size_bytes long, modified_unix long, parts {_PARTS}, facets {_FACETS}, title string, lines long, offset long, mark string"
+    old = spark.read.parquet(f"{folder}/files-{said['generations'][-1]}") if said else spark.createDataFrame([], f"path string, {known}")
+    was = old.select("path", F.col("size_bytes").alias("old_size"), F.col("modified_unix").alias("old_time"), "parts", "facets", "title", "lines", "offset", "mark")
+    rows = listed.join(was, "path", "left")
+    same = (F.col("size_bytes") == F.col("old_size")) & (F.col("modified_unix") == F.col("old_time"))
+    rows = checkpointed(rows.withColumn("same", F.coalesce(same, F.lit(False))))
+    gone = old.join(listed.select("path"), "path", "left_anti").count()
+    maybe = rows.where(~F.col("same") & (F.col("size_bytes") >= F.col("offset")))
+    marks = _marked(maybe, whole_marks).withColumnRenamed("mark", "now")
+    rows = rows.join(marks, "path", "left").withColumn("grown", ~F.col("same") & F.coalesce(F.col("mark") == F.col("now"), F.lit(False)))
+    rows = checkpointed(rows.drop("old_size", "old_time", "now"))
+
+    new = rows.where(~F.col("same"))
+    start = F.when(F.col("grown"), F.col("offset")).otherwise(0)
+    ranges = splits.numbered(splits.splits(new.withColumn("start", start), split_bytes))
+    base = new.select("path", F.when(F.col("grown"), F.col("lines")).otherwise(0).alias("base"))
+    ranges = checkpointed(ranges.join(base, "path").withColumn("first", F.col("first") + F.col("base")).drop("base"))
     filtered(ranges).write.parquet(f"{folder}/ranges-{name}")
+    ends = _ends(ranges)
     lines = splits.read_lines(ranges)
     messages = parse.messages(parse.records(lines))
-    titled = checkpointed(sessions.titles(parse.messages(parse.records(lines.where(F.col("line_index") < L.TITLE_LINES)))))
-    everyone = new.drop("uri").join(titled, "path", "left").withColumn("title", F.coalesce("title", F.lit(sessions.UNTITLED)))
-    finder.index(messages, everyone).write.parquet(f"{folder}/rows-{name}")
-    facets = _facets(spark.read.parquet(f"{folder}/rows-{name}"))
-    made = new.join(titled, "path", "left").withColumn("title", F.coalesce("title", F.lit(sessions.UNTITLED))).join(facets, "path", "left").withColumn("generation", F.lit(name))
-    empty = F.array().cast("array<struct<facet:string,value:string,messages:bigint>>")
-    now = rows.where("generation is not null").unionByName(made).withColumn("facets", F.coalesce("facets", empty))
-    now.write.parquet(f"{folder}/files-{name}")
-    have = {r["generation"]: r["count"] for r in spark.read.parquet(f"{folder}/files-{name}").groupBy("generation").count().collect()}  # a row per renewal
-    generations = [g for g in (said or {}).get("generations", []) if g in have] + [name]
-    sinks.write_json(spark, f"{folder}/{MARKER}", {"generations": generations})
-    return Renewal(parsed=have.get(name, 0), kept=sum(have.values()) - have.get(name, 0), gone=gone)
+    titled = sessions.titles(parse.messages(parse.records(lines.where(F.col("line_index") < L.TITLE_LINES)))).withColumnRenamed("title", "found")
+    blank = F.lit(sessions.UNTITLED)
+    sessions_ = new.drop("uri", "title").withColumn("title", blank)  # readers take titles and times from ``files``
+    finder.index(messages, sessions_).write.parquet(f"{folder}/rows-{name}")
+
+    first = F.when(F.col("grown"), F.col("lines")).otherwise(0)
+    part = lambda generation, first, until, byte: F.struct(generation.alias("generation"), first.alias("first"), until.alias("until"), byte.alias("until_byte"))
+    none = F.lit(None).cast("long")
+    # What older generations hold ends where the tail begins.
+    older = F.transform("parts", lambda x: part(x["generation"], x["first"], F.least(F.coalesce(x["until"], F.col("lines")), F.col("lines")), F.least(F.coalesce(x["until_byte"], F.col("offset")), F.col("offset"))))
+    parts = F.concat(F.when(F.col("grown"), older).otherwise(F.array().cast(_PARTS)), F.array(part(F.lit(name), first, none, none)).cast(_PARTS))
+    made = new.withColumn("parts", parts).withColumn("lines", first).withColumn("offset", start)
+    made = made.join(ends.select("path", F.col("lines").alias("n"), F.col("offset").alias("to")), "path", "left")
+    made = made.withColumns({"lines": F.coalesce("n", "lines"), "offset": F.coalesce("to", "offset")}).drop("n", "to", "mark")
+    made = checkpointed(made)
+    made = made.join(_marked(made, whole_marks), "path", "left").join(titled, "path", "left")
+    made = made.withColumn("title", F.coalesce(F.when(F.col("grown") & (F.col("title") != blank), F.col("title")), "found", blank)).drop("found")
+    generations = [*(said or {}).get("generations", []), name]
+    held = _in_force(spark, folder, "rows", generations, made)
+    made = made.drop("facets").join(_facets(held), "path", "left")
+    now = rows.where("same").unionByName(made).withColumn("facets", F.coalesce("facets", F.array().cast(_FACETS)))
+    now.drop("same", "grown").write.parquet(f"{folder}/files-{name}")
+    done = rows.agg(F.count_if("same").alias("same"), F.count_if("grown").alias("grown"), F.count("*").alias("all")).first()
+    sinks.write_json(spark, f"{folder}/{MARKER}", {"generations": _used(spark, folder, generations)})
+    return Renewal(parsed=done["all"] - done["same"] - done["grown"], grown=done["grown"], kept=done["same"], gone=gone)
+
+
+def _used(spark: SparkSession, folder: str, generations: list[str]) -> list[str]:
+    """The generations that some file still has rows in, and the last."""
+    parts = spark.read.parquet(f"{folder}/files-{generations[-1]}").select(F.explode("parts.generation").alias("g")).distinct()
+    have = {r["g"] for r in parts.collect()}  # a row per renewal
+    return [g for g in generations[:-1] if g in have] + [generations[-1]]
+
+
+def _in_force(spark: SparkSession, folder: str, kind: str, generations: list[str], files: DataFrame) -> DataFrame:
+    """The rows or ranges of ``files`` that count, out of all generations."""
+    tables = [spark.read.parquet(f"{folder}/{kind}-{g}").withColumn("generation", F.lit(g)) for g in generations]
+    every = reduce(DataFrame.unionByName, tables)
+    parts = files.select("path", F.explode("parts").alias("p")).select("path", "p.generation", F.col("p.first").alias("_first"), F.col("p.until").alias("_until"), F.col("p.until_byte").alias("_byte"))
+    rows = every.join(parts, ["path", "generation"])
+    if kind == "rows":
+        rows = rows.where((F.col("line_index") >= F.col("_first")) & (F.col("_until").isNull() | (F.col("line_index") < F.col("_until"))))
+    else:
+        rows = rows.withColumn("end", F.least("end", F.coalesce("_byte", "end"))).where("start < end")
+    return rows.drop("generation", "_first", "_until", "_byte")
 
 
 @dataclass
@@ -186,13 +296,9 @@ def opened(spark: SparkSession, folder: str) -> Kept:
     if not said:
         raise LookupError(f"{folder} holds no index")
     files = spark.read.parquet(f"{folder}/files-{said['generations'][-1]}")
-
-    def table(kind: str) -> DataFrame:
-        parts = [spark.read.parquet(f"{folder}/{kind}-{g}").withColumn("generation", F.lit(g)) for g in said["generations"]]
-        rows = reduce(DataFrame.unionByName, parts)
-        return rows.join(files.select("path", "generation"), ["path", "generation"], "left_semi").drop("generation")
-
-    return Kept(files, table("rows"), table("ranges"))
+    rows = _in_force(spark, folder, "rows", said["generations"], files).drop("project_slug", "title", "is_subagent", "modified_unix")
+    rows = rows.join(files.select("path", "project_slug", "title", "is_subagent", "modified_unix"), "path")
+    return Kept(files, rows, _in_force(spark, folder, "ranges", said["generations"], files))
 
 
 def compact(spark: SparkSession, folder: str) -> None:
@@ -200,7 +306,8 @@ def compact(spark: SparkSession, folder: str) -> None:
     kept, name = opened(spark, folder), uuid.uuid4().hex[:12]
     kept.rows.write.parquet(f"{folder}/rows-{name}")
     kept.ranges.write.parquet(f"{folder}/ranges-{name}")
-    kept.files.withColumn("generation", F.lit(name)).write.parquet(f"{folder}/files-{name}")
+    whole = F.array(F.struct(F.lit(name).alias("generation"), F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("until"), F.lit(None).cast("long").alias("until_byte")))
+    kept.files.withColumn("parts", whole.cast(_PARTS)).write.parquet(f"{folder}/files-{name}")
     sinks.write_json(spark, f"{folder}/{MARKER}", {"generations": [name]})
 
 

@@ -72,6 +72,49 @@ def test_only_changed_files_are_parsed_again(spark, root, tmp_path):
     assert len(json.loads((tmp_path / "index" / kept.MARKER).read_text())["generations"]) == 1
 
 
+@pytest.mark.parametrize("split_bytes", [300, 1 << 20])
+def test_tails_of_growing_files_are_read_from_where_reading_ended(spark, tmp_path, split_bytes):
+    base, folder = tmp_path / "root", str(tmp_path / "index")
+    at = base / "proj/agent-transcripts"
+    first = [say("assistant", f"line {i} of the start", *(["Read"] if i % 2 else [])) for i in range(9)]
+    for name in ("grows", "torn", "shrinks", "swapped", "renamed", "still", "late"):
+        put(base, name, first)
+    (at / "torn/torn.jsonl").write_text("\n".join(first) + "\n" + (whole := say("assistant", "was torn here", "Edit"))[:-9])
+    (at / "late/late.jsonl").write_text(say("assistant", "no question yet"))  # no newline: may still go on
+
+    def scan():
+        done = kept.renew(listed(spark, base), folder, split_bytes)
+        held = kept.opened(spark, folder)
+        numbered = transcripts.numbered_lines(listed(spark, base))
+        messages = parse.messages(parse.records(numbered))
+        fresh = finder.index(messages, sessions.with_titles(listed(spark, base).drop("uri"), messages))
+        columns = ["path", "line_index", "tools", "snippet", "title", "modified_unix"]
+        assert sorted(map(str, held.rows.select(*columns).collect())) == sorted(map(str, fresh.select(*columns).collect()))
+        assert sorted(map(tuple, kept.facet_values(held).collect())) == sorted(map(tuple, finder.facet_values(fresh).collect()))
+        read = lambda rows: sorted(map(str, rows.where("line <> ''").select("path", "line_index", "line").collect()))
+        assert read(splits.read_lines(held.ranges)) == read(numbered)
+        return done
+
+    assert scan() == kept.Renewal(parsed=7)
+    for turn in (1, 2):
+        more = [say("user", f"<user_query>more of {turn}</user_query>"), say("assistant", f"added {turn}", "Grep")]
+        with (at / "grows/grows.jsonl").open("a") as f:
+            f.write("\n".join(more) + "\n" + '{"torn')
+        if turn == 1:
+            (at / "torn/torn.jsonl").write_text("\n".join(first) + "\n" + whole + "\n" + more[0] + "\n")
+            (at / "late/late.jsonl").write_text(say("assistant", "no question yet") + "\n" + more[0] + "\n")
+            (at / "shrinks/shrinks.jsonl").write_text("\n".join(first[:3]) + "\n")
+            (at / "swapped/swapped.jsonl").write_text("\n".join(reversed(first)) + "\n" + more[0] + "\n")
+            (at / "renamed").rename(at / "other")
+            (at / "other/renamed.jsonl").rename(at / "other/other.jsonl")
+            # Grown: grows, torn, late (its one line had no end); anew: shrinks, swapped, other.
+            assert scan() == kept.Renewal(parsed=3, grown=3, kept=1, gone=1)
+        else:
+            assert scan() == kept.Renewal(grown=1, kept=6)
+    kept.compact(spark, folder)
+    assert scan() == kept.Renewal(kept=7)
+
+
 def test_filters_spare_files_and_lose_no_hit(spark, root, tmp_path):
     folder = str(tmp_path / "index")
     kept.renew(listed(spark, root), folder, split_bytes=700)

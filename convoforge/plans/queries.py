@@ -265,13 +265,6 @@ def k2_inline_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir, o).select("path", "chunk", "split", records.chatml(o).alias("record"))
 
 
-@query()
-def k9_dialogue_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = ExportOptions(max_record_chars=0, thinking="strip", final_response_only=True)
-    rows = _chunks(spark, sf_dir, o)
-    return rows.select(records.text_file_name("project_slug", "id").alias("file"), records.dialogue(o).alias("text"))
-
-
 # Linkage.
 
 _TASKS_SQL = _MSG + """, kids AS (SELECT s.path, s.parent_path, s.conv_id FROM sessions s WHERE is_subagent),
@@ -311,17 +304,24 @@ def j4_w3_last_per_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIKELY = """{{"name": "Task", "status": "{0}"}}"""
 
 
-@query(_TASKS_SQL + """, texts AS (SELECT DISTINCT child_path AS k, """ + _LINKS_OFF.format(x="result") + """ AS x FROM linked WHERE result IS NOT NULL)""" + _SPLIT + f""", told AS (
+#: Answers of child runs that are told, as texts to split.
+_CHILD_TEXTS = "SELECT DISTINCT 'c' || child_path AS k, " + _LINKS_OFF.format(x="result") + " AS x FROM linked WHERE result IS NOT NULL"
+#: What is said of the last call with each prompt, and each call with it.
+_TOLD = f""", told AS (
   SELECT k, CASE WHEN answer = '' THEN {_trim("x")} ELSE answer END AS t FROM split JOIN texts USING (k)
 ), last AS (SELECT * FROM linked QUALIFY row_number() OVER (PARTITION BY master_path, prompt ORDER BY spawn_order DESC) = 1),
 said AS (
   SELECT l.master_path, l.prompt, CASE WHEN background THEN '{_LIKELY.format("spawned_in_background")}' WHEN match = 'resume' THEN '{_LIKELY.format("resumed")}' WHEN result IS NULL THEN '{_LIKELY.format("unresolved")}'
     ELSE to_json({{'name': 'Task', 'output': CASE WHEN length(t) > {L.RESULT_CHARS} THEN left(t, {L.RESULT_CHARS}) || ' [truncated]' ELSE t END, 'status': 'completed'}}) END AS outcome
-  FROM last l LEFT JOIN told ON told.k = l.child_path
-)
-SELECT master_path AS path, CAST(spawn_order AS BIGINT) AS block_pos, '```tool_call' || chr(10) || '{{"name": "Task", "input": {{"description":"part","prompt":"' || CASE WHEN spawn_order = 1 THEN replace(prompt, 'work on', 'work on ') ELSE prompt END
+  FROM last l LEFT JOIN told ON told.k = 'c' || l.child_path
+), blocks AS (
+  SELECT master_path AS path, CAST(spawn_order AS BIGINT) AS block_pos, '```tool_call' || chr(10) || '{{"name": "Task", "input": {{"description":"part","prompt":"' || CASE WHEN spawn_order = 1 THEN replace(prompt, 'work on', 'work on ') ELSE prompt END
   || '","run_in_background":' || CASE WHEN background THEN 'true' ELSE 'false' END || ',"subagent_type":"general"}}}}' || chr(10) || '```' || chr(10) || chr(10) || '```tool_result' || chr(10) || outcome || chr(10) || '```' AS said
-FROM tasks JOIN said USING (master_path, prompt)""")
+  FROM tasks JOIN said USING (master_path, prompt)
+)"""
+
+
+@query(_TASKS_SQL + f", texts AS ({_CHILD_TEXTS})" + _SPLIT + _TOLD + " SELECT path, block_pos, said FROM blocks")
 def t23_k2_task_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every Task call as it stands in its parent's text."""
     messages, everyone = _messages(spark, sf_dir)
@@ -335,6 +335,32 @@ def w2_spawn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.tasks(_messages(spark, sf_dir)[0]).select("master_path", "spawn_order", "prompt", "background")
 
 
+_MESSAGE_KEY = "'m' || path || '|' || CAST(line_index AS VARCHAR)"
+
+
+@query(_TURN + _TASKS_SQL[len(_MSG):] + f""", heads AS (
+  SELECT path, turn_id, max(line_index) AS line_index FROM turned WHERE role = 'assistant' GROUP BY ALL
+), texts AS ({_CHILD_TEXTS}
+  UNION ALL SELECT {_MESSAGE_KEY}, {_trim(_LINKS_OFF.format(x="body"))} FROM turned JOIN heads USING (path, turn_id, line_index)
+)""" + _SPLIT + _TOLD + f""", tooled AS (
+  SELECT path, string_agg(said, chr(10) || chr(10) ORDER BY block_pos) AS tools FROM blocks GROUP BY path
+), spoken AS (
+  SELECT h.path, h.turn_id, s.answer, CASE WHEN h.line_index = 1 THEN t.tools END AS tools FROM heads h JOIN split s ON s.k = {_MESSAGE_KEY.replace("path", "h.path").replace("line_index", "h.line_index")} LEFT JOIN tooled t ON t.path = h.path
+), whole AS (SELECT path || '|' || CAST(turn_id AS VARCHAR) AS k, answer AS x FROM spoken WHERE tools IS NULL)""" + _cuts("whole") + f""", answered AS (
+  SELECT path, turn_id, CASE WHEN tools IS NULL THEN {_trim("c.x")} WHEN answer = '' THEN tools ELSE answer || chr(10) || chr(10) || tools END AS a
+  FROM spoken p LEFT JOIN cut c ON c.k = p.path || '|' || CAST(p.turn_id AS VARCHAR)
+), heard AS (
+  SELECT path, turn_id, coalesce(string_agg(q, chr(10) || chr(10) ORDER BY line_index) FILTER (q <> ''), '') AS u
+  FROM (SELECT path, turn_id, line_index, CASE WHEN role = 'user' AND NOT is_injected THEN {_trim(_LINKS_OFF.format(x="user_query"))} END AS q FROM turned) GROUP BY ALL
+)
+SELECT any_value(project_slug) || '__' || any_value(id) || '.txt' AS file, string_agg('## User' || chr(10) || chr(10) || {_trim("u")} || chr(10) || chr(10) || '## Assistant' || chr(10) || chr(10) || {_trim("a")}, chr(10) || chr(10) ORDER BY turn_id) AS text
+FROM heard JOIN answered USING (path, turn_id) JOIN sessions USING (path) WHERE NOT is_subagent AND {_trim("u")} <> '' AND {_trim("a")} <> '' GROUP BY path""")
+def k9_dialogue_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = ExportOptions(max_record_chars=0, thinking="strip", final_response_only=True)
+    rows = _chunks(spark, sf_dir, o)
+    return rows.select(records.text_file_name("project_slug", "id").alias("file"), records.dialogue(o).alias("text"))
+
+
 # Reading.
 
 _PROJECT = "regexp_extract(path, '/t/(proj-[0-9]+)/', 1)"

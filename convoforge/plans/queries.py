@@ -259,12 +259,6 @@ def j2_u2_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.select(every.unionAll(every), True).select("path", "id", "is_subagent")
 
 
-@query()
-def k2_inline_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = ExportOptions(include_tool_calls=True, val_fraction=0.1)
-    return _chunks(spark, sf_dir, o).select("path", "chunk", "split", records.chatml(o).alias("record"))
-
-
 # Linkage.
 
 _TASKS_SQL = _MSG + """, kids AS (SELECT s.path, s.parent_path, s.conv_id FROM sessions s WHERE is_subagent),
@@ -361,6 +355,44 @@ def k9_dialogue_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(records.text_file_name("project_slug", "id").alias("file"), records.dialogue(o).alias("text"))
 
 
+_PACK = _CHUNKED[_CHUNKED.index("pack AS (") :].replace("> 2000", f"> {L.CHUNK_BYTES}")
+_CALLS = """list({'background': background, 'child_transcript': child_path, 'description': 'part', 'match': match, 'spawn_order': CAST(spawn_order AS BIGINT), 'subagent_type': 'general', 'task_prompt_hash': substr(sha256(prompt), 1, 16)} ORDER BY spawn_order)"""
+_READ = """'```tool_call' || chr(10) || '{"name": "Read", "input": {"path":"/data/a.md"}}' || chr(10) || '```'"""
+
+
+@query(_TURN + _TASKS_SQL[len(_MSG):] + f""", texts AS ({_CHILD_TEXTS}
+  UNION ALL SELECT {_MESSAGE_KEY}, {_trim(_LINKS_OFF.format(x="body"))} FROM turned WHERE role = 'assistant'
+)""" + _SPLIT + _TOLD + f""", tooled AS (
+  SELECT path, CAST(1 AS BIGINT) AS line_index, string_agg(said, chr(10) || chr(10) ORDER BY block_pos) AS tools FROM blocks GROUP BY path
+), spoken AS (
+  SELECT t.path, t.turn_id, t.line_index, s.thinking, s.answer, coalesce(b.tools, CASE WHEN t.line_index % 3 = 0 THEN {_READ} END) AS tools
+  FROM turned t JOIN split s ON s.k = {_MESSAGE_KEY.replace("path", "t.path").replace("line_index", "t.line_index")} LEFT JOIN tooled b ON b.path = t.path AND b.line_index = t.line_index WHERE t.role = 'assistant'
+), joined AS (
+  SELECT path, turn_id, coalesce(string_agg(thinking, chr(10) || chr(10) ORDER BY line_index) FILTER (thinking <> ''), '') AS thinking, bool_or(tools IS NOT NULL) AS has_tools,
+    coalesce(string_agg(concat_ws(chr(10) || chr(10), nullif(answer, ''), tools), chr(10) || chr(10) ORDER BY line_index) FILTER (answer <> '' OR tools IS NOT NULL), '') AS a,
+    coalesce(string_agg(concat_ws(chr(10) || chr(10), nullif(x, ''), tools), chr(10) || chr(10) ORDER BY line_index) FILTER (x <> '' OR tools IS NOT NULL), '') AS native
+  FROM spoken JOIN texts ON k = {_MESSAGE_KEY} GROUP BY ALL
+), whole AS (SELECT path || '|' || CAST(turn_id AS VARCHAR) AS k, a AS x FROM joined WHERE NOT has_tools)""" + _cuts("whole") + f""", heard AS (
+  SELECT path, turn_id, coalesce(string_agg(q, chr(10) || chr(10) ORDER BY line_index) FILTER (q <> ''), '') AS u
+  FROM (SELECT path, turn_id, line_index, CASE WHEN role = 'user' AND NOT is_injected THEN {_trim(_LINKS_OFF.format(x="user_query"))} END AS q FROM turned) GROUP BY ALL
+), answered AS (
+  SELECT j.path, turn_id, {_trim("u")} AS user_text, thinking, {_trim("CASE WHEN has_tools THEN a ELSE c.x END")} AS answer, native FROM joined j JOIN heard USING (path, turn_id) LEFT JOIN cut c ON c.k = j.path || '|' || CAST(turn_id AS VARCHAR)
+), good AS (
+  SELECT a.*, strlen(user_text) + strlen(thinking) + greatest(strlen(answer), strlen(native)) AS size, row_number() OVER (PARTITION BY path ORDER BY turn_id) AS rn
+  FROM answered a JOIN sessions USING (path) WHERE NOT is_subagent AND user_text <> '' AND answer <> ''
+), """ + _PACK + f""", dated AS (SELECT path, row_number() OVER (ORDER BY modified_unix, path) AS rn, count(*) OVER () AS n FROM sessions WHERE path IN (SELECT path FROM chunked)),
+held AS (SELECT path, CASE WHEN rn > n - CASE WHEN round(n * 0.1) >= n THEN n - 1 ELSE CAST(round(n * 0.1) AS BIGINT) END THEN 'val' ELSE 'train' END AS split FROM dated),
+calls AS (SELECT master_path AS path, {_CALLS} AS calls, count(*) FILTER (match = 'none') AS unmatched FROM linked GROUP BY 1)
+SELECT path, chunk, any_value(h.split) AS split, '{{"messages":' || to_json(flatten(list([{{'content': user_text, 'role': 'user'}}, {{'content': {_TAGGED}, 'role': 'assistant'}}] ORDER BY turn_id))) || ',"metadata":'
+  || regexp_replace(to_json({{'answer_chars': CAST(sum(strlen(answer)) AS BIGINT), 'chunk': chunk, 'chunks': any_value(chunks), 'is_subagent': false, 'modified_unix': any_value(modified_unix), 'oversize': sum(size) > {L.CHUNK_BYTES}, 'parent_session_id': NULL,
+    'project': any_value(project_slug), 'session_id': any_value(id), 'source': 'agent-transcript', 'task_calls': CASE WHEN chunk = 0 THEN coalesce(any_value(calls), []) ELSE [] END, 'think_chars': CAST(sum(strlen(thinking)) AS BIGINT), 'turns': count(*),
+    'unmatched_task_calls': CASE WHEN chunk = 0 THEN coalesce(any_value(unmatched), 0) ELSE 0 END, 'user_kind': 'human'}}), ',"oversize":false', '') || '}}' AS record
+FROM chunked JOIN sessions USING (path) JOIN held h USING (path) LEFT JOIN calls USING (path) GROUP BY path, chunk""")
+def k2_inline_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = ExportOptions(include_tool_calls=True, val_fraction=0.1)
+    return _chunks(spark, sf_dir, o).select("path", "chunk", "split", records.chatml(o).alias("record"))
+
+
 # Reading.
 
 _PROJECT = "regexp_extract(path, '/t/(proj-[0-9]+)/', 1)"

@@ -1,4 +1,4 @@
-"""Command line: export, find, backup, verify, restore."""
+"""Command line: export, find, search, index, backup, verify, restore."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 
 from .operators import finder, parse, sessions
-from .plans import backup, export
+from .plans import backup, export, kept
 from .plans.options import PRESETS, from_mapping
 from .sources import transcripts
 
@@ -25,6 +25,10 @@ def _parser() -> argparse.ArgumentParser:
         e.add_argument(f"--{flag}", action="store_true", default=None)
     f = commands.add_parser("find", help="search messages")
     f.add_argument("root"), f.add_argument("query", nargs="?", default=""), f.add_argument("--project"), f.add_argument("--media", action="append", default=[]), f.add_argument("--tool", action="append", default=[])
+    q = commands.add_parser("search", help="look for words in raw lines; stops at the first 500 hits")
+    q.add_argument("root"), q.add_argument("query"), q.add_argument("--index", help="a folder written by the index command")
+    i = commands.add_parser("index", help="write or renew a kept index")
+    i.add_argument("root"), i.add_argument("folder")
     b = commands.add_parser("backup", help="copy what is new or changed")
     b.add_argument("root"), b.add_argument("out"), b.add_argument("--project", action="append"), b.add_argument("--skip-runtime", action="store_true"), b.add_argument("--no-hashes", action="store_true")
     v = commands.add_parser("verify", help="check a backup against its manifest")
@@ -49,6 +53,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             messages = parse.messages(parse.records(numbered))
             index = finder.index(messages, sessions.with_titles(files.drop("uri"), messages))
             finder.page(finder.find(index, numbered, a.query, a.project, a.media, a.tool), sessions.projects(files)).select("path", "line_index", "snippet").show(50, False)
+        elif a.command == "search":
+            files = transcripts.session_files(spark, backup.resolve(spark, a.root))
+            found = kept.search(kept.opened(spark, a.index), a.query) if a.index else finder.search_files(files, a.query)
+            found.hits.orderBy("path", "line_index").show(50, False)
+            print(f"{found.files_scanned} files scanned")
+        elif a.command == "index":
+            print(asdict(kept.index_root(spark, backup.resolve(spark, a.root), a.folder)))
         elif a.command == "backup":
             print(asdict(backup.backup(spark, a.root, a.out, a.project, a.skip_runtime, not a.no_hashes)))
         elif a.command == "verify":

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import linkage, media, parse, records, render, sessions, turns
-from ..sources import transcripts
+from ..sources import stores, transcripts
 from . import sinks
 from .options import ExportOptions
 
@@ -117,18 +117,18 @@ def export(spark: SparkSession, root: str, out: str, o: ExportOptions = ExportOp
 def readable(spark: SparkSession, refs: DataFrame) -> DataFrame:
     """(path, media_path, text) of referenced readable files that exist, hold UTF-8 and are small enough; read in tasks."""
     def run(batches):
-        import os
-
         for rows in batches:
             texts = []
             for p in rows["media_path"]:
                 try:
-                    if os.path.getsize(p) > L.ATTACHMENT_BYTES:
+                    store, path = stores.opened(p)
+                    about = store.get_file_info(path)
+                    if not about.is_file or about.size > L.ATTACHMENT_BYTES:
                         texts.append(None)
                     else:
-                        with open(p, encoding="utf-8", newline="") as f:
-                            texts.append(f.read())
-                except (OSError, UnicodeDecodeError):
+                        with store.open_input_stream(path) as f:
+                            texts.append(f.read().decode())
+                except (OSError, ValueError):  # not there, not text, or no path at all
                     texts.append(None)
             yield rows.assign(text=texts)
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from convoforge.__main__ import main
 from convoforge.operators import finder, parse, sessions
 from convoforge.plans import kept, sinks
 from convoforge.sources import splits, transcripts
@@ -144,6 +145,15 @@ def test_search_opens_no_file_behind_its_cap(spark, root):
     assert (none.hits.count(), none.files_scanned) == (0, 0)
 
 
+def test_index_and_search_from_a_shell(spark, root, tmp_path, capsys):
+    folder = str(tmp_path / "index")
+    assert main(["index", str(root), folder], spark) == 0 and "'parsed': 12" in capsys.readouterr().out
+    assert main(["search", str(root), "needle", "--index", folder], spark) == 0
+    said = capsys.readouterr().out
+    assert "NeedLe" in said and "12 files scanned" in said
+    assert main(["search", str(root / "none"), "needle"], spark) == 1 and main(["search", str(root), "x", "--index", str(root)], spark) == 1
+
+
 def test_text_files_are_committed_or_not_there(spark, tmp_path):
     rows = spark.createDataFrame([(f"a{i % 7}/f{i}.txt", f"text {i}\n" * (i % 50)) for i in range(200)] + [("a0/f0.txt", "last"), ("none.txt", None)], "file string, text string")
     out = tmp_path / "out"

@@ -454,6 +454,42 @@ def test_long_runs_lose_no_pair_at_any_length():
     assert 29_999 in b[a == 0] and 0 in b[a == 29_999]
 
 
+def test_near_misses_are_added_with_context_alone(spark):
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    luhn = PERSONAL[2]
+
+    def card(good):
+        while bool(luhn[2](luhn[1].fullmatch(got := rng.choice("123456789") + digits(15)))) != good:
+            pass
+        return got
+
+    filler = [r["text"].split()[:40] for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 300").collect()]
+    false = [
+        lambda: card(False), lambda: f"{rng.randint(256, 999)}.{rng.randint(0, 255)}.{digits(2)}.7", lambda: f"+{rng.randint(1, 9)} {digits(3)}-{digits(3)}",
+        lambda: f"user{digits(2)}@host{digits(1)}", lambda: f"{rng.choice(('000', '666', '9' + digits(2)))}-{digits(2)}-{digits(4)}",
+    ]
+    base = [lambda: card(True), lambda: f"10.{rng.randint(0, 255)}.{digits(2)}.7", lambda: f"+1 {digits(3)} {digits(3)} {digits(4)}", lambda: f"user{digits(2)}@host{digits(1)}.com"]
+    true = [lambda: f"call {rng.randint(200, 999)}-{digits(3)}-{digits(4)}", lambda: f"mail anna.{digits(2)} (at) mail{digits(1)} (dot) com"]
+    data, want = [], {}
+    for i in range(900):
+        got = rng.choice((false, base, true)[i % 3])()
+        text = " ".join(rng.choice(filler)) + " "
+        data.append((i, f"{text}{got} {' '.join(rng.choice(filler)[:9])}"))
+        want[i] = i % 3 == 2
+    scanned = pii.scan(spark.createDataFrame(data, "doc_id long, text string"), ["doc_id"])
+    model = pii.fit(scanned.where("doc_id < 450"))
+    rows_ = pii.decide(scanned.where("doc_id >= 450"), model).collect()
+    added = [(r["doc_id"], s) for r in rows_ for s in r["spans"] if s["kind"] >= len(pii.BASE)]
+    wrong = [data[d][1][s["start"] - 15 : s["end"]] for d, s in added if not want[d]]
+    assert len(wrong) <= 0.1 * len(added), wrong
+    assert len({d for d, s in added if want[d]}) >= 0.9 * sum(want[r["doc_id"]] for r in rows_)
+    docs = spark.read.parquet(SF.replace("0.001", "0.1") + "/documents.parquet").select("doc_id", "text")
+    for r in pii.find(docs, ["doc_id"]).join(docs, "doc_id").where("exists(spans, s -> s.kind >= 4)").collect():
+        for s in r["spans"]:
+            assert pii.KINDS[s["kind"]] != "card_like" or pii._context(r["text"][max(0, s["start"] - 40) : s["start"]]) == pii.YES
+
+
 def test_stages_keep_any_column_and_odd_rows(spark):
     clean = " ".join(f"ordinary{i % 50} words make sentence number {i}" for i in range(12))
     rows = [(i, f"{clean} of document {i} alone{'abcdefgh'[i % 8] * 9}\n{LONG}") for i in range(12)]

@@ -11,10 +11,15 @@ a longer run hands on a spanning forest of its links, which loses no connection,
 
 ``representatives`` keeps one row of each group of texts whose sets of five-word shingles have a similarity of 0.8 or
 more. Single edits move five shingles but one word, so a print of the distinct words finds candidates, a second print
-of the distinct shingles sifts them, and the sets of whole texts decide. All pairs of short runs are verified; in a
-longer run every row is verified with the ``partners`` nearest by the second print (a third of all texts may
-resemble each other, and only so does the work stay in proportion to them). Such a group still comes together over its
-other links; measured recall is in the README.
+of the distinct shingles sifts them, and the sets of whole texts decide. All pairs of short runs are verified. In a
+longer run every row whose block is that of the run is verified with the ``partners`` nearest by the second print, so
+that texts are compared in proportion to rows even where a third of all resemble each other; the prints themselves are
+compared in full. Such a group still comes together over its other links; measured recall is in the README.
+``partners=None`` verifies every pair of every run.
+
+A block value that over ``dense`` rows share makes the runs of its variants hot. Their rows are dealt over one task for
+each ``dense`` rows, to which all others of the run stream by: a task holds ``dense`` rows and their nearest whatever the
+size of the run, and finds what one task alone would.
 
 Components come from repeated minimum labels with tables in the shared folder.
 
@@ -54,7 +59,8 @@ class Params:
 class Near:
     """Near-duplicate groups: ``similarity`` of sets of ``shingle`` words. ``ball``: how prints of distinct words meet; up
     to ``limit`` differing bits of them and ``sift`` of the second print count as candidates. In runs of over ``ball.small``
-    rows the ``partners`` nearest candidates of each row are verified; None: all of them, which is exact for this rule."""
+    rows the ``partners`` nearest candidates of a row are verified, in the runs of its own three blocks; None: all candidates,
+    in the runs of all variants, which is exact for this rule."""
 
     shingle: int = 5
     similarity: float = 0.8
@@ -142,15 +148,17 @@ def _variants(batches: Iterator[pa.RecordBatch], p: Params, carry: list[str]) ->
                 yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), *rows], ["run", *carry])
 
 
-def _meeting(rows: DataFrame, p: Params, carry: list[str], pairs: Callable, schema: str) -> DataFrame:
-    """Variants of all rows, brought together by run; ``pairs`` compares the runs as they stream by.
-
-    Few bytes come in and many go out, so rows are dealt anew (by a hash, which the grouping before has not dealt by).
-    """
+def _all_variants(rows: DataFrame, p: Params, carry: list[str]) -> DataFrame:
+    """Variants of all rows. Few bytes come in and many go out, so rows are dealt anew (by a hash, which the grouping before
+    has not dealt by)."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)
     dealt = rows.select(*carry).repartition(tasks, F.xxhash64("print", F.lit(1)))
-    variants = dealt.mapInArrow(lambda it: _variants(it, p, carry), f"run long, {kinds}")
+    return dealt.mapInArrow(lambda it: _variants(it, p, carry), f"run long, {kinds}")
+
+
+def _meeting(variants: DataFrame, carry: list[str], pairs: Callable, schema: str) -> DataFrame:
+    """Variants brought together by run; ``pairs`` compares the runs as they stream by."""
     return variants.repartition("run").sortWithinPartitions("run").mapInArrow(lambda it: pairs(_runs(it, carry)), schema)
 
 
@@ -249,7 +257,7 @@ def _links(runs: Iterator[tuple[np.ndarray, ...]], p: Params) -> Iterator[pa.Rec
 
 def links(prints: DataFrame, p: Params = Params()) -> DataFrame:
     """Linked pairs (a, b) of the distinct fingerprints in column ``print``: enough of them to connect all that are linked."""
-    return _meeting(prints, p, ["print"], lambda runs: _links(runs, p), "a long, b long").distinct()
+    return _meeting(_all_variants(prints, p, ["print"]), ["print"], lambda runs: _links(runs, p), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,21 +293,71 @@ def group(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return prints.join(nodes.join(named, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-def _partners(fine: np.ndarray, words: np.ndarray, own: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Of a long run, each row in ``own`` with the candidates nearest to it by the second print, or with all of them.
+class _Nearest:
+    """Of rows that stream by, the candidates nearest to each row of ``own`` by the second print, the first seen of equal ones.
 
-    Every row of the run is looked at, however long it is: one pass over the second prints for each row of ``own``.
+    Without ``partners`` all candidates come out as they are seen; with a ``run``, those alone that are told in it.
     """
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in own.tolist():
-        apart = np.bitwise_count(fine ^ fine[at])
-        to = np.flatnonzero(apart <= near.sift)
-        to = to[(np.bitwise_count(words[to] ^ words[at]) <= near.limit) & (to != at)]
-        if near.partners is not None and len(to) > near.partners:
-            to = to[np.argsort(apart[to], kind="stable")[: near.partners]]
-        a.append(np.full(len(to), at))
-        b.append(to)
-    return np.concatenate(a), np.concatenate(b)
+
+    def __init__(self, own: tuple[np.ndarray, ...], near: Near, run: int | None = None) -> None:
+        self.words, self.fine, self.nodes = own
+        self.near, self.run = near, run
+        self.bound = np.full(len(self.nodes), near.sift + 1, np.uint8)  # a candidate has fewer differing bits
+        self.row, self.apart, self.to = np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        self.step = 64
+
+    def _met(self, words: np.ndarray, fine: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``own``, differing bits and nodes of the candidates within the bounds, some rows at a time."""
+        some, height = [(self.row[:0], self.apart[:0], self.to[:0])], max(1, (1 << 18) // len(nodes))
+        for lo in range(0, len(self.nodes), height):
+            apart = np.bitwise_count(self.fine[lo : lo + height, None] ^ fine)
+            row, at = np.nonzero(apart < self.bound[lo : lo + height, None])
+            x, y = self.words[lo + row], words[at]
+            good = (np.bitwise_count(x ^ y) <= self.near.limit) & (self.nodes[lo + row] != nodes[at])
+            if self.near.partners is None and self.run is not None:
+                good &= _told(np.full(len(x), self.run), x, y, self.near.ball)
+            row, at = row[good], at[good]
+            some.append((lo + row, apart[row, at], nodes[at]))
+        return tuple(np.concatenate(x) for x in zip(*some, strict=True))
+
+    def see(self, words: np.ndarray, fine: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at, most = 0, self.near.partners
+        while at < len(nodes):
+            to = at + self.step
+            row, apart, node = self._met(words[at:to], fine[at:to], nodes[at:to])
+            at = to
+            if most is None:
+                yield self.nodes[row], node
+                continue
+            self.step = max(self.step, min(4 * self.step, 1 << 14))  # bounds are tight soon, and few rows come within them
+            if not len(row):
+                continue
+            if not len(self.row) and np.bincount(row).max() < most:
+                self.row, self.apart, self.to = row, apart, node
+                continue
+            row, apart, node = np.append(self.row, row), np.append(self.apart, apart), np.append(self.to, node)
+            order = np.argsort(row * 256 + apart, kind="stable")
+            row = row[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            kept = order[rank < most]
+            self.row, self.apart, self.to = row[rank < most], apart[kept], node[kept]
+            full = row[rank == most - 1]
+            self.bound[full] = apart[order[rank == most - 1]]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.nodes[self.row], self.to
+
+
+def _partners(own: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...], near: Near, run: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes: each row of ``own`` with its nearest candidates of ``rows``, or with all; both are words, fine, nodes."""
+    nearest = _Nearest(own, near, run)
+    if len(own[0]) * len(rows[0]) <= 1 << 16:
+        nearest.step = 1 << 16  # at once
+    return _joined([*nearest.see(*rows), nearest.found()])
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
 
 def _candidates(runs: Iterator[tuple[np.ndarray, ...]], near: Near) -> Iterator[pa.RecordBatch]:
@@ -313,14 +371,78 @@ def _candidates(runs: Iterator[tuple[np.ndarray, ...]], near: Near) -> Iterator[
 
         first, second, longer = _close(run, p.small, alike)
         told = _told(run[first], words[first], words[second], p)
-        pairs = [(first[told], second[told])]
+        yield _pairs(nodes[first[told]], nodes[second[told]])
         for at, to in longer:
             value, view = int(run[at]) // p.blocks, int(run[at]) % p.blocks
-            own = np.flatnonzero(((words[at:to] >> lows[view]) & masks[view]) == U64(value))
-            a, b = _partners(fine[at:to], words[at:to], own, near)
-            pairs.append((a + at, b + at))
-        x, y = (nodes[i] for i in _joined(pairs))
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+            rows = words[at:to], fine[at:to], nodes[at:to]
+            own = ((rows[0] >> lows[view]) & masks[view]) == U64(value) if near.partners is not None else slice(None)
+            yield _pairs(*_partners(tuple(x[own] for x in rows), rows, near, int(run[at])))
+
+
+def _hot_candidates(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
+    """Candidates of rows sorted by run and salt, of which those to be held (``mine``) come first and the others stream by."""
+    key: tuple[int, int] | None = None
+    own: list[tuple[np.ndarray, ...]] = []
+    nearest: _Nearest | None = None
+
+    def begun() -> Iterator[pa.RecordBatch]:
+        nonlocal nearest, own
+        if own and nearest is None:
+            rows, own = tuple(np.concatenate(x) for x in zip(*own, strict=True)), []
+            nearest = _Nearest(rows, near, key[0])
+            yield from (_pairs(*x) for x in nearest.see(*rows))
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        yield from begun()
+        if nearest:
+            yield _pairs(*nearest.found())
+
+    for batch in batches:
+        run, salt = (batch[c].to_numpy() for c in ("run", "salt"))
+        mine = batch["mine"].to_numpy(zero_copy_only=False)
+        columns = batch["print"].to_numpy().view(U64), batch["print1"].to_numpy().view(U64), batch["node"].to_numpy()
+        edges = np.flatnonzero((run[1:] != run[:-1]) | (salt[1:] != salt[:-1])) + 1
+        for at, to in zip([0, *edges.tolist()], [*edges.tolist(), len(run)], strict=True):
+            if at < to and key != (run[at], salt[at]):
+                yield from ended()
+                key, own, nearest = (int(run[at]), int(salt[at])), [], None
+            held = at + int(mine[at:to].sum())
+            if at < held:
+                own.append(tuple(c[at:held] for c in columns))
+            if held < to:
+                yield from begun()
+                if nearest:
+                    yield from (_pairs(*x) for x in nearest.see(*(c[held:to] for c in columns)))
+    yield from ended()
+
+
+def _hot_runs(rows: DataFrame, near: Near) -> DataFrame:
+    """Runs that some block value of over ``dense`` rows sends variants to, and over how many tasks (``salts``) each is dealt."""
+    p, views = near.ball, _views(near.ball)
+    runs = [(F.shiftrightunsigned("print", lo).bitwiseAND(F.lit(mask))) * p.blocks + k for k, (lo, mask, _) in enumerate(views)]
+    values = rows.select(F.explode(F.array(*runs)).alias("own")).groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") > p.dense)
+    balls = F.array(*(F.array(*(F.lit(int(m)) for m in ball)) for *_, ball in views))
+    ball = values.select("own", "n", F.explode(F.element_at(balls, (F.col("own") % p.blocks).cast("int") + 1)).alias("mask"))
+    run = (F.floor(F.col("own") / p.blocks).bitwiseXOR(F.col("mask")) * p.blocks + F.col("own") % p.blocks).alias("run")
+    rows_held = F.max(F.when(F.col("mask") == 0, F.col("n"))) if near.partners is not None else F.sum("n")
+    return ball.select(run, "n", "mask").groupBy("run").agg(F.ceil(F.coalesce(rows_held, F.lit(1)) / p.dense).cast("int").alias("salts"))
+
+
+def _met(nodes: DataFrame, near: Near) -> DataFrame:
+    """Candidate pairs (a, b) of nodes: those of most runs, each compared in one task, and those of hot runs, dealt over many."""
+    p, carry, schema = near.ball, ["print", "print1", "node"], "a long, b long"
+    variants = _all_variants(nodes, p, carry)
+    hot = written(_hot_runs(nodes, near), "hot-runs")
+    if hot.isEmpty():
+        return _meeting(variants, carry, lambda runs: _candidates(runs, near), schema)
+    cool = _meeting(variants.join(hot, "run", "left_anti"), carry, lambda runs: _candidates(runs, near), schema)
+    own = F.lit(near.partners is None)
+    for k, (lo, mask, _) in enumerate(_views(p)):
+        own = own | (F.shiftrightunsigned("print", lo).bitwiseAND(F.lit(mask)) * p.blocks + k == F.col("run"))
+    dealt = variants.join(hot, "run").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = dealt.withColumn("mine", own & (F.pmod(F.xxhash64("node"), "salts") == F.col("salt")))
+    dealt = dealt.select("run", "salt", "mine", *carry).repartition("run", "salt").sortWithinPartitions("run", "salt", F.desc("mine"))
+    return cool.union(dealt.mapInArrow(lambda it: _hot_candidates(it, near), schema))
 
 
 def _similar(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
@@ -365,8 +487,7 @@ def representatives(docs: DataFrame, near: Near = Near()) -> DataFrame:
     nodes = prints.groupBy("text_hash", "print", "print1").agg(F.min(first).alias("first"))
     nodes = written(nodes.drop("text_hash").withColumn("node", F.monotonically_increasing_id()), "nodes")
     drop(prints)
-    met = _meeting(nodes, near.ball, ["print", "print1", "node"], lambda runs: _candidates(runs, near), "a long, b long")
-    pairs = written(met.distinct(), "pairs")
+    pairs = written(_met(nodes, near).distinct(), "pairs")
     paired = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     wanted = nodes.join(paired, "node", "left_semi").select("node", "first.id_hash", "first.text_hash")
     texts = keyed.select("id_hash", "text_hash", "text").join(wanted, ["id_hash", "text_hash"]).select("node", "text")

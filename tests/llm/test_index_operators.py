@@ -443,7 +443,8 @@ def test_long_runs_lose_no_pair_at_any_length():
     near = simhash.Near()
     some = np.array([0, 17, 29_999])
     for partners in (8, None):
-        a, b = simhash._partners(fine, words, some, simhash.Near(partners=partners))
+        rows_ = words, fine, np.arange(30_000)
+        a, b = simhash._partners(tuple(x[some] for x in rows_), rows_, simhash.Near(partners=partners))
         for i in some:
             apart = np.bitwise_count(fine ^ fine[i]).astype(int)
             good = np.flatnonzero((apart <= near.sift) & (np.bitwise_count(words ^ words[i]) <= near.limit))
@@ -454,6 +455,32 @@ def test_long_runs_lose_no_pair_at_any_length():
     assert 29_999 in b[a == 0] and 0 in b[a == 29_999]
 
 
+@pytest.mark.parametrize("partners", [8, None])
+def test_hot_runs_dealt_over_tasks_find_the_same(spark, partners):
+    rng = np.random.default_rng(11)
+    bits = lambda n, k: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, n)).astype(np.uint64), axis=0)
+    words = np.concatenate([np.uint64(99) ^ bits(600, 4), rng.integers(0, 1 << 63, 300).astype(np.uint64)])
+    fine = np.concatenate([np.uint64(5) ^ bits(600, 6), rng.integers(0, 1 << 63, 300).astype(np.uint64)])
+    data = list(zip(words.view(np.int64).tolist(), fine.view(np.int64).tolist(), range(900), strict=True))
+    nodes = spark.createDataFrame(data, "print long, print1 long, node long")
+    pairs = {}
+    for dense in (20_000, 40):
+        near = simhash.Near(partners=partners, ball=simhash.Params(shingle=1, radius=8, blocks=3, dense=dense))
+        hot = simhash._hot_runs(nodes, near)
+        assert (hot.agg(F.max("salts")).first()[0] or 0) >= 3 if dense == 40 else hot.isEmpty()
+        pairs[dense] = {(r["a"], r["b"]) for r in simhash._met(nodes, near).collect()}
+    apart = lambda x: np.bitwise_count(x[:, None] ^ x).astype(int)
+    good = (apart(words) <= near.limit) & (apart(fine) <= near.sift)
+    brute = {(i, j) for i, j in np.argwhere(good).tolist() if i > j}
+    assert all(x <= brute for x in pairs.values())
+    if partners is None:
+        sure = {(i, j) for i, j in brute if bin(int(words[i] ^ words[j])).count("1") <= 8}
+        assert pairs[40] == pairs[20_000] >= sure and len(sure) > 10_000
+    else:  # equally near partners may differ
+        near_by = {d: sorted(apart(fine)[a, b] for a, b in x) for d, x in pairs.items()}
+        assert abs(len(near_by[40]) - len(near_by[20_000])) <= 0.02 * len(near_by[40])
+
+
 def test_near_misses_are_added_with_context_alone(spark):
     rng = random.Random(21)
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))

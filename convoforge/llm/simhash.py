@@ -6,8 +6,10 @@ bits, so for each block (a view) both sides cover half that distance by emitting
 it. Variants are shuffled as plain rows and sorted; those that share one form a run, and the runs are compared as they
 stream by. A pair is told in one run of a view only, which both sides know.
 
-``group`` links fingerprints at ``radius`` or fewer differing bits. Runs of up to ``small`` rows are compared in full;
-a longer run hands on a spanning forest of its links, which loses no connection, found in memory of its own length.
+``group`` links fingerprints at ``radius`` or fewer differing bits. Runs of up to ``middle`` rows are compared in full, many
+of them at once: at 10^10 distinct prints an average run of a half of 32 bits has 77 rows, and few of them are linked. A longer
+run, or one with more than two links a row, hands on a spanning forest of its links, which loses no connection, found in
+memory of its own length.
 
 ``representatives`` keeps one row of each group of texts whose sets of five-word shingles have a similarity of 0.8 or
 more. Single edits move five shingles but one word, so a print of the distinct words finds candidates, a second print
@@ -21,7 +23,8 @@ A block value that over ``dense`` rows share makes the runs of its variants hot.
 each ``dense`` rows, to which all others of the run stream by: a task holds ``dense`` rows and their nearest whatever the
 size of the run, and finds what one task alone would.
 
-Components come from repeated minimum labels with tables in the shared folder.
+Components come from repeated minimum labels with tables in the shared folder. Nodes with very many links are few by their
+count, so their labels are broadcast and no task gets all the links of one.
 
 Defined results: copies share a fingerprint and are joined at no cost; a null or empty text has fingerprint zero and
 links like any other (two texts without words are similar); texts with fewer words than a shingle use the whole
@@ -52,6 +55,7 @@ class Params:
     blocks: int = 2
     seed: int = 42
     small: int = 16
+    middle: int = 1024
     dense: int = 20_000
 
 
@@ -245,7 +249,13 @@ def _forest(prints: np.ndarray, radius: int, dense: int) -> tuple[np.ndarray, np
 def _links(runs: Iterator[tuple[np.ndarray, ...]], p: Params) -> Iterator[pa.RecordBatch]:
     for run, prints in runs:
         prints = prints.view(U64)
-        first, second, longer = _close(run, p.small, lambda i, j, x=prints: np.bitwise_count(x[i] ^ x[j]) <= p.radius)
+        first, second, longer = _close(run, p.middle, lambda i, j, x=prints: np.bitwise_count(x[i] ^ x[j]) <= p.radius)
+        begin = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(run)))
+        of = np.searchsorted(begin, first, side="right") - 1
+        crowded = (size > p.small) & (np.bincount(of, minlength=len(size)) > 2 * size)
+        longer += [(int(begin[i]), int(begin[i] + size[i])) for i in np.flatnonzero(crowded)]
+        first, second = first[~crowded[of]], second[~crowded[of]]
         told = _told(run[first], prints[first], prints[second], p)
         pairs = [(first[told], second[told])]
         for at, to in longer:
@@ -260,11 +270,24 @@ def links(prints: DataFrame, p: Params = Params()) -> DataFrame:
     return _meeting(_all_variants(prints, p, ["print"]), ["print"], lambda runs: _links(runs, p), "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, least: DataFrame, rows: int, hot: int) -> DataFrame:
+    """Adds ``m`` of (a, m, n) to the pairs by ``a``. Nodes with over ``hot`` of all ``rows`` pairs, or a millionth of them if
+    that is more, are a million at most: they are broadcast, and their pairs stay where they are."""
+    most = max(hot, rows // 1_000_000)
+    if rows <= most:
+        return pairs.join(least.select("a", "m"), "a")
+    many = written(least.where(F.col("n") > most).select("a", "m"), "hot-nodes")
+    if many.isEmpty():
+        return pairs.join(least.select("a", "m"), "a")
+    few = pairs.join(F.broadcast(many), "a", "left_anti").join(least.select("a", "m"), "a")
+    return few.unionByName(pairs.join(F.broadcast(many), "a"))
+
+
+def components(edges: DataFrame, hot: int = 100_000) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b); the root is the smallest node of its component.
 
     Alternates two steps until nothing changes: every node links its larger neighbours, then its smaller ones, to the
-    smallest node it knows. Each round is a table in the shared folder.
+    smallest node it knows. Each round is a table in the shared folder. ``hot``: see ``_with_least``.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
@@ -274,11 +297,12 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = seen
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        then = written(small.select("b", "m").where("b <> m").toDF("a", "b").union(least.toDF("a", "b")).distinct(), "links")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(both.where("b > a"), least, 2 * seen[0], hot)
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, seen[0], hot)
+        then = written(small.select("b", "m").where("b <> m").union(least.select("a", "m")).toDF("a", "b").distinct(), "links")
         drop(now)
         now = then
 

@@ -68,8 +68,10 @@ def test_simhash_matches_brute_force(docs):
         assert got == want
 
 
-@pytest.mark.parametrize("small, dense", [(16, 20_000), (2, 50)])
-def test_ball_hashing_finds_every_link(spark, small, dense):
+@pytest.mark.parametrize(
+    "blocks, small, middle, dense, hot", [(2, 16, 1024, 20_000, 100_000), (2, 2, 2, 50, 5), (2, 2, 50, 20_000, 50), (1, 16, 1024, 20_000, 5), (3, 16, 1024, 20_000, 20), (4, 4, 100, 50, 100_000)]
+)
+def test_ball_hashing_finds_every_link(spark, blocks, small, middle, dense, hot):
     import random
 
     random.seed(5)
@@ -78,8 +80,8 @@ def test_ball_hashing_finds_every_link(spark, small, dense):
     prints += [prints[0] ^ (x << 16) for x in range(0, 2000, 3)]  # a bucket that fills one block
     prints = sorted(set(prints))
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    edges = simhash.links(spark.createDataFrame(signed, "print long"), simhash.Params(small=small, dense=dense))
-    got = {r["node"] % (1 << 64): r["root"] for r in simhash.components(edges).collect()}
+    edges = simhash.links(spark.createDataFrame(signed, "print long"), simhash.Params(blocks=blocks, small=small, middle=middle, dense=dense))
+    got = {r["node"] % (1 << 64): r["root"] for r in simhash.components(edges, hot).collect()}
     top = {p: p for p in prints}
 
     def root(p):

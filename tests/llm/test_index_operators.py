@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from convoforge.llm import ann, line_dedup, pii, queries, secret_scan, sharding, simhash
+from convoforge.llm import ann, line_dedup, pii, queries, scratch, secret_scan, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 LONG = "this very line is long enough to be a key of its own, indeed"
@@ -567,6 +567,12 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
 
 
+def test_the_pipeline_deletes_what_it_has_read(spark):
+    before = tables(spark)
+    rows_ = corpus_pipeline.run(spark, SF)
+    assert rows_.count() and {t.rpartition("-")[0] for t in tables(spark) - before} == {"secret-scan", "pieces", "piece-counts"}
+
+
 def test_representatives_are_rows(spark):
     a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine", "red green blue black white brown grey pink")
     data = [(None, a, "x"), (None, a, "x"), (7, b, "x"), (7, b, "x"), (7, b, "y"), (3, b, "z"), (7, c, "x"), (None, c, "x"), (None, "", "x"), (None, None, "y")]
@@ -581,3 +587,48 @@ def test_representatives_are_rows(spark):
     assert not simhash.representatives(odd.limit(0)).count() and not simhash.group(odd.limit(0)).count()
     same = [(5, b, "x"), (5, b, "x"), (5, b, "y")]
     assert simhash.representatives(spark.createDataFrame(same, "doc_id long, text string, source string")).count() == 1
+
+
+def tables(spark):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.folder(spark))
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return {s.getPath().getName() for s in found}
+
+
+def test_working_tables_go_with_their_block(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = tables(spark)
+    with scratch.working(spark):
+        kept = scratch.written(docs.limit(3), "kept", stays=True)
+        with scratch.working(spark):
+            inner = scratch.written(docs.limit(2), "inner")
+            assert inner.count() == 2
+        own = {t.rpartition("-")[0] for t in tables(spark) - before}
+        assert own == {"kept"}
+        simhash.group(docs).write.parquet(f"{tmp_path}/out")
+        assert {"prints", "nodes"} < {t.rpartition("-")[0] for t in tables(spark) - before}
+    assert {t.rpartition("-")[0] for t in tables(spark) - before} == {"kept"}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == docs.count() and kept.count() == 3
+    with pytest.raises(ZeroDivisionError), scratch.working(spark):
+        scratch.written(docs.limit(1), "lost")
+        1 / 0  # noqa: B018
+    scratch.drop(kept)
+    assert tables(spark) == before
+
+
+def test_neighbours_of_the_default_parameters(spark):
+    """Recall of the whole search with production parameters; a third of the vectors lie in one cluster."""
+    rng, n = np.random.default_rng(11), 6000
+    of = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 80, n))
+    x = rng.normal(size=(80, 32))[of] + 0.7 * rng.normal(size=(n, 32))
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = {}
+    for r in got:
+        near.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, n, 50):
+        s = x @ x[q]
+        s[q] = -2
+        hits += len(near[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.95 * 5 * n / 50

@@ -51,7 +51,7 @@ MIME_TYPES = {
     "csv": "text/plain; charset=utf-8", "tsv": "text/plain; charset=utf-8", "json": "application/json", "jsonl": "application/json", "html": "text/plain; charset=utf-8",
 }
 
-TITLE_CHARS, TITLE_LINES = 90, 8
+TITLE_CHARS, TITLE_LINES, TITLE_BYTES = 90, 8, 512 * 1024
 SNIPPET_CHARS, CONTEXT_BYTES = 200, 80
 RESULT_CHARS = 16_000
 PREVIEW_CHARS, SUMMARY_CHARS = 1_600, 66

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -11,6 +11,20 @@ from ..functions import text as T
 UNTITLED, UNREADABLE = "(untitled session)", "(unreadable)"
 
 
+def title_lines(lines: DataFrame) -> DataFrame:
+    """The numbered lines a title may come from: the first few, as far as they end within the first bytes of the file.
+
+    Longer lines only move by their lengths. A line ending of two bytes counts as one. A column ``begin`` tells at which byte
+    the first of the given lines of a path begins, 0 without it.
+    """
+    size = F.octet_length("line")
+    head = lines.where(F.col("line_index") < L.TITLE_LINES).select(*lines.columns, size.alias("_size"))
+    head = head.withColumn("line", F.when(F.col("_size") <= L.TITLE_BYTES, F.col("line")))
+    end = F.sum(F.col("_size") + 1).over(Window.partitionBy("path").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    begin = F.coalesce("begin", F.lit(0)) if "begin" in lines.columns else F.lit(0)
+    return head.withColumn("_end", begin + end).where(F.col("_end") <= L.TITLE_BYTES).drop("_size", "_end", "begin")
+
+
 def titles(messages: DataFrame) -> DataFrame:
     """(path, title): the first typed query among the first raw lines, on one line and cut."""
     asked = messages.where((F.col("line_index") < L.TITLE_LINES) & F.col("user_query").isNotNull())

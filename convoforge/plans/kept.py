@@ -235,7 +235,8 @@ def renew(files: DataFrame, folder: str, split_bytes: int = splits.SPLIT_BYTES,
     ends = _ends(ranges)
     lines = splits.read_lines(ranges)
     messages = parse.messages(parse.records(lines))
-    titled = sessions.titles(parse.messages(parse.records(lines.where(F.col("line_index") < L.TITLE_LINES)))).withColumnRenamed("title", "found")
+    head = lines.where(F.col("line_index") < L.TITLE_LINES).join(new.select("path", start.alias("begin")), "path")
+    titled = sessions.titles(parse.messages(parse.records(sessions.title_lines(head)))).withColumnRenamed("title", "found")
     blank = F.lit(sessions.UNTITLED)
     sessions_ = new.drop("uri", "title").withColumn("title", blank)  # readers take titles and times from ``files``
     finder.index(messages, sessions_).write.parquet(f"{folder}/rows-{name}")

@@ -840,17 +840,18 @@ def t29_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir)["documents"].select("doc_id", F.array_join(marked, "").alias("t"))
 
 
-_WORDS = "translate(substr(text, 1, 30 + doc_id % 90), chr(34) || chr(92) || chr(9) || chr(10) || chr(13), '')"
-_INPUT = f"""CASE doc_id % 5 WHEN 0 THEN '{{"path":5,"command":"' || {_WORDS} || '"}}' WHEN 1 THEN '{{"description":"' || {_WORDS} || '","url":"/u"}}' WHEN 2 THEN '{{"path":"' || {_WORDS} || '"}}'
+_WORDS = "translate(line, chr(34) || chr(92) || chr(9) || chr(13), '')"
+_INPUT = f"""CASE (doc_id + nth) % 5 WHEN 0 THEN '{{"path":5,"command":"' || {_WORDS} || '"}}' WHEN 1 THEN '{{"description":"' || {_WORDS} || '","url":"/u"}}' WHEN 2 THEN '{{"path":"' || {_WORDS} || '"}}'
   WHEN 3 THEN '{{"other":"x","query":null}}' ELSE 'no json' END"""
 _TELLING = ", ".join(f"CASE WHEN json_type(j, '$.{k}') = 'VARCHAR' THEN json_extract_string(j, '$.{k}') END" for k in L.TELLING_FIELDS)
 
 
-@query(f"""WITH r AS (SELECT doc_id, {_INPUT} AS r FROM documents), j AS (SELECT doc_id, CASE WHEN json_valid(r) THEN r ELSE '{{}}' END AS j FROM r), x AS (SELECT doc_id, coalesce({_TELLING}) AS x FROM j)
-SELECT doc_id, CASE WHEN x IS NULL THEN 'Tool' WHEN length(x) > 66 THEN 'Tool: ' || substr(x, 1, 66) || '…' ELSE 'Tool: ' || x END AS told FROM x""")
+@query(f"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS nth, unnest(string_split(text, chr(10))) AS line FROM documents),
+r AS (SELECT doc_id, nth, {_INPUT} AS r FROM l), j AS (SELECT doc_id, nth, CASE WHEN json_valid(r) THEN r ELSE '{{}}' END AS j FROM r), x AS (SELECT doc_id, nth, coalesce({_TELLING}) AS x FROM j)
+SELECT doc_id, nth, CASE WHEN x IS NULL THEN 'Tool' WHEN length(x) > 66 THEN 'Tool: ' || substr(x, 1, 66) || '…' ELSE 'Tool: ' || x END AS told FROM x""")
 def t28_tool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views(spark, sf_dir)["documents"].selectExpr("doc_id", f"{_INPUT} AS r")
-    return rows.select("doc_id", T.tool_summary(F.lit("Tool"), "r").alias("told"))
+    rows = views(spark, sf_dir)["documents"].select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line")).selectExpr("doc_id", "nth", f"{_INPUT} AS r")
+    return rows.select("doc_id", "nth", T.tool_summary(F.lit("Tool"), "r").alias("told"))
 
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import parse
-from ..operators.sessions import UNTITLED, with_titles
+from ..operators.sessions import UNTITLED, title_lines, with_titles
 from . import listing, splits
 
 NESTED = r"/([^/]+)/agent-transcripts/([^/]+)/([^/]+)\.jsonl\z"
@@ -100,7 +100,7 @@ def records(files: DataFrame) -> DataFrame:
 
 
 def titled_sessions(files: DataFrame) -> DataFrame:
-    return with_titles(files.drop("content", "uri"), parse.messages(records(files)))
+    return with_titles(files.drop("content", "uri"), parse.messages(parse.records(title_lines(numbered_lines(files)))))
 
 
 def projects_on_disk(spark: SparkSession, root: str) -> list[str]:

@@ -370,3 +370,24 @@ def test_projects_and_sessions_are_picked_and_ordered(spark):
     assert [r.project_slug for r in sessions.pick_projects(found, "ONE").collect()] == ["p-one"]
     assert sessions.pick_projects(found).count() == 2 and sessions.pick_projects(found, "zzz").count() == 0
     assert transcripts.default_root("tool", "/h/") == "/h/.tool/projects"
+
+
+def test_titles_come_from_the_first_bytes(spark, tmp_path):
+    from convoforge.functions.lexicon import TITLE_BYTES
+
+    first = ask("asked late")
+    empty = len(say("assistant", "").encode())
+    room = TITLE_BYTES - len(first) - 1 - empty
+    folder = tmp_path / "proj" / "agent-transcripts"
+    folder.mkdir(parents=True)
+    for name, texts in {
+        "fits": [say("assistant", "x" * room), first], "over": [say("assistant", "x" * (room + 1)), first], "eighth": ["{}"] * 7 + [first], "ninth": ["{}"] * 8 + [first],
+        "wide": [json.dumps({"role": "assistant", "message": {"content": "é" * (room // 2 + 40)}}, ensure_ascii=False), first], "none": [""], "long": [ask("y" * TITLE_BYTES), first],
+    }.items():
+        (folder / f"{name}.jsonl").write_text("\n".join(texts))
+    for files in (transcripts.session_files(spark, str(tmp_path)), transcripts.read_files(spark, str(tmp_path))):
+        got = {r["id"]: r["title"] for r in transcripts.titled_sessions(files).collect()}
+        assert {k for k, v in got.items() if v == "asked late"} == {"fits", "eighth"}
+        assert len(got) >= 6 and got["over"] == got["long"] == sessions.UNTITLED
+    tail = spark.createDataFrame([("p", 3, first, TITLE_BYTES - len(first)), ("q", 3, first, TITLE_BYTES - len(first) + 1)], "path string, line_index long, line string, begin long")
+    assert [r["path"] for r in sessions.title_lines(tail).collect()] == ["p"]

@@ -13,11 +13,12 @@ memory of its own length.
 
 ``representatives`` keeps one row of each group of texts whose sets of five-word shingles have a similarity of 0.8 or
 more. Single edits move five shingles but one word, so a print of the distinct words finds candidates, a second print
-of the distinct shingles sifts them, and the sets of whole texts decide. All pairs of short runs are verified. In a
-longer run every row whose block is that of the run is verified with the ``partners`` nearest by the second print, so
-that texts are compared in proportion to rows even where a third of all resemble each other; the prints themselves are
-compared in full. Such a group still comes together over its other links; measured recall is in the README.
-``partners=None`` verifies every pair of every run.
+of the distinct shingles sifts them, and the sets of whole texts decide. All candidates of a run are verified, unless they
+are more than ``partners`` a row. In such a crowded run every row whose block is that of the run is first verified with the
+``partners`` nearest by the second print, so most of its groups come together at the cost of few texts. Then the rest
+follows: rows of crowded runs are told with the group they are in by now, and all candidates of different groups are
+verified, but those that cannot be similar by the parities of their shingles (no similar pair is lost to that). Pairs
+inside a group change nothing, so the groups are those of ``partners=None``, which verifies every pair of every run.
 
 A block value that over ``dense`` rows share makes the runs of its variants hot. Their rows are dealt over one task for
 each ``dense`` rows, to which all others of the run stream by: a task holds ``dense`` rows and their nearest whatever the
@@ -35,7 +36,7 @@ empty result; other columns, whatever their names, are carried by ``representati
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -62,9 +63,9 @@ class Params:
 @dataclass(frozen=True)
 class Near:
     """Near-duplicate groups: ``similarity`` of sets of ``shingle`` words. ``ball``: how prints of distinct words meet; up
-    to ``limit`` differing bits of them and ``sift`` of the second print count as candidates. In runs of over ``ball.small``
-    rows the ``partners`` nearest candidates of a row are verified, in the runs of its own three blocks; None: all candidates,
-    in the runs of all variants, which is exact for this rule."""
+    to ``limit`` differing bits of them and ``sift`` of the second print count as candidates. In crowded runs the ``partners``
+    nearest candidates of a row are verified first, in the runs of its own three blocks, then all that lie in other groups;
+    None: all candidates at once. Both give the same groups."""
 
     shingle: int = 5
     similarity: float = 0.8
@@ -75,6 +76,8 @@ class Near:
     salt_rows: int = 64
 
 
+#: Runs of up to so many times ``small`` rows are compared in full before they count as crowded; places of a sketch of shingles.
+FULL_RUNS, SKETCH_BITS = 16, 1024
 _SPREAD = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).view("<u8").ravel()
 
 
@@ -317,20 +320,36 @@ def group(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return prints.join(nodes.join(named, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
+def _may_be_similar(x: tuple[np.ndarray, ...], i: np.ndarray, y: tuple[np.ndarray, ...], j: np.ndarray, near: Near) -> np.ndarray:
+    """Whether rows i of x and j of y, as (group, size, sketch), are of two groups and not ruled out as similar.
+
+    Bits in which two sketches differ are no more than the shingles that one text alone holds, and similar sets differ in at
+    most (1 - s) / (1 + s) of both sizes together.
+    """
+    some = np.flatnonzero(x[0][i] != y[0][j])
+    a, b = x[1][i[some]], y[1][j[some]]
+    some = some[np.minimum(a, b) >= near.similarity * np.maximum(a, b) - 1e-6]
+    apart = np.bitwise_count(x[2][i[some]] ^ y[2][j[some]]).sum(1, dtype=np.int64)
+    out = np.zeros(len(i), bool)
+    out[some] = apart * (1 + near.similarity) <= (1 - near.similarity) * (x[1][i[some]] + y[1][j[some]]) + 1e-6
+    return out
+
+
 class _Nearest:
     """Of rows that stream by, the candidates nearest to each row of ``own`` by the second print, the first seen of equal ones.
 
-    Without ``partners`` all candidates come out as they are seen; with a ``run``, those alone that are told in it.
+    Without ``partners`` all candidates come out as they are seen; with a ``run``, those alone that are told in it. Rows may
+    have groups, sizes and sketches behind their nodes: then pairs come out once, if ``_may_be_similar`` leaves them.
     """
 
     def __init__(self, own: tuple[np.ndarray, ...], near: Near, run: int | None = None) -> None:
-        self.words, self.fine, self.nodes = own
+        self.words, self.fine, self.nodes, *self.more = own
         self.near, self.run = near, run
         self.bound = np.full(len(self.nodes), near.sift + 1, np.uint8)  # a candidate has fewer differing bits
         self.row, self.apart, self.to = np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
         self.step = 64
 
-    def _met(self, words: np.ndarray, fine: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _met(self, words: np.ndarray, fine: np.ndarray, nodes: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of ``own``, differing bits and nodes of the candidates within the bounds, some rows at a time."""
         some, height = [(self.row[:0], self.apart[:0], self.to[:0])], max(1, (1 << 18) // len(nodes))
         for lo in range(0, len(self.nodes), height):
@@ -341,14 +360,19 @@ class _Nearest:
             if self.near.partners is None and self.run is not None:
                 good &= _told(np.full(len(x), self.run), x, y, self.near.ball)
             row, at = row[good], at[good]
+            if more:
+                good = self.nodes[lo + row] < nodes[at]
+                row, at = row[good], at[good]
+                good = _may_be_similar(self.more, lo + row, more, at, self.near)
+                row, at = row[good], at[good]
             some.append((lo + row, apart[row, at], nodes[at]))
         return tuple(np.concatenate(x) for x in zip(*some, strict=True))
 
-    def see(self, words: np.ndarray, fine: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def see(self, words: np.ndarray, fine: np.ndarray, nodes: np.ndarray, *more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at, most = 0, self.near.partners
         while at < len(nodes):
             to = at + self.step
-            row, apart, node = self._met(words[at:to], fine[at:to], nodes[at:to])
+            row, apart, node = self._met(words[at:to], fine[at:to], nodes[at:to], *(c[at:to] for c in more))
             at = to
             if most is None:
                 yield self.nodes[row], node
@@ -384,8 +408,14 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
 
+def _with_run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.int64())], ["a", "b", "run"])
+
+
 def _candidates(runs: Iterator[tuple[np.ndarray, ...]], near: Near) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), and rows (a, run) of the runs of which not all pairs came out."""
     p = near.ball
+    full = p.small if near.partners is None else FULL_RUNS * p.small
     lows, masks = np.array([v[0] for v in _views(p)], U64), np.array([v[1] for v in _views(p)], U64)
     for run, words, fine, nodes in runs:
         words, fine = words.view(U64), fine.view(U64)
@@ -393,14 +423,23 @@ def _candidates(runs: Iterator[tuple[np.ndarray, ...]], near: Near) -> Iterator[
         def alike(i: np.ndarray, j: np.ndarray, x: np.ndarray = words, y: np.ndarray = fine) -> np.ndarray:
             return (np.bitwise_count(x[i] ^ x[j]) <= near.limit) & (np.bitwise_count(y[i] ^ y[j]) <= near.sift)
 
-        first, second, longer = _close(run, p.small, alike)
+        first, second, longer = _close(run, full, alike)
+        if near.partners is not None:
+            begin = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+            size = np.diff(np.append(begin, len(run)))
+            of = np.searchsorted(begin, first, side="right") - 1
+            crowded = (size > p.small) & (np.bincount(of, minlength=len(size)) > near.partners * size)
+            longer += [(int(begin[i]), int(begin[i] + size[i])) for i in np.flatnonzero(crowded)]
+            first, second = first[~crowded[of]], second[~crowded[of]]
         told = _told(run[first], words[first], words[second], p)
-        yield _pairs(nodes[first[told]], nodes[second[told]])
+        yield _with_run(_pairs(nodes[first[told]], nodes[second[told]]))
         for at, to in longer:
             value, view = int(run[at]) // p.blocks, int(run[at]) % p.blocks
             rows = words[at:to], fine[at:to], nodes[at:to]
             own = ((rows[0] >> lows[view]) & masks[view]) == U64(value) if near.partners is not None else slice(None)
-            yield _pairs(*_partners(tuple(x[own] for x in rows), rows, near, int(run[at])))
+            yield _with_run(_pairs(*_partners(tuple(x[own] for x in rows), rows, near, int(run[at]))))
+            if near.partners is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at:to]), pa.nulls(to - at, pa.int64()), pa.array(run[at:to])], ["a", "b", "run"])
 
 
 def _hot_candidates(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
@@ -425,6 +464,9 @@ def _hot_candidates(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[p
         run, salt = (batch[c].to_numpy() for c in ("run", "salt"))
         mine = batch["mine"].to_numpy(zero_copy_only=False)
         columns = batch["print"].to_numpy().view(U64), batch["print1"].to_numpy().view(U64), batch["node"].to_numpy()
+        if "sketch" in batch.schema.names:
+            sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), "<u8").reshape(len(batch), -1)
+            columns = *columns, batch["root"].to_numpy(), batch["size"].to_numpy(), sketch
         edges = np.flatnonzero((run[1:] != run[:-1]) | (salt[1:] != salt[:-1])) + 1
         for at, to in zip([0, *edges.tolist()], [*edges.tolist(), len(run)], strict=True):
             if at < to and key != (run[at], salt[at]):
@@ -452,9 +494,18 @@ def _hot_runs(rows: DataFrame, near: Near) -> DataFrame:
     return ball.select(run, "n", "mask").groupBy("run").agg(F.ceil(F.coalesce(rows_held, F.lit(1)) / p.dense).cast("int").alias("salts"))
 
 
-def _met(nodes: DataFrame, near: Near) -> DataFrame:
-    """Candidate pairs (a, b) of nodes: those of most runs, each compared in one task, and those of hot runs, dealt over many."""
-    p, carry, schema = near.ball, ["print", "print1", "node"], "a long, b long"
+def _dealt_candidates(dealt: DataFrame, columns: list[str], near: Near) -> DataFrame:
+    """Pairs (a, b) of rows with their ``run``, ``salt`` and whether they are held (``mine``)."""
+    dealt = dealt.select("run", "salt", "mine", *columns).repartition("run", "salt").sortWithinPartitions("run", "salt", F.desc("mine"))
+    return dealt.mapInArrow(lambda it: _hot_candidates(it, near), "a long, b long")
+
+
+def _met_and_left(nodes: DataFrame, near: Near) -> DataFrame:
+    """Candidate pairs (a, b) of nodes: those of most runs, each compared in one task, and those of hot runs, dealt over many.
+
+    Rows (a, run), with a null b, are those of runs of which not all candidates came out.
+    """
+    p, carry, schema = near.ball, ["print", "print1", "node"], "a long, b long, run long"
     variants = _all_variants(nodes, p, carry)
     hot = written(_hot_runs(nodes, near), "hot-runs")
     if hot.isEmpty():
@@ -465,8 +516,44 @@ def _met(nodes: DataFrame, near: Near) -> DataFrame:
         own = own | (F.shiftrightunsigned("print", lo).bitwiseAND(F.lit(mask)) * p.blocks + k == F.col("run"))
     dealt = variants.join(hot, "run").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     dealt = dealt.withColumn("mine", own & (F.pmod(F.xxhash64("node"), "salts") == F.col("salt")))
-    dealt = dealt.select("run", "salt", "mine", *carry).repartition("run", "salt").sortWithinPartitions("run", "salt", F.desc("mine"))
-    return cool.union(dealt.mapInArrow(lambda it: _hot_candidates(it, near), schema))
+    none = F.lit(None).cast("long")
+    found = cool.union(_dealt_candidates(dealt, carry, near).select("a", "b", none.alias("run")))
+    if near.partners is None:
+        return found
+    return found.union(variants.join(hot, "run").select(F.col("node").alias("a"), none.alias("b"), "run"))
+
+
+def _met(nodes: DataFrame, near: Near) -> DataFrame:
+    """The candidate pairs of ``_met_and_left`` alone."""
+    return _met_and_left(nodes, near).where("run is null").select("a", "b")
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
+    """How many distinct shingles each text has, and for each of ``SKETCH_BITS`` places whether an odd number of them falls there."""
+    for batch in chunks(batches, "text"):
+        hashes, first = _shingles(Docs.of(batch["text"]).folded().joined_words(), near.shingle, near.ball.seed, True)
+        place = np.repeat(np.arange(len(batch)) * SKETCH_BITS, np.diff(first)) + (hashes & U64(SKETCH_BITS - 1)).astype(np.int64)
+        odd = np.bincount(place, minlength=len(batch) * SKETCH_BITS) % 2 == 1
+        rows = np.packbits(odd.reshape(len(batch), SKETCH_BITS), axis=1)
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(np.diff(first).astype(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "size", "sketch"])
+
+
+def _left_candidates(left: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) that the runs of ``left`` (node, run) still hold: all candidates of different groups that may be similar.
+
+    Runs are dealt as hot ones are, so a task holds ``dense`` rows whatever their length.
+    """
+    p, exact = near.ball, replace(near, partners=None)
+    rows = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rows.groupBy("run").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    runs = written(several.select("run", F.ceil(F.col("n") / p.dense).cast("int").alias("salts")), "left-runs")
+    rows = written(rows.join(runs, "run"), "left-rows")
+    wanted = rows.select("node").distinct()
+    known = texts.join(wanted, "node", "left_semi").mapInArrow(lambda it: _sketches(it, near), "node long, size long, sketch binary")
+    known = written(nodes.select("node", "print", "print1").join(known, "node"), "sketches")
+    dealt = rows.join(known, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), "salts") == F.col("salt"))
+    return _dealt_candidates(dealt, ["print", "print1", "node", "root", "size", "sketch"], exact)
 
 
 def _similar(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
@@ -494,6 +581,12 @@ def _told_texts(pairs: DataFrame, side: str, other: str, texts: DataFrame, near:
     return salted.join(copies, [side, "salt"]).drop("salt")
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """The pairs whose texts are similar."""
+    both = _told_texts(_told_texts(pairs, "a", "b", texts, near), "b", "a", texts, near)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar(it, near), "a long, b long")
+
+
 def representatives(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """One row of each group of similar texts: that of the smallest doc_id (null comes last), then of the smallest text hash.
 
@@ -511,14 +604,19 @@ def representatives(docs: DataFrame, near: Near = Near()) -> DataFrame:
     nodes = prints.groupBy("text_hash", "print", "print1").agg(F.min(first).alias("first"))
     nodes = written(nodes.drop("text_hash").withColumn("node", F.monotonically_increasing_id()), "nodes")
     drop(prints)
-    pairs = written(_met(nodes, near).distinct(), "pairs")
-    paired = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    found = written(_met_and_left(nodes, near).distinct(), "pairs")
+    pairs, left = found.where("run is null").select("a", "b"), found.where("run is not null").select(F.col("a").alias("node"), "run")
+    paired = found.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     wanted = nodes.join(paired, "node", "left_semi").select("node", "first.id_hash", "first.text_hash")
     texts = keyed.select("id_hash", "text_hash", "text").join(wanted, ["id_hash", "text_hash"]).select("node", "text")
     texts = written(texts.dropDuplicates(["node"]), "texts")
-    both = _told_texts(_told_texts(pairs, "a", "b", texts, near), "b", "a", texts, near)
-    roots = components(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar(it, near), "a long, b long"))
-    drop(pairs)
+    roots = components(_verified(pairs, texts, near))
+    if not left.isEmpty():
+        more = written(_left_candidates(left, roots, nodes, texts, near).distinct(), "left-pairs")
+        if not more.isEmpty():
+            roots = components(roots.toDF("a", "b").union(_verified(more, texts, near)))
+        drop(more)
+    drop(found)
     drop(texts)
     named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = keyed.join(named.select("first.id_hash", "first.text_hash"), ["id_hash", "text_hash"], "left_semi")

@@ -435,6 +435,20 @@ def test_near_dedup_finds_similar_texts(spark):
     assert set(want) <= set(got) and len(got) - len(want) <= 0.01 * (docs.count() - len(want))
 
 
+def test_near_dedup_finds_links_beyond_the_nearest_partners(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+    changed = lambda words, at: [f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words)]
+    other = changed(base, {20, 70, 120, 170})  # base and other are the one similar pair of both crowds
+    crowds = [[x, *(changed(x, {10 + 2 * i}) for i in range(5, 90) if all(abs(10 + 2 * i - y) > 5 for y in (20, 70, 120, 170)))] for x in (base, other)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(sum(crowds, []))], "doc_id long, text string")
+    assert brute_near(docs.collect()) == [0]
+    assert [r["doc_id"] for r in simhash.representatives(docs).collect()] == [0]
+    few = simhash.Near(ball=simhash.Params(shingle=1, radius=8, blocks=3, dense=40))  # runs are hot
+    assert [r["doc_id"] for r in simhash.representatives(docs, few).collect()] == [0]
+    assert [r["doc_id"] for r in simhash.representatives(docs, simhash.Near(partners=None)).collect()] == [0]
+
+
 def test_long_runs_lose_no_pair_at_any_length():
     rng = np.random.default_rng(7)
     bits = lambda n, k: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, n)).astype(np.uint64), axis=0)

@@ -53,6 +53,10 @@ def turn_size() -> Column:
     return F.octet_length("user") + F.octet_length("thinking") + F.greatest(F.octet_length("answer"), F.octet_length("native"))
 
 
+def sized(turns: DataFrame) -> DataFrame:
+    return turns.withColumn("_size", turn_size().cast("long"))
+
+
 def chunk_starts(sizes: DataFrame, limit: int) -> DataFrame:
     """(path, turn_id, chunk, starts) of (path, turn_id, size): the chunk of each turn, filled greedily up to ``limit`` bytes.
 
@@ -94,16 +98,16 @@ def chunk_starts(sizes: DataFrame, limit: int) -> DataFrame:
 def chunk(turns: DataFrame, limit: int = L.CHUNK_BYTES) -> DataFrame:
     """Per path, runs of turns of at most ``limit`` bytes (0: no limit); a larger turn is a chunk of its own.
 
-    (path, chunk, chunks, turns, size). Turns are written out once; their sizes alone are ordered by path, and texts
-    meet by chunk, never by session (but where there is no limit, and a session is one record).
+    (path, chunk, chunks, turns, size). Turns are written out once, unless they are ``sized`` and written already; their sizes
+    alone are ordered by path, and texts meet by chunk, never by session (but where there is no limit, and a session is one
+    record).
     """
     turn = F.struct("turn_id", F.col("_size").alias("size"), "user", "thinking", "answer", "native")
-    rows = turns.withColumn("_size", turn_size().cast("long"))
+    rows = turns if "_size" in turns.columns else written(sized(turns), "turns")
     if limit <= 0:
         chunks = rows.groupBy("path").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
         chunks = chunks.select("path", F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("chunks"), "turns")
     else:
-        rows = written(rows, "turns")
         placed = written(chunk_starts(rows.select("path", "turn_id", F.col("_size").alias("size")), limit), "turn-chunks")
         chunks = rows.join(placed.drop("starts"), ["path", "turn_id"]).groupBy("path", "chunk").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
         counts = placed.where("starts").groupBy("path").agg(F.count("*").alias("chunks"))
@@ -204,8 +208,11 @@ def text_file_name(slug: Column | str, id_: Column | str) -> Column:
 
 
 def prepare(rendered: DataFrame, sessions: DataFrame, calls: DataFrame | None, o: ExportOptions) -> DataFrame:
-    """Trainable turns of all sessions as chunks beside their session's columns and split."""
-    turns = enough_turns(trainable(rendered), o.min_turns)
+    """Trainable turns of all sessions as chunks beside their session's columns and split.
+
+    Turns are written before they are chunked and their sessions split, so each is rendered once.
+    """
+    turns = written(sized(enough_turns(trainable(rendered), o.min_turns)), "turns")
     chunks = chunk(turns, o.max_record_chars)
     kept = split(sessions.join(turns.select("path").distinct(), "path", "left_semi"), o.val_fraction)
     rows = chunks.join(kept, "path")

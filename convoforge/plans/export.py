@@ -13,6 +13,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import linkage, media, parse, records, render, sessions, turns
 from ..sources import stores, transcripts
+from ..sources.scratch import written
 from . import sinks
 from .options import ExportOptions
 
@@ -32,13 +33,18 @@ class ExportSummary:
 
 
 def chunks_of(messages: DataFrame, chosen: DataFrame, everyone: DataFrame, o: ExportOptions) -> DataFrame:
-    """Chunks of the chosen sessions with all columns that records need. ``everyone``: all sessions, for linkage."""
+    """Chunks of the chosen sessions with all columns that records need. ``everyone``: all sessions, for linkage.
+
+    With linkage, messages, calls, children and links are read more than once and written out for that.
+    """
+    if o.inline:
+        messages, everyone, chosen = written(messages, "messages"), written(everyone, "everyone"), written(chosen, "chosen")
     mine = turns.segment(messages.join(chosen.select("path"), "path", "left_semi"))
     links = calls = None
     if o.inline:
         parents = chosen.where(~F.col("is_subagent")).select("path")
-        tasks = linkage.tasks(messages.join(parents, "path", "left_semi"))
-        linked = linkage.link(tasks, linkage.children(messages, everyone))
+        tasks = written(linkage.tasks(messages.join(parents, "path", "left_semi")), "tasks")
+        linked = written(linkage.link(tasks, written(linkage.children(messages, everyone), "children")), "links")
         # Parents without a Task call have an empty map: their calls, if any, are unresolved, not ordinary.
         by_hash = linkage.by_hash(linked)
         kind = by_hash.schema["links"].dataType

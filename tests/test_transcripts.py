@@ -391,3 +391,34 @@ def test_titles_come_from_the_first_bytes(spark, tmp_path):
         assert len(got) >= 6 and got["over"] == got["long"] == sessions.UNTITLED
     tail = spark.createDataFrame([("p", 3, first, TITLE_BYTES - len(first)), ("q", 3, first, TITLE_BYTES - len(first) + 1)], "path string, line_index long, line string, begin long")
     assert [r["path"] for r in sessions.title_lines(tail).collect()] == ["p"]
+
+
+def _seen_through(df, seen):
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_turns_are_rendered_once_and_messages_read_once(spark):
+    from convoforge.operators import parse
+    from convoforge.operators import records as R
+    from convoforge.operators import sessions as S
+    from convoforge.plans import export as E
+    from convoforge.plans.fixtures import views
+    from convoforge.plans.options import ExportOptions
+
+    v = views(spark, "/root/testdata/sf0.001")
+    messages, everyone = parse.messages(parse.records(v["lines"])), v["sessions"].drop("conv_id")
+    n = messages.count()
+    seen = spark.sparkContext.accumulator(0)
+    inline = ExportOptions(include_tool_calls=True, val_fraction=0.1)
+    assert E.chunks_of(_seen_through(messages, seen), S.select(everyone, False), everyone, inline).count() and seen.value == n
+    turns = spark.createDataFrame([(f"p{i % 7}", i, "ask", "", "say", "say") for i in range(50)], "path string, turn_id long, user string, thinking string, answer string, native string")
+    own = spark.createDataFrame([(f"p{i}", i) for i in range(7)], "path string, modified_unix long")
+    for most in (0, 20):
+        seen = spark.sparkContext.accumulator(0)
+        rows = R.prepare(_seen_through(turns, seen), own, None, ExportOptions(subagent_mode="separate", max_record_chars=most, val_fraction=0.25))
+        assert {r["split"] for r in rows.collect()} == {"train", "val"} and seen.value == 50

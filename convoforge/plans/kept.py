@@ -64,6 +64,36 @@ def _places(codes, bits: int):
     return [(x * np.uint64(k)) >> shift for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def _filter(codes) -> bytes:
+    """A Bloom filter of distinct trigrams."""
+    import numpy as np
+
+    bits = min(MOST_BITS, max(64, 1 << (BITS_EACH * len(codes)).bit_length()))
+    on = np.zeros(bits, bool)
+    for at in _places(codes, bits):
+        on[at] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def _trigrams(lines: Iterator[bytes], few: int | None = None):
+    """The distinct trigrams of lines, in order. A table of all there may be is made for more than ``few`` bytes alone."""
+    import numpy as np
+
+    few, seen, held, size = splits.PIECE_BYTES if few is None else few, None, [], 0
+    for line in lines:
+        held.append(line)
+        size += len(line)
+        if size > few:
+            seen = np.zeros(1 << 24, bool) if seen is None else seen
+            seen[_codes(b"\n".join(held))] = True
+            held, size = [], 0
+    last = np.unique(_codes(b"\n".join(held)))
+    if seen is None:
+        return last
+    seen[last] = True
+    return np.flatnonzero(seen)
+
+
 def filtered(ranges: DataFrame) -> DataFrame:
     """Adds ``grams`` to ranges with their ``first``: a Bloom filter over the trigrams of the lines that begin in each."""
     import pyarrow as pa
@@ -71,26 +101,13 @@ def filtered(ranges: DataFrame) -> DataFrame:
     columns = ["path", "uri", "size_bytes", "begin", "start", "end", "first"]
 
     def made(uri: str, start: int, end: int, skip: bool) -> bytes:
-        import numpy as np
+        def lines() -> Iterator[bytes]:
+            try:
+                yield from splits._lines(uri, start, end, skip)
+            except OSError:
+                pass
 
-        seen = np.zeros(1 << 24, bool)
-        try:
-            held, size = [], 0
-            for line in splits._lines(uri, start, end, skip):
-                held.append(line)
-                size += len(line)
-                if size > splits.PIECE_BYTES:
-                    seen[_codes(b"\n".join(held))] = True
-                    held, size = [], 0
-            seen[_codes(b"\n".join(held))] = True
-        except OSError:
-            pass
-        codes = np.flatnonzero(seen)
-        bits = min(MOST_BITS, max(64, 1 << (BITS_EACH * len(codes)).bit_length()))
-        on = np.zeros(bits, bool)
-        for at in _places(codes, bits):
-            on[at] = True
-        return np.packbits(on, bitorder="little").tobytes()
+        return _filter(_trigrams(lines()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -175,3 +175,16 @@ def test_lines_are_counted_while_they_are_written(spark, tmp_path):
     assert sinks.write_counted(rows.where("part = 'train'"), str(out), ("train", "val"), {}) == ({"train": 900}, {})
     assert not (out / "val.jsonl").exists() and spark.read.text(f"{out}/train.jsonl").count() == 900
     assert sinks.write_counted(rows.limit(0), str(tmp_path / "none"), ("train", "val"), {"k": "key"}) == ({}, {}) and not (tmp_path / "none").exists()
+
+
+def test_filters_of_small_files_cost_what_they_hold():
+    import tracemalloc
+
+    lines = [f"line {i} of a Small file".encode() for i in range(300)]
+    tracemalloc.start()
+    few = kept._trigrams(iter(lines))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 21  # a table of all trigrams takes 16 MB
+    assert few.tolist() == kept._trigrams(iter(lines), few=100).tolist() == sorted(set(kept._codes(b"\n".join(lines)).tolist()))
+    assert kept._filter(few) == kept._filter(kept._trigrams(iter(lines), few=1000))

@@ -16,7 +16,7 @@ more. Single edits move five shingles but one word, so a print of the distinct w
 of the distinct shingles sifts them, and the sets of whole texts decide. All candidates of a run are verified, unless they
 are more than ``partners`` a row. In such a crowded run every row whose block is that of the run is first verified with the
 ``partners`` nearest by the second print, so most of its groups come together at the cost of few texts. Then the rest
-follows: rows of crowded runs are told with the group they are in by now, and all candidates of different groups are
+follows: the rows of crowded runs meet again with the group they are in by now, and all candidates of different groups are
 verified, but those that cannot be similar by the parities of their shingles (no similar pair is lost to that). Pairs
 inside a group change nothing, so the groups are those of ``partners=None``, which verifies every pair of every run.
 
@@ -77,7 +77,8 @@ class Near:
 
 
 #: Runs of up to so many times ``small`` rows are compared in full before they count as crowded; places of a sketch of shingles.
-FULL_RUNS, SKETCH_BITS = 16, 1024
+FULL_RUNS, SKETCH_BITS = 16, 512
+_MORE = ["root", "size", *(f"s{i}" for i in range(SKETCH_BITS // 64))]
 _SPREAD = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).view("<u8").ravel()
 
 
@@ -321,7 +322,7 @@ def group(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def _may_be_similar(x: tuple[np.ndarray, ...], i: np.ndarray, y: tuple[np.ndarray, ...], j: np.ndarray, near: Near) -> np.ndarray:
-    """Whether rows i of x and j of y, as (group, size, sketch), are of two groups and not ruled out as similar.
+    """Whether rows i of x and j of y, as (group, size, words of the sketch), are of two groups and not ruled out as similar.
 
     Bits in which two sketches differ are no more than the shingles that one text alone holds, and similar sets differ in at
     most (1 - s) / (1 + s) of both sizes together.
@@ -329,7 +330,8 @@ def _may_be_similar(x: tuple[np.ndarray, ...], i: np.ndarray, y: tuple[np.ndarra
     some = np.flatnonzero(x[0][i] != y[0][j])
     a, b = x[1][i[some]], y[1][j[some]]
     some = some[np.minimum(a, b) >= near.similarity * np.maximum(a, b) - 1e-6]
-    apart = np.bitwise_count(x[2][i[some]] ^ y[2][j[some]]).sum(1, dtype=np.int64)
+    i_, j_ = i[some], j[some]
+    apart = sum(np.bitwise_count(s[i_].view(U64) ^ t[j_].view(U64)).astype(np.int64) for s, t in zip(x[2:], y[2:], strict=True))
     out = np.zeros(len(i), bool)
     out[some] = apart * (1 + near.similarity) <= (1 - near.similarity) * (x[1][i[some]] + y[1][j[some]]) + 1e-6
     return out
@@ -413,15 +415,19 @@ def _with_run(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _candidates(runs: Iterator[tuple[np.ndarray, ...]], near: Near) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), and rows (a, run) of the runs of which not all pairs came out."""
+    """Pairs (a, b), and rows (a, run) of crowded runs, one run of each row and batch."""
     p = near.ball
     full = p.small if near.partners is None else FULL_RUNS * p.small
     lows, masks = np.array([v[0] for v in _views(p)], U64), np.array([v[1] for v in _views(p)], U64)
-    for run, words, fine, nodes in runs:
+    for run, words, fine, nodes, *more in runs:
         words, fine = words.view(U64), fine.view(U64)
+        left: list[np.ndarray] = []
 
-        def alike(i: np.ndarray, j: np.ndarray, x: np.ndarray = words, y: np.ndarray = fine) -> np.ndarray:
-            return (np.bitwise_count(x[i] ^ x[j]) <= near.limit) & (np.bitwise_count(y[i] ^ y[j]) <= near.sift)
+        def alike(i: np.ndarray, j: np.ndarray, x: np.ndarray = words, y: np.ndarray = fine, z: list[np.ndarray] = more) -> np.ndarray:
+            ok = (np.bitwise_count(x[i] ^ x[j]) <= near.limit) & (np.bitwise_count(y[i] ^ y[j]) <= near.sift)
+            if z:
+                ok[ok] = _may_be_similar(z, i[ok], z, j[ok], near)
+            return ok
 
         first, second, longer = _close(run, full, alike)
         if near.partners is not None:
@@ -435,11 +441,14 @@ def _candidates(runs: Iterator[tuple[np.ndarray, ...]], near: Near) -> Iterator[
         yield _with_run(_pairs(nodes[first[told]], nodes[second[told]]))
         for at, to in longer:
             value, view = int(run[at]) // p.blocks, int(run[at]) % p.blocks
-            rows = words[at:to], fine[at:to], nodes[at:to]
+            rows = words[at:to], fine[at:to], nodes[at:to], *(c[at:to] for c in more)
             own = ((rows[0] >> lows[view]) & masks[view]) == U64(value) if near.partners is not None else slice(None)
             yield _with_run(_pairs(*_partners(tuple(x[own] for x in rows), rows, near, int(run[at]))))
-            if near.partners is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[at:to]), pa.nulls(to - at, pa.int64()), pa.array(run[at:to])], ["a", "b", "run"])
+            left.append(np.arange(at, to))
+        if left and near.partners is not None:
+            rows = np.concatenate(left)
+            rows = rows[np.unique(nodes[rows], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.nulls(len(rows), pa.int64()), pa.array(run[rows])], ["a", "b", "run"])
 
 
 def _hot_candidates(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
@@ -464,9 +473,7 @@ def _hot_candidates(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[p
         run, salt = (batch[c].to_numpy() for c in ("run", "salt"))
         mine = batch["mine"].to_numpy(zero_copy_only=False)
         columns = batch["print"].to_numpy().view(U64), batch["print1"].to_numpy().view(U64), batch["node"].to_numpy()
-        if "sketch" in batch.schema.names:
-            sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), "<u8").reshape(len(batch), -1)
-            columns = *columns, batch["root"].to_numpy(), batch["size"].to_numpy(), sketch
+        columns = *columns, *(batch[c].to_numpy() for c in _MORE if c in batch.schema.names)
         edges = np.flatnonzero((run[1:] != run[:-1]) | (salt[1:] != salt[:-1])) + 1
         for at, to in zip([0, *edges.tolist()], [*edges.tolist(), len(run)], strict=True):
             if at < to and key != (run[at], salt[at]):
@@ -503,9 +510,10 @@ def _dealt_candidates(dealt: DataFrame, columns: list[str], near: Near) -> DataF
 def _met_and_left(nodes: DataFrame, near: Near) -> DataFrame:
     """Candidate pairs (a, b) of nodes: those of most runs, each compared in one task, and those of hot runs, dealt over many.
 
-    Rows (a, run), with a null b, are those of runs of which not all candidates came out.
+    Rows (a, run), with a null b, are those of runs of which not all candidates came out, each once at least. Nodes may have
+    the columns of ``_MORE``: see ``_Nearest``.
     """
-    p, carry, schema = near.ball, ["print", "print1", "node"], "a long, b long, run long"
+    p, carry, schema = near.ball, ["print", "print1", "node", *(c for c in _MORE if c in nodes.columns)], "a long, b long, run long"
     variants = _all_variants(nodes, p, carry)
     hot = written(_hot_runs(nodes, near), "hot-runs")
     if hot.isEmpty():
@@ -534,26 +542,17 @@ def _sketches(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.Reco
         hashes, first = _shingles(Docs.of(batch["text"]).folded().joined_words(), near.shingle, near.ball.seed, True)
         place = np.repeat(np.arange(len(batch)) * SKETCH_BITS, np.diff(first)) + (hashes & U64(SKETCH_BITS - 1)).astype(np.int64)
         odd = np.bincount(place, minlength=len(batch) * SKETCH_BITS) % 2 == 1
-        rows = np.packbits(odd.reshape(len(batch), SKETCH_BITS), axis=1)
-        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(np.diff(first).astype(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "size", "sketch"])
+        rows = np.packbits(odd.reshape(len(batch), SKETCH_BITS), axis=1).view(np.int64)
+        columns = [batch["node"], pa.array(np.diff(first).astype(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)]
+        yield pa.RecordBatch.from_arrays(columns, ["node", *_MORE[1:]])
 
 
 def _left_candidates(left: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """Pairs (a, b) that the runs of ``left`` (node, run) still hold: all candidates of different groups that may be similar.
-
-    Runs are dealt as hot ones are, so a task holds ``dense`` rows whatever their length.
-    """
-    p, exact = near.ball, replace(near, partners=None)
-    rows = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rows.groupBy("run").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    runs = written(several.select("run", F.ceil(F.col("n") / p.dense).cast("int").alias("salts")), "left-runs")
-    rows = written(rows.join(runs, "run"), "left-rows")
-    wanted = rows.select("node").distinct()
-    known = texts.join(wanted, "node", "left_semi").mapInArrow(lambda it: _sketches(it, near), "node long, size long, sketch binary")
-    known = written(nodes.select("node", "print", "print1").join(known, "node"), "sketches")
-    dealt = rows.join(known, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), "salts") == F.col("salt"))
-    return _dealt_candidates(dealt, ["print", "print1", "node", "root", "size", "sketch"], exact)
+    """All candidate pairs (a, b) of the rows ``left`` (node) that are of different groups and may be similar."""
+    texts = texts.join(left, "node", "left_semi").repartition("node")
+    known = texts.mapInArrow(lambda it: _sketches(it, near), ", ".join(f"{c} long" for c in ["node", *_MORE[1:]]))
+    known = nodes.select("node", "print", "print1").join(known, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return _met(written(known, "left-nodes"), replace(near, partners=None))
 
 
 def _similar(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
@@ -604,8 +603,8 @@ def representatives(docs: DataFrame, near: Near = Near()) -> DataFrame:
     nodes = prints.groupBy("text_hash", "print", "print1").agg(F.min(first).alias("first"))
     nodes = written(nodes.drop("text_hash").withColumn("node", F.monotonically_increasing_id()), "nodes")
     drop(prints)
-    found = written(_met_and_left(nodes, near).distinct(), "pairs")
-    pairs, left = found.where("run is null").select("a", "b"), found.where("run is not null").select(F.col("a").alias("node"), "run")
+    found = written(_met_and_left(nodes, near).groupBy("a", "b").agg(F.min("run").alias("run")), "pairs")
+    pairs, left = found.where("run is null").select("a", "b"), found.where("run is not null").select(F.col("a").alias("node")).distinct()
     paired = found.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     wanted = nodes.join(paired, "node", "left_semi").select("node", "first.id_hash", "first.text_hash")
     texts = keyed.select("id_hash", "text_hash", "text").join(wanted, ["id_hash", "text_hash"]).select("node", "text")
